@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q08_sentencepiece",)
+MODULES = ("q02_langid", "q05_html", "q08_sentencepiece")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
