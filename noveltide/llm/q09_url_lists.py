@@ -34,6 +34,7 @@ def op9_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(pages, entries).withColumn("fetched", F.col("fetched").cast("string"))
 
 
+QUERIES = {"op9_url_lists": op9_url_lists}
 VALUES = ", ".join(f"('{a}', '{b}', date '{c}', '{d}')" for a, b, c, d in ENTRIES)
 SQL = {
     "op9_url_lists": f"""
