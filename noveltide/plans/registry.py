@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from noveltide.plans import novelty, records, text
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = novelty.QUERIES | text.QUERIES | records.QUERIES
+SQL: dict[str, str] = novelty.SQL | text.SQL | records.SQL
