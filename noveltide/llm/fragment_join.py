@@ -106,7 +106,8 @@ def candidates(df: DataFrame, ids: DataFrame, width: int, percent: int, id_col:
     """Stages 1 and 2: ``node, n, shared`` (array of (df, gram), in the global order) of nodes that may link."""
     spark = df.sparkSession
     first = first_grams(df, width, percent, id_col, text_col)
-    common = first.groupBy("g").agg(F.min("who").alias("a"), F.max("who").alias("b")).where("a <> b").select("g")
+    # Counted keys are written before they are joined: only then can a join deal out a hot key's rows anew.
+    common = cut(first.groupBy("g").agg(F.min("who").alias("a"), F.max("who").alias("b")).where("a <> b").select("g"), "common")
     again = first_grams(df, width, percent, id_col, text_col)
     met = again.join(common, "g", "left_semi").groupBy("who").agg(F.count("*").alias("k"))
     left = cut(met.where(F.col("k") >= F.col("who") % (1 << 20)).select(F.shiftright("who", 20).alias("low")).distinct(), "left")
@@ -117,7 +118,7 @@ def candidates(df: DataFrame, ids: DataFrame, width: int, percent: int, id_col:
     sets = cut(full_sets(rows.join(kept, rows["_id"] == kept["id"]), width).dropDuplicates(["node"]), "sets")
     release(spark)
     grams = sets.select("node", "n", F.explode("grams").alias("g"))
-    counts = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    counts = cut(grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "counts")
     shared = grams.join(counts, "g").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("shared"))
     out = cut(shared.where(F.size("shared") >= F.floor(need(F.col("n"), percent))), "shared")
     release(spark)
@@ -168,14 +169,14 @@ def link(shared: DataFrame, percent: int, fragments: int) -> DataFrame:
     """Stages 3 to 5: ``node, comp`` of the nodes that link with others."""
     count = (F.size("shared") - F.floor(need(F.col("n"), percent)) + 1).cast("int")
     posts = shared.select("node", "n", F.explode(F.slice("shared", 1, count)).alias("x")).select("node", "n", F.col("x.g").alias("g"), F.col("node").alias("comp"))
-    lone = posts.groupBy("g").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("g")
+    lone = cut(posts.groupBy("g").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("g"), "several")
     posts = cut(posts.join(lone, "g", "left_semi"), "posts")
     parts = cut(segments(shared, fragments), "segments")
     label = shared.select("node", F.col("node").alias("comp")).limit(0)
     rounds = 0
     while True:
         per = posts.groupBy("g").agg(F.min(F.struct("comp", "node")).alias("hub"), F.max("comp").alias("top"), F.count("*").alias("size"))
-        active = per.where("hub.comp <> top")
+        active = cut(per.where("hub.comp <> top"), "active")
         live = posts.join(active, "g")
         if rounds < 2:
             live = live.withColumn("is_hub", F.col("node") == F.col("hub.node"))
