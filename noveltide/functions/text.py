@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = r"(?U)\s+"
 
@@ -29,7 +30,7 @@ def words(c: Column) -> Column:
     return F.filter(F.split(strip(c), SPACE), lambda w: w != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition, and no characters that UTF-8 cannot hold.  Spark has no built-in for it."""
     return s.str.normalize("NFKC").map(lambda x: x.encode("utf-8", "ignore").decode("utf-8"), na_action="ignore")

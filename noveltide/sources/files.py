@@ -28,7 +28,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str, glob: str = "metadata_*.json") -> DataFrame:
     """``eid, record``: one raw JSON document per file, the id from its name."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path).select(F.col("value").alias("record"), F.input_file_name().alias("_f"))
+    raw = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("value").alias("record"), F.input_file_name().alias("_f"))
     return raw.select(F.regexp_extract("_f", r"metadata_([^/]+)\.json$", 1).alias("eid"), "record")
 
 

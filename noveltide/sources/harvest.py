@@ -158,7 +158,7 @@ def by_cursor(client: Client, query: str, year: int, store: CursorStore) -> Iter
     staged, cursor, idle = store.staged(year), store.load(year), 0
     seen = {e.get("eid") for e in staged}
     if staged:
-        yield staged
+        yield list(staged)
     while idle < client.cfg.empty_pages:
         results = client.get({"query": query, "cursor": cursor, "count": client.cfg.page_size}).get("search-results", {})
         fresh = [e for e in results.get("entry", []) if e.get("eid") not in seen]
