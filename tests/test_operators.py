@@ -336,7 +336,7 @@ def test_csv_round_trip_and_header(spark, tmp_path):
 def test_records_from_files(spark, tmp_path):
     (tmp_path / "metadata_2-s2.0-1.json").write_text('{"eid": "1",\n"error": "x"}')
     (tmp_path / "other.json").write_text("{}")
-    assert [(r.eid, len(r.record)) for r in files.read_records(spark, str(tmp_path)).collect()] == [("2-s2.0-1", 27)]
+    assert [(r.eid, len(r.record)) for r in files.read_records(spark, str(tmp_path)).collect()] == [("2-s2.0-1", 26)]
 
 
 def test_settings(monkeypatch):
