@@ -223,6 +223,14 @@ select t.eid, cast(len(tokens) as bigint) as n_tokens, coalesce(k.n, 0) as n_kep
     "phrase_whitelist": """with t as (select p_partkey, p_name, lower(p_name) as low from part)
 select p_partkey, trim((case when low = 'small ring' then 'small_ring gear r' when low like '% ring' then 'ring_gear ' || split_part(low, ' ', 1) || ' r' else low || ' gear r' end)) as tokens from t""",
     "bigram_scores": f"with {BIGRAMS} select a, b, n_ab, round(score, 4) as score from big",
+    # In a run of adjacent known pairs, the greedy merge takes every other one, from the first on.
+    "bigram_apply": f"""with {BIGRAMS}, pos as (select eid, i, tokens[i] as w, tokens[i + 1] as nx from (select eid, tokens, unnest(range(1, len(tokens) + 1)) as i from corpus)),
+flag as (select pos.*, big.a is not null as k from pos left join big on big.a = w and big.b = nx),
+run as (select *, sum(if(k, 0, 1)) over (partition by eid order by i) as g from flag),
+mark as (select *, k and (row_number() over (partition by eid, g, k order by i) - 1) % 2 = 0 as m from run),
+seen as (select *, coalesce(lag(m) over (partition by eid order by i), false) as gone from mark),
+merged as (select eid, count(*) as n, string_agg(if(m, w || '_' || nx, w), ' ' order by i) as s from seen where not gone group by eid)
+select c.eid, coalesce(n, 0) as n_tokens, md5(coalesce(s, '')) as tokens_md5 from corpus c left join merged on merged.eid = c.eid""",
     "vocab_thresholds": f"with {VOCAB}, t(min_count) as (values (1), (2), (3), (5), (8), (10)) select min_count, count(*) filter (n >= min_count) as kept, count(*) filter (n < min_count) as dropped from vocab, t group by min_count",
     "w2v_vocab": f"with {VOCAB} select word, n from vocab where n >= 2",
     "doc_coverage": f"""with {VECTORS}, hit as (select w.eid, count(wv.word) / count(*) as r from word w left join wv on wv.word = w.word group by w.eid)
