@@ -9,10 +9,12 @@ one node from the start.  The stages, each a shuffle on a key that is counted or
 3. The global order is by (count, hash).  Its first n-grams make the postings: nodes that could link share one.
 4. The order is cut into fragments; per candidate pair the overlaps are counted in each fragment separately (on the
    nodes' segments) and summed.
-5. Not all pairs of a posting are candidates: in a round, each member is compared with one hub of the posting, links
-   are contracted to components, postings whose members are all in one component are done, and compared hubs leave
-   their postings.  Later rounds take more hubs (four times as many each), in the end all members that are left.  So
-   a group of near copies costs about one pair per member, and no pair that could join two components is left out.
+5. Not all pairs of a posting are compared.  In the first rounds, each node is compared with the smallest of its
+   postings' hubs; links are contracted to components, and postings whose members are all in one component are done.
+   In later rounds members meet every hub of their postings, and the hubs, having met all, leave them; each round takes
+   sixteen times as many hubs, in the end all members that are left.  Pairs whose shared n-grams cannot reach the
+   overlap are never formed.  So a group of near copies costs about a pair per member, and no pair that could join
+   two components is left out.
 
 Defined results: null ids are returned with a null component and link with nothing; null texts and texts without words
 have no n-grams and are their own component; rows that repeat an id are documents of their own with one id; a class's
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from noveltide.llm.common import cut
 from noveltide.llm.shingles import sets_of, text_blocks
 
-EDGE = 20  # in stage 1, a node must share a 20th of its n-grams at least
+EDGE = 8  # in stage 1, a node must share an 8th of what it needs at least, among its first n-grams
+#: In so many rounds, each member of a posting is compared with one hub alone.
+FIRST = 2
 
 
 def need(n, percent: int):
@@ -49,7 +53,7 @@ def nodes(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, texts in text_blocks(b, 1):
+            for part, texts in text_blocks(b, 1, 1_000_000):
                 _, _, n, node = sets_of(texts, width)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(node)], names=["id", "n", "node"])
 
@@ -61,7 +65,7 @@ def first_grams(df: DataFrame, width: int, percent: int, id_col: str, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, texts in text_blocks(b, 1):
+            for part, texts in text_blocks(b, 1, 1_000_000):
                 own, h, n, node = sets_of(texts, width)
                 least = need(n, percent)
                 first = n - least + np.maximum(1, n // EDGE)
@@ -87,7 +91,7 @@ def full_sets(df: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, texts in text_blocks(b, 1):
+            for part, texts in text_blocks(b, 1, 1_000_000):
                 _, h, n, node = sets_of(texts, width)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(h))
                 same = pa.array(node == part.column(2).to_numpy())
@@ -167,42 +171,51 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link(shared: DataFrame, percent: int, fragments: int) -> DataFrame:
     """Stages 3 to 5: ``node, comp`` of the nodes that link with others."""
-    count = (F.size("shared") - F.floor(need(F.col("n"), percent)) + 1).cast("int")
-    posts = shared.select("node", "n", F.explode(F.slice("shared", 1, count)).alias("x")).select("node", "n", F.col("x.g").alias("g"), F.col("node").alias("comp"))
+    s = F.size("shared")
+    count = (s - F.floor(need(F.col("n"), percent)) + 1).cast("int")
+    # An overlap is at most the smaller number of shared n-grams, so a partner may have so many n-grams at most.
+    most = F.floor(((100 + percent) * s - percent * F.col("n")) / percent)
+    posts = shared.select("node", "n", most.alias("most"), F.explode(F.slice("shared", 1, count)).alias("x")).select("node", "n", "most", F.col("x.g").alias("g"), F.col("node").alias("comp"))
     lone = cut(posts.groupBy("g").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("g"), "several")
     posts = cut(posts.join(lone, "g", "left_semi"), "posts")
     parts = cut(segments(shared, fragments), "segments")
     label = shared.select("node", F.col("node").alias("comp")).limit(0)
-    rounds = 0
+    tested, rounds = None, 0
     while True:
-        per = posts.groupBy("g").agg(F.min(F.struct("comp", "node")).alias("hub"), F.max("comp").alias("top"), F.count("*").alias("size"))
-        active = cut(per.where("hub.comp <> top"), "active")
+        # The hub is the smallest set: it has the best chance to link with all others.
+        per = posts.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("n", "node")).alias("hub"), F.count("*").alias("size"))
+        active = cut(per.where("lo <> hi").select("g", "hub", "size"), "active")
         live = posts.join(active, "g")
-        if rounds < 2:
+        if rounds < FIRST:
             live = live.withColumn("is_hub", F.col("node") == F.col("hub.node"))
         else:  # hubs are drawn; more in each round, and in the end all
             draw = F.pmod(F.xxhash64("g", "node", F.lit(rounds)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-            live = live.withColumn("is_hub", (F.col("node") == F.col("hub.node")) | (draw * F.col("size") < 4.0 ** (rounds - 1)))
-        live = cut(live.select("g", "node", "n", "comp", "is_hub"), "live")
+            live = live.withColumn("is_hub", (F.col("node") == F.col("hub.node")) | (draw * F.col("size") < 16.0 ** (rounds - FIRST)))
+        live = cut(live.select("g", "node", "n", "most", "comp", "is_hub"), "live")
         if live.isEmpty():
             return label
-        hubs = live.where("is_hub").select("g", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        pairs = hubs.join(live.select("g", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")), "g")
-        pairs = pairs.where("ca <> cb").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        hubs = live.where("is_hub").select("g", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"))
+        pairs = hubs.join(live.select("g", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb")), "g")
+        pairs = pairs.where("ca <> cb and nb <= ma and na <= mb")
+        if rounds < FIRST:  # one hub for each member; what that leaves open comes again
+            pairs = pairs.groupBy("b", "nb").agg(F.min(F.struct("na", "a")).alias("h")).select(F.col("h.a").alias("a"), "b", F.col("h.na").alias("na"), "nb")
         once = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "na", "nb")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb")))
         pairs = pairs.select(once.alias("p")).select("p.*").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = cut(pairs, "pairs")
         links = cut(verify(pairs, parts, percent), "links")
-        rest = live.where("not is_hub").drop("is_hub")
-        if links.isEmpty():
-            posts = rest
-        else:
+        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        # Hubs of later rounds have met all of their posting and leave it.
+        rest = (live if rounds < FIRST else live.where("not is_hub")).drop("is_hub")
+        if not links.isEmpty():
             known = shared.select("node").join(label, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
             ends = links.join(known.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(known.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
             merged = components(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
             new = known.join(merged, known["comp"] == merged["v"], "left").select("node", F.coalesce("label", "comp").alias("comp"))
             label = cut(new.where("node <> comp"), "comps")
-            posts = rest.drop("comp").join(label, "node", "left").select("node", "n", "g", F.coalesce("comp", "node").alias("comp"))
-        posts = cut(posts, "posts")
+            rest = rest.drop("comp").join(label, "node", "left").select("g", "node", "n", "most", F.coalesce("comp", "node").alias("comp"))
+        posts = cut(rest, "posts")
         rounds += 1
 
 
