@@ -1,11 +1,12 @@
 """Personal data: base patterns, and terms that give protected entities away by co-occurrence.
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers, each kind leftmost and without
-overlaps.  Every distinct value found is a protected entity.  Over all documents, the terms (words) around an entity's
-mentions are counted, and the share of the entity's information that a term discloses is its pointwise mutual
-information with the entity over the entity's information content, ``ln(n_et N / (n_e n_t)) / ln(N / n_e)``.  Terms of a
-document's own contexts at or above ``generalise`` are replaced by a placeholder throughout the document, at or above
-``remove`` they are taken out; base spans are replaced by the name of their kind.
+overlaps.  Every distinct value found is a protected entity.  Over all documents, the terms (words) that stand in one document with an
+entity are counted, and the share of the entity's information that a term discloses is its pointwise mutual information
+with the entity over the entity's information content, ``ln(n_et N / (n_e n_t)) / ln(N / n_e)``.  An ``n_et`` below
+``support`` is little evidence and is multiplied by ``n_et / support``, so rare entities are protected too.  In documents
+that hold the entity, terms at or above ``generalise`` are replaced by a placeholder; at or above ``remove`` they are taken
+out, and that of every document, whether it holds the entity or not.  Base spans are replaced by the name of their kind.
 
 DataFrame functions only.  Counts are of documents, over the whole table.  Terms are counted by 64-bit hash.
 
@@ -22,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noveltide.llm.common import cut
+
 # The kinds in their order, and their patterns.  Possessive repeats and the conditions on what stands
 # before a match change no match; they keep long runs of characters from being tried again from each position.
 KINDS = {
@@ -36,9 +39,12 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 @dataclass
 class PiiParams:
-    """``context``: words on either side of a mention.  ``support``: documents in which term and entity meet, at least."""
+    """``context``: words on either side of a mention (the whole document if None), in ``context_chars`` characters.
+
+    ``support``: from so many documents in which term and entity meet, their count is taken as it is.
+    """
 
-    context: int = 10
+    context: int | None = None
     context_chars: int = 240
     support: int = 3
     generalise: float = 0.7
@@ -115,37 +121,80 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].alias("_id"), text.alias("_text")).withColumn("_th", F.xxhash64("_text"))
 
 
-def mentions(rows: DataFrame, p: PiiParams) -> DataFrame:
-    """``_id, _th, entity, term, word``: the distinct terms around each entity of each document."""
+def mentions(docs: DataFrame, p: PiiParams) -> DataFrame:
+    """``_id, _th, entity, n_e, term, word``: the distinct terms that meet each entity in each document.
+
+    Entities of one document only that stand in the same one have the same counts, and go as one.
+    """
+    rows = base_spans(docs, "_text").where(any_span())
+
+    def entity(kind: str, s: Column) -> Column:
+        return F.xxhash64(F.lit(kind), F.lower(s["match"]))
 
     def around(kind: str) -> Column:
         def one(s: Column) -> Column:
             left = F.slice(F.reverse(words(F.substring(s["before"], F.greatest(F.lit(1), F.char_length(s["before"]) - p.context_chars + 1), F.lit(p.context_chars)))), 1, p.context)
             right = F.slice(words(F.substring(s["after"], 1, p.context_chars)), 1, p.context)
-            return F.struct(F.xxhash64(F.lit(kind), F.lower(s["match"])).alias("entity"), F.array_distinct(F.concat(left, right)).alias("terms"))
+            return F.struct(entity(kind, s).alias("entity"), F.array_distinct(F.concat(left, right)).alias("terms"))
 
         return F.transform(kind, one)
 
-    both = F.concat(*[around(k) for k in KINDS])
-    each = rows.select("_id", "_th", F.explode(both).alias("m")).select("_id", "_th", "m.entity", F.explode_outer("m.terms").alias("word"))
-    return each.distinct().withColumn("term", F.xxhash64("word"))
+    def only(kind: str) -> Column:
+        return F.transform(kind, lambda s: entity(kind, s))
+
+    if p.context is None:
+        both = F.array_distinct(F.concat(*[only(k) for k in KINDS])).alias("entities")
+        found = cut(rows.select("_id", "_th", both, F.array_distinct(words(F.col("_text"))).alias("terms")).dropDuplicates(["_id", "_th"]), "pii")
+        held = found.select("_id", "_th", F.explode("entities").alias("entity"))
+    else:
+        both = F.concat(*[around(k) for k in KINDS])
+        each = rows.select("_id", "_th", F.explode(both).alias("m")).select("_id", "_th", "m.entity", F.explode_outer("m.terms").alias("word"))
+        found = cut(each.distinct(), "pii")
+        held = found.select("_id", "_th", "entity").distinct()
+    counts = held.groupBy("entity").agg(F.count("*").alias("n_e"))
+    if p.context is None:
+        alone = F.when(F.col("n_e") == 1, F.xxhash64("_id", "_th", F.lit("alone"))).otherwise(F.col("entity"))
+        held = held.join(counts, "entity").select("_id", "_th", alone.alias("entity"), "n_e").distinct().withColumnsRenamed({"_id": "_id2", "_th": "_th2"})
+        same = found["_id"].eqNullSafe(held["_id2"]) & (found["_th"] == held["_th2"])
+        found = found.join(held, same).select("_id", "_th", "entity", "n_e", F.explode("terms").alias("word"))
+    else:
+        found = found.where("word is not null").join(counts, "entity")
+    return found.withColumn("term", F.xxhash64("word"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, p: PiiParams) -> DataFrame:
     """``entity, term, share`` of the terms that disclose enough of an entity."""
     n = docs.select("_id", "_th").distinct().count()
-    met = found.where("word is not null").groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= p.support)
-    per_entity = found.select("_id", "_th", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    met = found.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_e") < n)
     terms = F.array_distinct(F.transform(F.split(F.lower("_text"), NOT_WORD), lambda w: F.xxhash64(w)))
     in_docs = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    both = met.join(per_entity, "entity").join(in_docs, "term")
+    both = met.join(in_docs, "term")
     information = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
+    sure = F.col("n_et") * F.least(F.lit(1.0), F.col("n_et") / F.lit(float(p.support)))
     # Repeated rows can make a term's count larger than the documents' number; they count once elsewhere.
-    mutual = F.log(F.col("n_et") * F.lit(float(max(n, 1))) / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    shares = both.where(F.col("n_e") < n).select("entity", "term", (mutual / information).alias("share"))
+    mutual = F.log(sure * F.lit(float(max(n, 1))) / (F.col("n_e") * F.greatest("n_t", "n_et")))
+    shares = both.select("entity", "term", (mutual / information).alias("share"))
     return shares.where(F.col("share") >= p.generalise)
 
 
+def terms_to_hide(docs: DataFrame, p: PiiParams) -> tuple[DataFrame, DataFrame]:
+    """``_id2, _th2, _terms``: the disclosing terms of each document that has some, with entities and without."""
+    found = mentions(docs, p)
+    shares = cut(disclosing(docs, found, p), "pii-terms")
+    told = found.join(shares, ["entity", "term"]).select("_id", "_th", "word", (F.col("share") >= p.remove).alias("gone"))
+    # Written on their own, these are mostly few enough to be sent to all, so that no text is dealt out for them.
+    hidden = cut(shares.where(F.col("share") >= p.remove).select("term").distinct(), "pii-hidden")
+    every = docs.select("_id", "_th", F.explode(F.array_distinct(words(F.col("_text")))).alias("word")).withColumn("term", F.xxhash64("word"))
+    every = every.join(hidden, "term", "left_semi").select("_id", "_th", "word", F.lit(True).alias("gone"))
+    told = told.unionByName(every) if not hidden.isEmpty() else told
+    told = told.groupBy("_id", "_th", "word").agg(F.max("gone").alias("gone"))
+    per_doc = told.groupBy("_id", "_th").agg(F.array_sort(F.collect_set(F.struct("word", "gone"))).alias("_terms"))  # bounded by the document
+    per_doc = cut(per_doc, "pii-hide").withColumnsRenamed({"_id": "_id2", "_th": "_th2"})
+    holders = found.select("_id", "_th").distinct()
+    holds = per_doc["_id2"].eqNullSafe(holders["_id"]) & (per_doc["_th2"] == holders["_th"])
+    return per_doc, cut(per_doc.join(holders, holds, "left_anti"), "pii-elsewhere")
+
+
 def sanitise(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", params: PiiParams | None = None) -> DataFrame:
     """``df`` plus ``spans`` (array of kind, start, end, action; base kinds in their order, then terms) and ``clean``.
 
@@ -155,15 +204,16 @@ def sanitise(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
     own = df.select(*[df[c] for c in df.columns if c not in ("spans", "clean")])
     work = own.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn("_th", F.xxhash64("_text"))
     work = base_spans(work, "_text")
-    plain = work.where(~any_span()).withColumn("_terms", F.lit(None).cast("array<struct<word:string,gone:boolean>>"))
-    docs = keyed(df, id_col, text_col)
-    found = mentions(base_spans(docs, "_text").where(any_span()), p)
-    told = found.join(disclosing(docs, found, p), ["entity", "term"]).groupBy("_id", "_th", "word").agg((F.max("share") >= p.remove).alias("gone"))
-    per_doc = told.groupBy("_id", "_th").agg(F.array_sort(F.collect_set(F.struct("word", "gone"))).alias("_terms"))  # bounded by the document's contexts
-    marked = work.where(any_span())
-    per_doc = per_doc.withColumnsRenamed({"_id": "_id2", "_th": "_th2"})
-    marked = marked.join(per_doc, marked[id_col].eqNullSafe(per_doc["_id2"]) & (marked["_th"] == per_doc["_th2"]), "left").drop("_id2", "_th2")
-    return finish(plain.unionByName(marked)).select(*own.columns, "spans", "clean")
+    none = F.lit(None).cast("array<struct<word:string,gone:boolean>>")
+
+    def marked(rows: DataFrame, per_doc: DataFrame) -> DataFrame:
+        same = rows[id_col].eqNullSafe(per_doc["_id2"]) & (rows["_th"] == per_doc["_th2"])
+        return rows.join(per_doc, same, "left").drop("_id2", "_th2")
+
+    with_entity, elsewhere = terms_to_hide(keyed(df, id_col, text_col), p)
+    plain = work.where(~any_span())
+    plain = plain.withColumn("_terms", none) if elsewhere.isEmpty() else marked(plain, elsewhere)
+    return finish(plain.unionByName(marked(work.where(any_span()), with_entity))).select(*own.columns, "spans", "clean")
 
 
 def finish(df: DataFrame) -> DataFrame:

@@ -100,6 +100,19 @@ def test_terms_are_removed_and_empty_tables(spark):
     assert len(all_) == 3 and {r.clean for r in all_} == {"x [EMAIL]"}
 
 
+def test_terms_of_rare_entities(spark):
+    """An entity of one document is given away by that document's rare words, however far they stand from it."""
+    far = "common words of text " * 40
+    rows = [(0, f"zorblax {far} only@one.example {far}"), (1, f"{far} +1 555 1234567 {far} quuxly")] + [(k, f"{far} other{k % 40}") for k in range(2, 1000)]
+    rows += [(2000 + k, "secretname thrice@mail.example text") for k in range(5)] + [(3000, "here secretname alone")]
+    out = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, DOCS)).collect()}
+    terms = {k: {(rows_text[s.start : s.end], s.action) for s in r.spans if s.kind == "term"} for k, r in out.items() for rows_text in [r.text]}
+    assert terms[0] == {("zorblax", "generalise")} and terms[1] == {("quuxly", "generalise")}
+    assert all(not terms[k] for k in range(2, 1000))
+    # A term that discloses nearly all goes also where the entity is not.
+    assert terms[2000] == terms[3000] == {("secretname", "remove")} and out[3000].clean == "here  alone"
+
+
 # --- 6: sentence spans ------------------------------------------------------------------------------------------
 
 
