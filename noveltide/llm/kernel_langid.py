@@ -107,7 +107,15 @@ class LanguageModel:
     basis: np.ndarray
     weights: np.ndarray  # landmarks + 1 rows: the last is the intercept
 
-    def scores(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def known(self) -> np.ndarray:
+        """Whether a landmark holds the n-grams of a bucket."""
+        return (self.basis > 0).any(axis=1)
+
+    def scores(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score, and the share of the distinct n-grams that landmarks hold, of each text."""
+        # Products with the known buckets and with ones, both over the root of the number of n-grams.
+        wide = np.c_[self.basis, self.known(), np.ones(len(self.basis))].astype(np.float32)
+        covered = np.zeros(len(texts))
         total = np.zeros((len(texts), len(self.languages)))
         mass = np.zeros(len(texts))
         span = 500_000  # of a very long text, so much is in memory at once
@@ -118,16 +126,19 @@ class LanguageModel:
             owners.append(i)
             at += len(piece)
             if at >= span or j == len(work) - 1:
-                own, weight, k = kernel_rows(pieces, self.params, self.basis)
+                own, weight, k = kernel_rows(pieces, self.params, wide)
+                share = k[:, -2] / np.maximum(k[:, -1], 1e-9)
+                k = k[:, :-2]
                 s = k @ self.weights[:-1] + self.weights[-1]
                 rows = np.array(owners)[own]
                 np.add.at(total, rows, s * weight[:, None])
                 np.add.at(mass, rows, weight)
+                np.add.at(covered, rows, share * weight)
                 at, pieces, owners = 0, [], []
         best = total.argmax(axis=1) if self.languages else np.zeros(len(texts), int)
         seen = mass > 0
         top = np.where(seen, total[np.arange(len(texts)), best] / np.maximum(mass, 1), 0.0) if self.languages else np.zeros(len(texts))
-        return [self.languages[b] if s else UNDETERMINED for b, s in zip(best.tolist(), seen.tolist(), strict=True)], np.clip(top, 0, 1)
+        return [self.languages[b] if s else UNDETERMINED for b, s in zip(best.tolist(), seen.tolist(), strict=True)], np.clip(top, 0, 1), np.clip(covered / np.maximum(mass, 1), 0, 1)
 
 
 def training_sample(labelled: DataFrame, p: KernelParams, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
@@ -177,16 +188,28 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return LanguageModel(p, languages, basis, np.r_[whiten @ w[:-1], w[-1:]])
 
 
+def least_known(model: LanguageModel, left_out: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """The ``known_share`` below which a text is like none of the languages, from labelled rows that taught nothing.
+
+    Two thirds of the way from chance (the share of all buckets) to what all but a twentieth of these rows reach.
+    """
+    texts = [c for _, c in training_sample(left_out, model.params, id_col, text_col, lang_col)] if model.languages else []
+    if not texts:
+        return 0.0
+    chance = float(model.known().mean())
+    return chance + 2 / 3 * max(0.0, float(np.quantile(model.scores(texts)[2], 0.05)) - chance)
+
+
 def predict(df: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (the id by default), ``lang_pred`` and ``score`` per row, from the text alone."""
+    """``keep`` columns (the id by default), ``lang_pred``, ``score`` and ``known_share`` per row, from the text alone."""
     keep = [id_col] if keep is None else keep
     rows = df.select(*[df[c] for c in keep], df[text_col].cast("string").alias("_text"))
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", lang_pred string, score double"
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", lang_pred string, score double, known_share double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = model.scores(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+            langs, scores, shares = model.scores(b.column(b.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score", "known_share"])
 
     return rows.mapInArrow(run, out)
 

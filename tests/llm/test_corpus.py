@@ -347,3 +347,18 @@ def test_pipeline(spark):
     junk = spark.createDataFrame([(1, None, "en", "s", 0), (2, "123", None, None, None)], docs.schema)
     assert kernel_langid.UNDETERMINED == "und" and cp.language_id(spark, docs.unionByName(junk), SF).where("doc_id in (1, 2) and text is null or text = '123'").count() == 0
     assert Counter(name for name, _ in cp.STAGES).most_common(1)[0][1] == 1
+
+
+def test_language_stage_rejects_what_is_like_no_language(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*cp.COLUMNS)
+    rng = random.Random(3)
+    junk = [
+        "Привет, это обычный русский текст о погоде и о людях.", "日本語の文章です。今日は天気がいいですね。", "هذا نص باللغة العربية عن الطقس والناس",
+        "Ez egy magyar nyelvű szöveg az időjárásról és az emberekről.", "qzxv jkwq zzxq vvkj wqxz jqkz xkcd pfft", "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(5000)), "Привет, мир. " * 50_000,
+    ]
+    clean = ["the of and", "las de los", "und der die", "The and!"]
+    rows = [(10**6 + k, t, None, "s", len(t)) for k, t in enumerate(junk + clean)]
+    kept = cp.language_id(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), SF).where(f"doc_id >= {10**6}").collect()
+    assert sorted(r.text for r in kept) == sorted(clean)
