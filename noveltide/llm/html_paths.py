@@ -3,7 +3,8 @@
 Every text node of a page has a root-to-leaf tag path.  Per path, the text length and the punctuation are summed and
 divided by the number of its nodes (outside links); both ratios are fused into one score, smoothed along the page with
 a Gaussian window, averaged per path again, and the paths above a multiple of the scores' standard deviation are
-content paths.  The smallest element that holds nearly all text of content paths is the article; its text is returned
+content paths.  The smallest element that holds all text of content paths is the article, or, if that is the page or
+has article elements in it, its parts that hold some; the text is returned
 without what is no article text by construction (navigation, forms, scripts, notices, reader comments ...).
 
 Defined results: null or empty html gives an empty text; a page without content gives an empty text; broken markup is
@@ -166,19 +167,17 @@ def path_scores(nodes: list[tuple[str, Element, int]], width: int) -> dict[str,
     return {p: s / k for p, (s, k) in out.items()}
 
 
-def main_text(page: str | None, *, strength: float = 0.5, cover: float = 0.9, width: int = 1) -> str:
-    """The article of one page: its blocks, joined by one space."""
-    if not page:
-        return ""
-    nodes = parse(page)
+def content_paths(nodes: list[tuple[str, Element, int]], width: int, strength: float) -> set[str]:
+    """The paths whose score is high enough."""
     scores = path_scores(nodes, width)
-    if not scores:
-        return ""
-    mean = sum(scores.values()) / len(scores)
-    spread = math.sqrt(sum((s - mean) ** 2 for s in scores.values()) / len(scores))
-    content = {p for p, s in scores.items() if s >= strength * spread}
+    mean = sum(scores.values()) / max(1, len(scores))
+    spread = math.sqrt(sum((s - mean) ** 2 for s in scores.values()) / max(1, len(scores)))
+    return {p for p, s in scores.items() if s >= strength * spread}
+
+
+def weigh(nodes: list[tuple[str, Element, int]], content: set[str]) -> float:
+    """Sets the mass of every element, the length of its text of content paths; that of all."""
     whole = 0.0
-    top = None
     for t, e, _ in nodes:
         if e.path in content:
             n = len(t.strip())
@@ -186,26 +185,40 @@ def main_text(page: str | None, *, strength: float = 0.5, cover: float = 0.9, wi
             x: Element | None = e
             while x is not None:
                 x.mass += n
-                top, x = x, x.parent
+                x = x.parent
+    return whole
+
+
+def main_text(page: str | None, *, strength: float = 0.5, width: int = 1) -> str:
+    """The article of one page: its blocks, joined by one space."""
+    if not page:
+        return ""
+    nodes = parse(page)
+    content = content_paths(nodes, width, strength)
+    whole = weigh(nodes, content)
     if not whole:
         return ""
-    best, low = top, whole
-    for _, e, _ in nodes:  # the smallest element that covers nearly all; the outermost among equals
+    best: Element | None = None
+    for _, e, _ in nodes:  # the innermost element that holds all of it
         x = e
         while x is not None:
-            if x.mass >= cover * whole and (x.mass < low or x.mass == low and len(x.path) > len(best.path)) and x.tag not in INLINE and x.tag != "p":
-                best, low = x, x.mass
+            if x.mass >= whole and (best is None or len(x.path) > len(best.path)) and x.tag not in INLINE and x.tag != "p":
+                best = x
             x = x.parent
     x = best
     while x is not None and x.tag not in ("article", "main"):
         x = x.parent
+    articles = False
     if x is not None:
         best = x
-    else:  # whatever else of the content stands beside it, short of the whole page
-        while best.parent is not None and best.parent.tag not in ("", "html", "body") and best.parent.mass > best.mass:
-            best = best.parent
+    else:
+        for _, e, _ in nodes:
+            x, inside = e, False
+            while x is not best and x is not None:
+                inside |= x.tag in ("article", "main") and x.mass > 0
+                x = x.parent
+            articles |= inside and x is best
     kept: dict[int, list[str]] = {}
-    chosen: dict[int, bool] = {}
     for t, e, block in nodes:
         x, inside, part = e, False, e
         while x is not None:
@@ -215,24 +228,22 @@ def main_text(page: str | None, *, strength: float = 0.5, cover: float = 0.9, wi
             part, x = x, x.parent
         if not inside:
             continue
-        if best.tag in ("", "html", "body"):  # no common container: whole parts that hold content
-            if id(part) not in chosen:
-                chosen[id(part)] = part is e or part.mass > 0
-            if not chosen[id(part)] or part is e and e.path not in content:
-                continue
+        # No common container of its own: whole parts that hold content.
+        if (articles or best.tag in ("", "html", "body")) and (part.mass <= 0 or part is e and e.path not in content):
+            continue
         kept.setdefault(block, []).append(t)
     blocks = (" ".join("".join(ts).split()) for ts in kept.values())
     return " ".join(b for b in blocks if b)
 
 
-def extract(df: DataFrame, *, id_col: str = "page_id", html_col: str = "html", strength: float = 0.5, cover: float = 0.9) -> DataFrame:
+def extract(df: DataFrame, *, id_col: str = "page_id", html_col: str = "html", strength: float = 0.5) -> DataFrame:
     """``df`` without ``html_col`` and with ``text``, the main text of each page (any ``text`` of its own is replaced)."""
     other = [c for c in df.columns if c not in (html_col, "text")]
     kept = df.select(*[df[c] for c in other], df[html_col].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x.as_py(), strength=strength, cover=cover) for x in b.column(b.num_columns - 1)]
+            texts = [main_text(x.as_py(), strength=strength) for x in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=b.schema.names)
 
     return kept.mapInArrow(run, kept.schema)

@@ -133,6 +133,19 @@ def test_pages_of_the_tables(spark):
     assert html_paths.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+LONG, SHORT = "Some long text, of the article, with marks. " * 23, "A short lead, of the article, with marks. " * 2
+
+
+@pytest.mark.parametrize("tag", ["div", "section", "article"])
+def test_articles_in_unequal_parts(tag):
+    """92% and 8% of the text in two siblings: both stay, in either order."""
+    for first, second in ((LONG, SHORT), (SHORT, LONG)):
+        page = f"<body><nav>Home, away.</nav><{tag}><p>{first}</p></{tag}><{tag}><p>{second}</p></{tag}><footer>Foot.</footer></body>"
+        assert html_paths.main_text(page) == f"{first.strip()} {second.strip()}"
+        wrapped = page.replace("<body>", "<body><div>").replace("</body>", "</div></body>")
+        assert html_paths.main_text(wrapped) == f"{first.strip()} {second.strip()}"
+
+
 # --- 1: decontamination -----------------------------------------------------------------------------------------
 
 
