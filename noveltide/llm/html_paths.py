@@ -36,6 +36,7 @@ NAMES = frozenset(
     "subscription signup login social share sharing related recommended recommendations widget widgets comment comments commentlist disqus replies "
     "respond pagination pager toolbar hidden copyright".split()
 )
+OTHERS = frozenset("comment comments commentlist disqus replies respond related recommended recommendations".split())
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -52,11 +53,12 @@ WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
 class Element:
-    __slots__ = ("by_name", "mass", "parent", "path", "skip", "tag")
+    __slots__ = ("by_name", "holds", "mass", "names", "number", "parent", "path", "skip", "tag", "unseen")
 
     def __init__(self, tag: str, parent: Element | None, skip: bool, by_name: bool):
         self.tag, self.parent, self.skip, self.by_name, self.mass = tag, parent, skip, by_name, 0.0
         self.path = f"{parent.path}/{tag}" if parent else tag
+        self.names, self.number, self.holds, self.unseen = frozenset(), -1, frozenset(), 0
 
 
 def _marked(tag: str, attributes: str) -> bool:
@@ -69,21 +71,33 @@ def _marked(tag: str, attributes: str) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and not NAMES.isdisjoint(x.lower() for x in WORD.findall(value)):
-            return True
     return False
 
 
-def parse(page: str) -> list[tuple[str, Element, int]]:
-    """The text nodes of a page in order: text, element, number of the block."""
+def _names(attributes: str) -> frozenset[str]:
+    """The words of an element's class and id that say that it is no article text."""
+    found = (x.lower() for name, value in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for x in WORD.findall(value))
+    return NAMES.intersection(found)
+
+
+def parse(page: str, lifted: frozenset[int] | None = frozenset(), named: list[Element] | None = None) -> list[tuple[str, Element, int]]:
+    """The text nodes of a page in order: text, element, number of the block.
+
+    Elements that only their names mark are numbered and go to ``named``; those in ``lifted`` (all if None) are read.
+    """
     root = at = Element("", None, False, False)
     nodes: list[tuple[str, Element, int]] = []
-    block, end, depth = 0, 0, 0
+    block, end, marks = 0, 0, 0
     limit = 400  # deeper elements count as their ancestor at this depth
 
     def text(upto: int) -> None:
         if upto > end and not at.skip:
             nodes.append((entities.unescape(page[end:upto]), at, block))
+        elif upto > end and marks:
+            x, n = at, len(page[end:upto].strip())
+            while n and x is not None:
+                x.unseen += n
+                x = x.parent
 
     scan = TOKEN.scanner(page)
     while m := scan.search():
@@ -128,6 +142,10 @@ def parse(page: str) -> list[tuple[str, Element, int]]:
             inside |= x.tag in ("article", "main")
             x = x.parent
         by_name = tag not in ROOTS and bool(attributes) and _marked(tag, attributes)
+        names, number = frozenset(), -1
+        if tag not in ROOTS and attributes and not by_name and (names := _names(attributes)):
+            number, marks = marks, marks + 1
+            by_name = lifted is not None and number not in lifted
         head = tag == "header"
         skip = at.skip or tag in SKIP or by_name or head
         if inside and tag in HEADINGS and (at.tag == "header" or at.by_name and at.parent.tag in ("article", "main", "header")) and not by_name:
@@ -140,6 +158,15 @@ def parse(page: str) -> list[tuple[str, Element, int]]:
             scan = TOKEN.scanner(page, end)
             continue
         at = Element(tag, at, skip, by_name)
+        if names:
+            at.names, at.number = names, number
+            if named is not None:
+                named.append(at)
+        if marks and tag in ("article", "main"):
+            x = at.parent
+            while x is not None:
+                x.holds |= {tag}
+                x = x.parent
     text(len(page))
     return nodes
 
@@ -189,11 +216,41 @@ def weigh(nodes: list[tuple[str, Element, int]], content: set[str]) -> float:
     return whole
 
 
+def misnamed(page: str, width: int, strength: float) -> frozenset[int]:
+    """Numbers of the elements whose names mark them and that hold the article all the same."""
+    named: list[Element] = []
+    nodes = parse(page, None, named)
+    content = content_paths(nodes, width, strength)
+    whole = weigh(nodes, content)
+    apart = False
+    for t, e, _ in nodes:
+        x, marked, article = e, False, False
+        while x is not None:
+            marked |= bool(x.names)
+            article |= x.tag in ("article", "main")
+            x = x.parent
+        apart |= article and not marked and e.path in content and bool(t.strip())
+
+    def holds_article(x: Element) -> bool:
+        if not x.mass or x.skip:
+            return False
+        if x.names & OTHERS:  # readers' comments and teasers are often articles, and long
+            return x.mass >= whole
+        most = x.mass > whole / 2 and (bool(x.holds) or not apart)
+        return "main" in x.holds or most or bool(x.holds) and not apart
+
+    return frozenset(x.number for x in named if holds_article(x))
+
+
 def main_text(page: str | None, *, strength: float = 0.5, width: int = 1) -> str:
     """The article of one page: its blocks, joined by one space."""
     if not page:
         return ""
-    nodes = parse(page)
+    named: list[Element] = []
+    nodes = parse(page, frozenset(), named)
+    shown = sum(len(t.strip()) for t, _, _ in nodes)
+    if any(x.holds or x.unseen > shown for x in named):
+        nodes = parse(page, misnamed(page, width, strength))
     content = content_paths(nodes, width, strength)
     whole = weigh(nodes, content)
     if not whole:

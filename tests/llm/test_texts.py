@@ -146,6 +146,16 @@ def test_articles_in_unequal_parts(tag):
         assert html_paths.main_text(wrapped) == f"{first.strip()} {second.strip()}"
 
 
+@pytest.mark.parametrize("mark", ["class='content has-sidebar'", "class=no-sidebar", "id='layout-with-header'", "class='share-enabled'"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_names_around_the_article(mark, tag):
+    """A name that only contains a marked word does not hide the article in the element, nor show what else is marked."""
+    side = "<div class=sidebar><p>Elsewhere, something else happened.</p></div><div id=comments><article><p>Nice one, really. Thank you.</p></article></div>"
+    page = f"<body><div {mark}><{tag}><p>{LONG}</p><p>{SHORT}</p></{tag}>{side}</div></body>"
+    assert html_paths.main_text(page) == f"{LONG.strip()} {SHORT.strip()}"
+    assert html_paths.main_text(f"<body><article><p>{SHORT}</p></article><div class=comments><article><p>{LONG}</p></article></div></body>") == SHORT.strip()
+
+
 # --- 1: decontamination -----------------------------------------------------------------------------------------
 
 
