@@ -9,12 +9,15 @@ one node from the start.  The stages, each a shuffle on a key that is counted or
 3. The global order is by (count, hash).  Its first n-grams make the postings: nodes that could link share one.
 4. The order is cut into fragments; per candidate pair the overlaps are counted in each fragment separately (on the
    nodes' segments) and summed.
-5. Not all pairs of a posting are compared.  In the first rounds, each node is compared with the smallest of its
-   postings' hubs; links are contracted to components, and postings whose members are all in one component are done.
-   In later rounds members meet every hub of their postings, and the hubs, having met all, leave them; each round takes
-   sixteen times as many hubs, in the end all members that are left.  Pairs whose shared n-grams cannot reach the
-   overlap are never formed.  So a group of near copies costs about a pair per member, and no pair that could join
-   two components is left out.
+5. Not all pairs of a posting are compared.  First, each node is compared with the most typical of its postings' hubs,
+   and links are contracted to components; postings whose members are all in one component are done, here and later.
+   In small postings, every two members of different components are compared that can reach the overlap.  In large
+   ones every member is compared with the hub.  Two members that link with it are in one component; one that is farther
+   than twice the limit from it links with none of those (triangle inequality of the Jaccard distance) and goes on to
+   other hubs; for the rest, with h the hub, ``|A ^ B| = |A ^ h| + |B ^ h| - 2 |(A ^ h) n (B ^ h)|`` says how many differences
+   from the hub two nodes must share if one of them does not link with it.  So their postings are those of these
+   differences, rarest first, and the round begins anew, with four times the size as small.  A group of near copies costs
+   about a pair per member, and no pair that could join two components is left out.
 
 Defined results: null ids are returned with a null component and link with nothing; null texts and texts without words
 have no n-grams and are their own component; rows that repeat an id are documents of their own with one id; a class's
@@ -23,7 +26,6 @@ id is the smallest id in it.  Sets and n-grams are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noveltide.llm.common import cut
+from noveltide.llm.common import cut, discard
 from noveltide.llm.shingles import sets_of, text_blocks
 
 EDGE = 8  # in stage 1, a node must share an 8th of what it needs at least, among its first n-grams
-#: In so many rounds, each member of a posting is compared with one hub alone.
-FIRST = 2
+#: Postings of so many members are compared pair by pair; four times as many in each later round.
+FEW = 16
+SHARE_BITS = 12
 
 
 def need(n, percent: int):
@@ -61,7 +64,7 @@ def nodes(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
 
 
 def first_grams(df: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """``g, who``: the first n-grams of each row in hash order (40 bits), and 32 bits of its node with what it must share."""
+    """``g, who``: the first n-grams of each row in hash order (40 bits), and 52 bits of its node with what it must share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -69,11 +72,11 @@ def first_grams(df: DataFrame, width: int, percent: int, id_col: str, text_col:
                 own, h, n, node = sets_of(texts, width)
                 least = need(n, percent)
                 first = n - least + np.maximum(1, n // EDGE)
-                share = np.minimum(np.maximum(1, least // EDGE), (1 << 20) - 1)
+                share = np.minimum(np.maximum(1, least // EDGE), (1 << SHARE_BITS) - 1)
                 place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
                 valid = np.asarray(part.column(0).is_valid())
                 keep = (place < first[own]) & valid[own]
-                who = ((node & 0xFFFFFFFF) << 20) | share
+                who = (node << SHARE_BITS) | share
                 # Rows of one set in a block say the same.
                 _, once = np.unique(node, return_index=True)
                 lone = np.zeros(len(node), bool)
@@ -100,32 +103,24 @@ def full_sets(df: DataFrame, width: int) -> DataFrame:
     return df.select("_id", "_text", "node").mapInArrow(run, "node long, n long, grams array<long>")
 
 
-def release(spark) -> None:
-    """Let Spark drop the shuffle files of what is no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def candidates(df: DataFrame, ids: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Stages 1 and 2: ``node, n, shared`` (array of (df, gram), in the global order) of nodes that may link."""
-    spark = df.sparkSession
     first = first_grams(df, width, percent, id_col, text_col)
     # Counted keys are written before they are joined: only then can a join deal out a hot key's rows anew.
     common = cut(first.groupBy("g").agg(F.min("who").alias("a"), F.max("who").alias("b")).where("a <> b").select("g"), "common")
     again = first_grams(df, width, percent, id_col, text_col)
     met = again.join(common, "g", "left_semi").groupBy("who").agg(F.count("*").alias("k"))
-    left = cut(met.where(F.col("k") >= F.col("who") % (1 << 20)).select(F.shiftright("who", 20).alias("low")).distinct(), "left")
-    release(spark)
-    one = ids.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("id")).withColumn("low", F.col("node").bitwiseAND(F.lit(0xFFFFFFFF)))
+    mask = F.lit((1 << SHARE_BITS) - 1)
+    left = cut(met.where(F.col("k") >= F.col("who").bitwiseAND(mask)).select(F.shiftright("who", SHARE_BITS).alias("low")).distinct(), "left")
+    discard(common)
+    one = ids.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("id")).withColumn("low", F.shiftright(F.shiftleft("node", SHARE_BITS), SHARE_BITS))
     kept = one.join(left, "low", "left_semi").select("id", "node")
     rows = df.select(df[id_col].cast("long").alias("_id"), df[text_col].cast("string").alias("_text"))
     sets = cut(full_sets(rows.join(kept, rows["_id"] == kept["id"]), width).dropDuplicates(["node"]), "sets")
-    release(spark)
     grams = sets.select("node", "n", F.explode("grams").alias("g"))
     counts = cut(grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "counts")
     shared = grams.join(counts, "g").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("shared"))
     out = cut(shared.where(F.size("shared") >= F.floor(need(F.col("n"), percent))), "shared")
-    release(spark)
     return out
 
 
@@ -146,13 +141,18 @@ def segments(shared: DataFrame, fragments: int) -> DataFrame:
     return each.select("node", "s.fragment", "s.grams").where(F.size("grams") > 0)
 
 
-def verify(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The links among pairs ``a, b, na, nb``: partial overlaps per fragment, summed per pair."""
+def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """``a, b, na, nb, k`` of pairs ``a, b, na, nb``: partial overlaps per fragment, summed per pair (none if zero)."""
     left = parts.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = parts.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
-    overlap = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("k"))
-    total = overlap.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
-    return total.where(100 * F.col("k") >= percent * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b")
+    each = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("k"))
+    return each.groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k")).where("k > 0")
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs ``a, b, na, nb``, each once and with the smaller node first."""
+    swap = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb"))
+    return pairs.select(F.when(F.col("a") < F.col("b"), F.struct("a", "b", "na", "nb")).otherwise(swap).alias("p")).select("p.*").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -169,65 +169,129 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("v", "label")
 
 
-def link(shared: DataFrame, percent: int, fragments: int) -> DataFrame:
-    """Stages 3 to 5: ``node, comp`` of the nodes that link with others."""
+def first_postings(shared: DataFrame, percent: int) -> DataFrame:
+    """``g, node, n, typ, v, rest, must, comp``: the n-grams by which nodes meet, seen as differences from the empty set.
+
+    ``v`` and ``rest`` bound what two nodes share: a pair can link only if ``v + v' <= 2 (100 + percent) min(rest, rest')``,
+    where ``rest`` counts the node's n-grams from this one on.  ``typ``: how common the node's n-grams are on the whole.
+    """
     s = F.size("shared")
     count = (s - F.floor(need(F.col("n"), percent)) + 1).cast("int")
-    # An overlap is at most the smaller number of shared n-grams, so a partner may have so many n-grams at most.
-    most = F.floor(((100 + percent) * s - percent * F.col("n")) / percent)
-    posts = shared.select("node", "n", most.alias("most"), F.explode(F.slice("shared", 1, count)).alias("x")).select("node", "n", "most", F.col("x.g").alias("g"), F.col("node").alias("comp"))
-    lone = cut(posts.groupBy("g").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("g"), "several")
-    posts = cut(posts.join(lone, "g", "left_semi"), "posts")
+    typ = F.aggregate("shared", F.lit(0.0), lambda t, x: t + F.log(x["df"].cast("double"))) / F.col("n")
+    rows = shared.select("node", "n", typ.alias("typ"), s.alias("s"), F.posexplode(F.slice("shared", 1, count)).alias("i", "x"))
+    v = (2 * percent * F.col("n")).cast("long")
+    return rows.select(F.col("x.g").alias("g"), "node", "n", "typ", v.alias("v"), (F.col("s") - F.col("i")).alias("rest"), F.lit(True).alias("must"), F.col("node").alias("comp"))
+
+
+def active(posts: DataFrame) -> DataFrame:
+    """``g, size, hub`` of the postings whose members are in several components; the hub is the most typical member."""
+    hub = F.max(F.struct("typ", "node", "n", "v", "rest", "comp")).alias("hub")
+    return posts.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), hub).where("lo <> hi").select("g", "size", "hub")
+
+
+def merge(label: DataFrame, links: DataFrame, shared: DataFrame) -> DataFrame:
+    """The labels after the links are contracted: ``node, comp`` of nodes that have another label than their own."""
+    known = shared.select("node").join(label, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    ends = links.join(known.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(known.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
+    merged = components(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    new = known.join(merged, known["comp"] == merged["v"], "left").select("node", F.coalesce("label", "comp").alias("comp"))
+    return cut(new.where("node <> comp"), "comps")
+
+
+def relabelled(posts: DataFrame, label: DataFrame) -> DataFrame:
+    return posts.drop("comp").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def refined(kinds: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """The postings of members near a hub: the n-grams by which they differ from it, rarest of the hub's group first.
+
+    Two nodes of which one does not link with the hub can link only if they share differences from it, at least
+    ``(v + v') / (2 (100 + percent))`` of them; so each needs only so many of its differences as postings.
+    """
+    close = kinds.where("not far")
+    bounds = cut(close.groupBy("h").agg(F.min("v").alias("least"), F.min(F.when(~F.col("linked"), F.col("v"))).alias("out")).where("out is not null"), "bounds")
+    close = close.join(bounds, "h")
+    grams = shared.select(F.col("node").alias("x"), F.transform("shared", lambda s: s["g"]).alias("gs"))
+    both = close.join(grams.select(F.col("x").alias("node"), "gs"), "node").join(grams.select(F.col("x").alias("h"), F.col("gs").alias("hs")), "h")
+    delta = cut(both.select("h", "node", "linked", F.explode(F.concat(F.array_except("gs", "hs"), F.array_except("hs", "gs"))).alias("d")), "delta")
+    # Shared ones, with a node that does not link with the hub.
+    counts = cut(delta.groupBy("h", "d").agg(F.count("*").alias("c"), F.min("linked").alias("all")).where("c > 1 and not all").select("h", "d", "c"), "counts")
+    listed = delta.join(counts, ["h", "d"]).groupBy("h", "node").agg(F.array_sort(F.collect_list(F.struct("c", "d"))).alias("ds"))
+    least = F.ceil((F.col("v") + F.when(F.col("linked"), F.col("out")).otherwise(F.col("least"))) / (2.0 * (100 + percent)))
+    rows = listed.join(close, ["h", "node"]).withColumn("s", F.size("ds")).withColumn("need", F.greatest(F.lit(1), least)).where("s >= need")
+    rows = rows.select("h", "node", "n", "typ", "v", "s", "linked", F.posexplode(F.slice("ds", F.lit(1), (F.col("s") - F.col("need") + 1).cast("int"))).alias("i", "x"))
+    return rows.select(F.xxhash64("h", "x.d").alias("g"), "node", "n", "typ", "v", (F.col("s") - F.col("i")).alias("rest"), (~F.col("linked")).alias("must"))
+
+
+def link(shared: DataFrame, percent: int, fragments: int, few: int = FEW) -> DataFrame:
+    """Stages 3 to 5: ``node, comp`` of the nodes that link with others."""
+    scale = 2 * (100 + percent)
+    posts = first_postings(shared, percent)
+    several = cut(posts.groupBy("g").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("g"), "several")
+    posts = cut(posts.join(several, "g", "left_semi"), "posts")
     parts = cut(segments(shared, fragments), "segments")
-    label = shared.select("node", F.col("node").alias("comp")).limit(0)
-    tested, rounds = None, 0
+    discard(several)
+
+    def linked(sums: DataFrame) -> DataFrame:
+        return sums.where(100 * F.col("k") >= percent * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b")
+
+    # First, each node is compared with the most typical of its postings' hubs alone.
+    live = posts.join(cut(active(posts), "active"), "g").where("node <> hub.node").where(F.col("v") + F.col("hub.v") <= scale * F.least("rest", "hub.rest"))
+    best = live.groupBy("node", "n").agg(F.max(F.struct("hub.typ", "hub.node", "hub.n")).alias("h"))
+    pairs = cut(ordered(best.select(F.col("node").alias("a"), F.col("h.node").alias("b"), F.col("n").alias("na"), F.col("h.n").alias("nb"))), "pairs")
+    label = merge(shared.select("node", F.col("node").alias("comp")).limit(0), cut(linked(overlaps(pairs, parts)), "links"), shared)
+    posts, old = cut(relabelled(posts, label), "posts"), posts
+    discard(old, pairs)
     while True:
-        # The hub is the smallest set: it has the best chance to link with all others.
-        per = posts.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("n", "node")).alias("hub"), F.count("*").alias("size"))
-        active = cut(per.where("lo <> hi").select("g", "hub", "size"), "active")
-        live = posts.join(active, "g")
-        if rounds < FIRST:
-            live = live.withColumn("is_hub", F.col("node") == F.col("hub.node"))
-        else:  # hubs are drawn; more in each round, and in the end all
-            draw = F.pmod(F.xxhash64("g", "node", F.lit(rounds)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-            live = live.withColumn("is_hub", (F.col("node") == F.col("hub.node")) | (draw * F.col("size") < 16.0 ** (rounds - FIRST)))
-        live = cut(live.select("g", "node", "n", "most", "comp", "is_hub"), "live")
+        keys = cut(active(posts), "active")
+        live = cut(posts.join(keys, "g"), "live")
+        discard(posts, keys)
         if live.isEmpty():
             return label
-        hubs = live.where("is_hub").select("g", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"))
-        pairs = hubs.join(live.select("g", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb")), "g")
-        pairs = pairs.where("ca <> cb and nb <= ma and na <= mb")
-        if rounds < FIRST:  # one hub for each member; what that leaves open comes again
-            pairs = pairs.groupBy("b", "nb").agg(F.min(F.struct("na", "a")).alias("h")).select(F.col("h.a").alias("a"), "b", F.col("h.na").alias("na"), "nb")
-        once = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "na", "nb")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb")))
-        pairs = pairs.select(once.alias("p")).select("p.*").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        links = cut(verify(pairs, parts, percent), "links")
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        # Hubs of later rounds have met all of their posting and leave it.
-        rest = (live if rounds < FIRST else live.where("not is_hub")).drop("is_hub")
+        # Small postings: every two members of different components that can link.
+        some = live.where(F.col("size") <= few)
+        left = some.select("g", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "v", "rest", "must", "comp")])
+        right = some.select("g", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "v", "rest", "must", "comp")])
+        apart = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.col("must_a") | F.col("must_b"))
+        pairs = left.join(right, "g").where(apart & (F.col("v_a") + F.col("v_b") <= scale * F.least("rest_a", "rest_b")))
+        pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct()
+        # Large ones: every member and the hub.
+        many = live.where(F.col("size") > few)
+        meets = cut(many.where("node <> hub.node").select("node", F.col("hub.node").alias("h"), "n", F.col("hub.n").alias("nh"), "typ").distinct(), "meets")
+        met = ordered(meets.select(F.col("node").alias("a"), F.col("h").alias("b"), F.col("n").alias("na"), F.col("nh").alias("nb")))
+        pairs = cut(pairs.union(met).distinct(), "pairs")
+        sums = cut(overlaps(pairs, parts), "sums")
+        discard(pairs)
+        links = linked(sums)
         if not links.isEmpty():
-            known = shared.select("node").join(label, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-            ends = links.join(known.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(known.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-            merged = components(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-            new = known.join(merged, known["comp"] == merged["v"], "left").select("node", F.coalesce("label", "comp").alias("comp"))
-            label = cut(new.where("node <> comp"), "comps")
-            rest = rest.drop("comp").join(label, "node", "left").select("g", "node", "n", "most", F.coalesce("comp", "node").alias("comp"))
-        posts = cut(rest, "posts")
-        rounds += 1
-
-
-def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, fragments: int = 8) -> DataFrame:
+            label, old = merge(label, links, shared), label
+            discard(old)
+        if meets.isEmpty():
+            return label
+        k, union = F.coalesce("k", F.lit(0)), F.col("n") + F.col("nh") - F.coalesce("k", F.lit(0))
+        v = (100 + percent) * (F.col("n") + F.col("nh") - 2 * k) - (100 - percent) * F.col("n")
+        ends = (F.least("node", "h") == F.col("a")) & (F.greatest("node", "h") == F.col("b"))
+        kinds = meets.join(sums.select("a", "b", "k"), ends, "left")
+        kinds = cut(kinds.select("node", "h", "n", "nh", "typ", v.alias("v"), (100 * k >= percent * union).alias("linked"), (100 * k < (2 * percent - 100) * union).alias("far")), "kinds")
+        # A member far from the hub cannot link with any that links with the hub (Jaccard distances obey the triangle
+        # inequality): it stays with those that do not, and meets another hub with them.
+        told = many.withColumn("h", F.col("hub.node")).join(kinds.select("node", "h", "linked", "far"), ["node", "h"]).where("not linked")
+        told = cut(told.select("g", "node", "n", "typ", "v", "rest", "far"), "told")
+        stay = told.join(told.where("far").select("g").distinct(), "g", "left_semi").withColumnRenamed("far", "must")
+        posts = cut(relabelled(stay.unionByName(refined(kinds, shared, percent)), label), "posts")
+        discard(live, meets, sums, kinds, told)
+        few *= 4
+
+
+def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, fragments: int = 8, few: int = FEW) -> DataFrame:
     """``id, n_shingles, component_id`` of every row."""
     ids = cut(nodes(df, width, id_col, text_col), "nodes")
-    comps = link(candidates(df, ids, width, percent, id_col, text_col), percent, fragments)
+    comps = link(candidates(df, ids, width, percent, id_col, text_col), percent, fragments, few)
     # Rows without n-grams, or without an id, keep to themselves.
     alone = ids.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
     rows = ids.where("n > 0 and id is not null")
-    per_node = rows.groupBy("node").agg(F.min("id").alias("least")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    smallest = per_node.groupBy("comp").agg(F.min("least").alias("component_id"))
+    per_node = cut(rows.groupBy("node").agg(F.min("id").alias("least")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "named")
+    smallest = cut(per_node.groupBy("comp").agg(F.min("least").alias("component_id")), "smallest")
     named = per_node.join(smallest, "comp").select("node", "component_id")
     both = rows.join(named, "node").select("id", "n", "component_id").union(alone)
     return both.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

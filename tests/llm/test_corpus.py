@@ -277,6 +277,27 @@ def test_a_large_group_and_no_rows(spark):
     assert classes_of(spark, []) == []
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_rounds_against_brute_force(spark, seed):
+    """Groups whose members lie around the limit, and texts mixed from common passages, through every kind of round."""
+    rng = random.Random(seed)
+    rows, passages = [], [[f"p{i}x{j}" for j in range(12)] for i in range(6)]
+    for group in range(2):
+        words = [f"g{group}w{i}" for i in range(80)]
+        ways = [[*words] for _ in range(3)]
+        for way in ways[1:]:
+            for _ in range(3):
+                way[rng.randrange(80)] = f"y{rng.randrange(9)}"
+        for _ in range(30):
+            copy = list(rng.choice(ways))
+            for _ in range(rng.randrange(6)):
+                copy[rng.randrange(80)] = f"v{rng.randrange(4000)}"
+            rows.append(copy)
+    rows += [[w for i in rng.sample(range(6), 4) for w in passages[i]] + [f"u{k}x{j}" for j in range(rng.randrange(6))] for k in range(40)]
+    rows = [(k, " ".join(words)) for k, words in enumerate(rows)]
+    assert classes_of(spark, rows, few=2) == brute_classes(rows)
+
+
 def test_shingle_sets():
     texts = ["A b c d e f", "a b c d e f", "a b c d e", None, "", "x", "b c d e f"]
     own, h = shingle_sets(texts)
