@@ -1,15 +1,22 @@
 """Main text of web pages by tag-path ratios.
 
-Every text node of a page has a root-to-leaf tag path.  Per path, the text length and the punctuation are summed and
-divided by the number of its nodes (outside links); both ratios are fused into one score, smoothed along the page with
-a Gaussian window, averaged per path again, and the paths above a multiple of the scores' standard deviation are
-content paths.  The smallest element that holds all text of content paths is the article, or, if that is the page or
-has article elements in it, its parts that hold some; the text is returned
-without what is no article text by construction (navigation, forms, scripts, notices, reader comments ...).
+Every text node of a page has a root-to-leaf tag path.  Per path, the text length and the punctuation of its nodes
+(outside links) are summed and divided by the number of nodes; both ratios are fused into one score, doubled below an
+article or main element and cut to a tenth below elements whose names say that they are something else.  The scores
+are smoothed along the page with a Gaussian window; the geometric means of own and smoothed scores are averaged per
+path again.  A block of text whose nodes' paths score, weighted by length, at least ``strength`` standard deviations of the scores is a content block.
+
+Content blocks make the text.  Weaker blocks (headings, list items, short lines) join them if they stand in an article
+element with content, between two content blocks, as headings right before one, or as list items, table cells, captions
+and the like in the same element; but none that its names mark, and none of which more than half is link text.
+
+What is no text by construction is never read: scripts, styles, forms, media, navigation, asides, footers, dialogs,
+hidden elements.  Names (class, id) mark an element unless it holds the article itself.
 
 Defined results: null or empty html gives an empty text; a page without content gives an empty text; broken markup is
 read as browsers do (unclosed elements end with their parent, unclosed comments at the end of the page); repeated rows
-give repeated results; other columns are left alone.  Memory is bounded by one page at a time.
+give repeated results; other columns are left alone.  Work and memory are linear in the page, at any depth; a worker
+holds one Arrow batch of pages and the tree of one.
 """
 
 from __future__ import annotations
@@ -18,279 +25,308 @@ import html as entities
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Elements and names that mark what is not article text.
+# Elements that hold no article text by construction, and how elements nest.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes".split())
 SKIP = frozenset("head script style noscript template title nav footer aside form button select textarea iframe object embed svg canvas audio video map dialog menu".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARTS = frozenset("li dt dd td th caption figcaption blockquote pre".split())
+FINE = PARTS | HEADINGS | frozenset("p ul ol dl table tbody thead tr figure".split())
 ROOTS = frozenset("html body article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
+#: Opening one of the first closes the outermost open one of the second, up to the nearest of the third.
+CLOSES = {
+    "li": ("li", {"li"}, {"ul", "ol", "menu"}),
+    "dt": ("d", {"dt", "dd"}, {"dl"}),
+    "dd": ("d", {"dt", "dd"}, {"dl"}),
+    "tr": ("tr", {"tr", "td", "th"}, {"table"}),
+    "td": ("td", {"td", "th"}, {"tr", "table"}),
+    "th": ("td", {"td", "th"}, {"tr", "table"}),
+    "option": ("option", {"option"}, {"select"}),
+}
+SCOPES = {name: (own, stop) for name, own, stop in CLOSES.values()}
+SCOPED = {tag: [name for name, (own, stop) in SCOPES.items() if tag in own or tag in stop] for tag in {t for own, stop in SCOPES.values() for t in own | stop}}
+# Words of names (class, id) that mark an element as something else than the article ...
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar aside menu nav navbar navigation "
     "breadcrumb breadcrumbs header masthead topbar footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "subscription signup login social share sharing related recommended recommendations widget widgets comment comments commentlist disqus replies "
     "respond pagination pager toolbar hidden copyright".split()
 )
+# ... those of readers' comments and teasers, which may be articles and long ...
 OTHERS = frozenset("comment comments commentlist disqus replies respond related recommended recommendations".split())
-CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
-}
+# ... and words that say that a name is about what the element holds or lacks besides.
+ABOUT = frozenset("has with without no not enabled disabled layout".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：¿¡]")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
 WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-class Element:
-    __slots__ = ("by_name", "holds", "mass", "names", "number", "parent", "path", "skip", "tag", "unseen")
-
-    def __init__(self, tag: str, parent: Element | None, skip: bool, by_name: bool):
-        self.tag, self.parent, self.skip, self.by_name, self.mass = tag, parent, skip, by_name, 0.0
-        self.path = f"{parent.path}/{tag}" if parent else tag
-        self.names, self.number, self.holds, self.unseen = frozenset(), -1, frozenset(), 0
-
-
-def _marked(tag: str, attributes: str) -> bool:
-    """Whether an element's attributes say that it is no article text."""
+def hidden(attributes: str) -> bool:
+    """Whether an element's attributes say that it is not shown, or no part of the text."""
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name == "role" and value.lower() in ROLES:
+        if name == "style" and HIDDEN.search(value) or name == "role" and value.lower() in ROLES:
             return True
     return False
 
 
-def _names(attributes: str) -> frozenset[str]:
-    """The words of an element's class and id that say that it is no article text."""
-    found = (x.lower() for name, value in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for x in WORD.findall(value))
-    return NAMES.intersection(found)
-
-
-def parse(page: str, lifted: frozenset[int] | None = frozenset(), named: list[Element] | None = None) -> list[tuple[str, Element, int]]:
-    """The text nodes of a page in order: text, element, number of the block.
-
-    Elements that only their names mark are numbered and go to ``named``; those in ``lifted`` (all if None) are read.
-    """
-    root = at = Element("", None, False, False)
-    nodes: list[tuple[str, Element, int]] = []
-    block, end, marks = 0, 0, 0
-    limit = 400  # deeper elements count as their ancestor at this depth
+def names(attributes: str) -> frozenset[str]:
+    """The words of an element's names (class and id) that say that it is something else than the article."""
+    found: set[str] = set()
+    for name, value in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for one in value.strip("\"'").split():
+                own = {x.lower() for x in WORD.findall(one)}
+                if not own & ABOUT:
+                    found |= own & NAMES
+    return frozenset(found)
+
+
+@dataclass
+class Tree:
+    """The elements of a page by number (a parent before its children), and its text nodes in order."""
+
+    tags: list[str] = field(default_factory=lambda: [""])
+    parent: list[int] = field(default_factory=lambda: [0])
+    marks: list[frozenset[str]] = field(default_factory=lambda: [frozenset()])
+    owner: list[int] = field(default_factory=lambda: [0])  # the nearest element that is not inline
+    inside: list[bool] = field(default_factory=lambda: [False])  # in an article or main element
+    linked: list[bool] = field(default_factory=lambda: [False])
+    texts: list[str] = field(default_factory=list)
+    at: list[int] = field(default_factory=list)
+    block: list[int] = field(default_factory=list)
+
+
+def parse(page: str) -> Tree:
+    """The page's elements and text nodes; what is no text by construction is left out."""
+    t = Tree()
+    skip, scope, open_ = [False], [dict.fromkeys(SCOPES, 0)], {}
+    here, block, end = 0, 0, 0
 
     def text(upto: int) -> None:
-        if upto > end and not at.skip:
-            nodes.append((entities.unescape(page[end:upto]), at, block))
-        elif upto > end and marks:
-            x, n = at, len(page[end:upto].strip())
-            while n and x is not None:
-                x.unseen += n
-                x = x.parent
+        if upto > end and not skip[here]:
+            t.texts.append(entities.unescape(page[end:upto]))
+            t.at.append(here)
+            t.block.append(block)
+
+    def close(upto: int) -> None:
+        """Ends all elements from the current one up to this."""
+        nonlocal here
+        stop = t.parent[upto]
+        while here != stop:
+            open_[t.tags[here]] -= 1
+            here = t.parent[here]
 
     scan = TOKEN.scanner(page)
     while m := scan.search():
-        if m.start() < end:
-            continue
         text(m.start())
         end = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         if m[1] or m[4]:
-            x = at
-            while x is not root and x.tag != tag:
-                x = x.parent
-            if x is not root:
-                at = x.parent
+            if open_.get(tag):
+                x = here
+                while t.tags[x] != tag:
+                    x = t.parent[x]
+                close(x)
             if tag not in INLINE:
                 block += 1
             continue
         if tag not in INLINE:
             if tag != "br":
                 block += 1
-                x = at  # a block ends an open paragraph
-                while x is not root and x.tag in INLINE:
-                    x = x.parent
-                if x.tag == "p":
-                    at = x.parent
-            elif not at.skip:
-                nodes.append((" ", at, block))
-        if tag in CLOSES:
-            own, stop = CLOSES[tag]
-            x = at
-            while x is not root and x.tag not in stop:
-                if x.tag in own:
-                    at = x.parent
-                x = x.parent
+                if t.tags[t.owner[here]] == "p":  # a block ends an open paragraph
+                    close(t.owner[here])
+            elif not skip[here]:
+                t.texts.append(" ")
+                t.at.append(here)
+                t.block.append(block)
+        if tag in CLOSES and (x := scope[here][CLOSES[tag][0]]):
+            close(x)
         attributes = m[3] or m[6] or ""
-        if tag in VOID or attributes.endswith("/") and tag not in INLINE and tag not in ROOTS and tag in RAW:
+        if tag in VOID or attributes.endswith("/") and tag in RAW:
             continue
-        inside, x = False, at
-        while x is not root:
-            inside |= x.tag in ("article", "main")
-            x = x.parent
-        by_name = tag not in ROOTS and bool(attributes) and _marked(tag, attributes)
-        names, number = frozenset(), -1
-        if tag not in ROOTS and attributes and not by_name and (names := _names(attributes)):
-            number, marks = marks, marks + 1
-            by_name = lifted is not None and number not in lifted
-        head = tag == "header"
-        skip = at.skip or tag in SKIP or by_name or head
-        if inside and tag in HEADINGS and (at.tag == "header" or at.by_name and at.parent.tag in ("article", "main", "header")) and not by_name:
-            skip = at.parent.skip if at.parent else False  # an article's own title
+        gone = skip[here] or tag in SKIP or tag not in ROOTS and bool(attributes) and hidden(attributes)
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, end)
-            if tag not in SKIP:
-                nodes.append((entities.unescape(page[end : close.start() if close else len(page)]), at, block))
-            end = close.end() if close else len(page)
+            shut = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I).search(page, end)
+            if not gone:
+                t.texts.append(entities.unescape(page[end : shut.start() if shut else len(page)]))
+                t.at.append(here)
+                t.block.append(block)
+            end = shut.end() if shut else len(page)
             scan = TOKEN.scanner(page, end)
             continue
-        at = Element(tag, at, skip, by_name)
-        if names:
-            at.names, at.number = names, number
-            if named is not None:
-                named.append(at)
-        if marks and tag in ("article", "main"):
-            x = at.parent
-            while x is not None:
-                x.holds |= {tag}
-                x = x.parent
+        own = len(t.tags)
+        t.tags.append(tag)
+        t.parent.append(here)
+        t.marks.append(frozenset({"header"}) if tag == "header" else names(attributes) if attributes and tag not in ROOTS else frozenset())
+        t.owner.append(t.owner[here] if tag in INLINE else own)
+        t.inside.append(t.inside[here] or tag in ("article", "main"))
+        t.linked.append(t.linked[here] or tag == "a")
+        skip.append(gone)
+        if tag in SCOPED:
+            s = dict(scope[here])
+            for name in SCOPED[tag]:
+                s[name] = 0 if tag in SCOPES[name][1] else s[name] or own
+            scope.append(s)
+        else:
+            scope.append(scope[here])
+        open_[tag] = open_.get(tag, 0) + 1
+        here = own
     text(len(page))
-    return nodes
-
-
-def path_scores(nodes: list[tuple[str, Element, int]], width: int) -> dict[str, float]:
-    """The smoothed, fused score of each path."""
-    total: dict[str, list[float]] = {}
-    shown = [(" ".join(t.split()), e) for t, e, _ in nodes]
-    shown = [(t, e) for t, e in shown if t]
-    for t, e in shown:
-        s = total.setdefault(e.path, [0, 0, 0])
-        linked = "/a/" in f"{e.path}/"
-        s[0] += 0 if linked else len(t)
-        s[1] += 0 if linked else len(PUNCTUATION.findall(t))
-        s[2] += 1
-    fused = {p: math.sqrt((n / k) * (1 + q / k)) for p, (n, q, k) in total.items()}
-    line = [fused[e.path] for _, e in shown]
-    kernel = [math.exp(-(d * d) / 2) for d in range(-width, width + 1)]
-    out: dict[str, list[float]] = {}
-    for i, (_, e) in enumerate(shown):
-        near = [(line[i + d], w) for d, w in zip(range(-width, width + 1), kernel, strict=True) if 0 <= i + d < len(line)]
-        own = out.setdefault(e.path, [0.0, 0])
-        own[0] += sum(v * w for v, w in near) / sum(w for _, w in near)
-        own[1] += 1
-    return {p: s / k for p, (s, k) in out.items()}
-
-
-def content_paths(nodes: list[tuple[str, Element, int]], width: int, strength: float) -> set[str]:
-    """The paths whose score is high enough."""
-    scores = path_scores(nodes, width)
-    mean = sum(scores.values()) / max(1, len(scores))
-    spread = math.sqrt(sum((s - mean) ** 2 for s in scores.values()) / max(1, len(scores)))
-    return {p for p, s in scores.items() if s >= strength * spread}
-
-
-def weigh(nodes: list[tuple[str, Element, int]], content: set[str]) -> float:
-    """Sets the mass of every element, the length of its text of content paths; that of all."""
-    whole = 0.0
-    for t, e, _ in nodes:
-        if e.path in content:
-            n = len(t.strip())
-            whole += n
-            x: Element | None = e
-            while x is not None:
-                x.mass += n
-                x = x.parent
-    return whole
-
-
-def misnamed(page: str, width: int, strength: float) -> frozenset[int]:
-    """Numbers of the elements whose names mark them and that hold the article all the same."""
-    named: list[Element] = []
-    nodes = parse(page, None, named)
-    content = content_paths(nodes, width, strength)
-    whole = weigh(nodes, content)
-    apart = False
-    for t, e, _ in nodes:
-        x, marked, article = e, False, False
-        while x is not None:
-            marked |= bool(x.names)
-            article |= x.tag in ("article", "main")
-            x = x.parent
-        apart |= article and not marked and e.path in content and bool(t.strip())
-
-    def holds_article(x: Element) -> bool:
-        if not x.mass or x.skip:
-            return False
-        if x.names & OTHERS:  # readers' comments and teasers are often articles, and long
-            return x.mass >= whole
-        most = x.mass > whole / 2 and (bool(x.holds) or not apart)
-        return "main" in x.holds or most or bool(x.holds) and not apart
-
-    return frozenset(x.number for x in named if holds_article(x))
+    return t
+
+
+def apply_marks(t: Tree, sizes: list[int]) -> list[bool]:
+    """Whether each element counts as marked by its names or an ancestor's.
+
+    A mark is void on an element that holds the article: a main element, an article element or most of the page's text,
+    if no unmarked article elsewhere holds text.  Marks of comments and teasers are void only if all text is there.
+    """
+    n = len(t.tags)
+    mass, main, article = [0] * n, [False] * n, [False] * n
+    for k, e in enumerate(t.at):
+        mass[e] += sizes[k]
+    named = [False] * n
+    for e in range(1, n):
+        named[e] = named[t.parent[e]] or bool(t.marks[e])
+    for e in range(n - 1, 0, -1):
+        p = t.parent[e]
+        mass[p] += mass[e]
+        main[p] |= main[e] or t.tags[e] == "main" and mass[e] > 0
+        article[p] |= article[e] or t.tags[e] in ("article", "main") and mass[e] > 0
+    apart = any(t.tags[e] in ("article", "main") and mass[e] and not named[e] for e in range(n))
+    out = [False] * n
+    for e in range(1, n):
+        own = bool(t.marks[e])
+        if own and mass[e]:
+            most = mass[e] > mass[0] / 2 and (article[e] or not apart)
+            holds = mass[e] >= mass[0] if t.marks[e] & OTHERS else main[e] or most or article[e] and not apart
+            own = not holds
+        # An article's own title stays, though it stands in the article's header.
+        out[e] = (out[t.parent[e]] or own) and not (t.tags[e] in HEADINGS and not own and t.inside[e] and _in_header(t, e))
+    return out
+
+
+def _in_header(t: Tree, e: int) -> bool:
+    """Whether a heading stands in a header that is right below (a header of) its article."""
+    p = t.parent[e]
+    return "header" in t.marks[p] and (t.tags[p] == "header" or t.tags[t.parent[p]] in ("article", "main", "header"))
+
+
+def path_scores(t: Tree, sizes: list[int], marked: list[bool], width: int) -> tuple[list[int], list[float]]:
+    """The path number of each element, and the smoothed, fused score of each path."""
+    paths: dict[tuple[int, str, bool], int] = {}
+    path = [0] * len(t.tags)
+    for e in range(1, len(t.tags)):
+        path[e] = paths.setdefault((path[t.parent[e]], t.tags[e], marked[e]), len(paths) + 1)
+    n = len(paths) + 1
+    chars, points, nodes, prior = [0] * n, [0] * n, [0] * n, [1.0] * n
+    line = []
+    for k, e in enumerate(t.at):
+        if sizes[k]:
+            p = path[e]
+            line.append(p)
+            nodes[p] += 1
+            prior[p] = (2.0 if t.inside[e] else 1.0) * (0.1 if marked[e] else 1.0)
+            if not t.linked[e]:
+                chars[p] += sizes[k]
+                points[p] += len(PUNCTUATION.findall(t.texts[k]))
+    fused = [prior[p] * math.sqrt(chars[p] / nodes[p] * (1 + points[p] / nodes[p])) if nodes[p] else 0.0 for p in range(n)]
+    weights = [math.exp(-(d * d) / 2) for d in range(-width, width + 1)]
+    total = [0.0] * n
+    for i, p in enumerate(line):
+        near = [(fused[line[i + d]], w) for d, w in zip(range(-width, width + 1), weights, strict=True) if 0 <= i + d < len(line)]
+        total[p] += math.sqrt(fused[p] * sum(v * w for v, w in near) / sum(w for _, w in near))
+    return path, [total[p] / nodes[p] if nodes[p] else -1.0 for p in range(n)]
+
+
+@dataclass
+class Block:
+    """A run of text below one element that is not inline."""
+
+    element: int
+    text: str
+    score: float
+    link: float  # the share of its text that is link text
+
+
+def blocks(t: Tree, sizes: list[int], path: list[int], scores: list[float]) -> list[Block]:
+    out: list[Block] = []
+    k = 0
+    while k < len(t.at):
+        z = k
+        while z < len(t.at) and t.block[z] == t.block[k] and t.owner[t.at[z]] == t.owner[t.at[k]]:
+            z += 1
+        size = sum(sizes[k:z])
+        if size:
+            score = sum(sizes[i] * scores[path[t.at[i]]] for i in range(k, z)) / size
+            link = sum(sizes[i] for i in range(k, z) if t.linked[t.at[i]]) / size
+            out.append(Block(t.owner[t.at[k]], " ".join("".join(t.texts[k:z]).split()), score, link))
+        k = z
+    return out
 
 
 def main_text(page: str | None, *, strength: float = 0.5, width: int = 1) -> str:
     """The article of one page: its blocks, joined by one space."""
     if not page:
         return ""
-    named: list[Element] = []
-    nodes = parse(page, frozenset(), named)
-    shown = sum(len(t.strip()) for t, _, _ in nodes)
-    if any(x.holds or x.unseen > shown for x in named):
-        nodes = parse(page, misnamed(page, width, strength))
-    content = content_paths(nodes, width, strength)
-    whole = weigh(nodes, content)
-    if not whole:
+    t = parse(page)
+    sizes = [len("".join(x.split())) for x in t.texts]
+    marked = apply_marks(t, sizes)
+    path, scores = path_scores(t, sizes, marked, width)
+    seen = [s for s in scores if s >= 0]
+    if not seen:
+        return ""
+    mean = sum(seen) / len(seen)
+    limit = strength * math.sqrt(sum((s - mean) ** 2 for s in seen) / len(seen))
+    found = blocks(t, sizes, path, scores)
+    free = [not marked[b.element] and b.link <= 0.5 for b in found]
+    strong = [f and b.score >= limit for f, b in zip(free, found, strict=True)]
+    if not any(strong):
         return ""
-    best: Element | None = None
-    for _, e, _ in nodes:  # the innermost element that holds all of it
-        x = e
-        while x is not None:
-            if x.mass >= whole and (best is None or len(x.path) > len(best.path)) and x.tag not in INLINE and x.tag != "p":
-                best = x
-            x = x.parent
-    x = best
-    while x is not None and x.tag not in ("article", "main"):
-        x = x.parent
-    articles = False
-    if x is not None:
-        best = x
+    # The outermost article of each element, and the article elements that hold content.
+    article = [0] * len(t.tags)
+    for e in range(1, len(t.tags)):
+        article[e] = article[t.parent[e]] or (e if t.tags[e] in ("article", "main") else 0)
+    held = {article[b.element] for b, s in zip(found, strong, strict=True) if s} - {0}
+    in_articles = sum(len(b.text) for b, s in zip(found, strong, strict=True) if s and article[b.element])
+    if 2 * in_articles >= sum(len(b.text) for b, s in zip(found, strong, strict=True) if s):
+        keep = [f and article[b.element] in held for f, b in zip(free, found, strict=True)]
     else:
-        for _, e, _ in nodes:
-            x, inside = e, False
-            while x is not best and x is not None:
-                inside |= x.tag in ("article", "main") and x.mass > 0
-                x = x.parent
-            articles |= inside and x is best
-    kept: dict[int, list[str]] = {}
-    for t, e, block in nodes:
-        x, inside, part = e, False, e
-        while x is not None:
-            if x is best:
-                inside = True
-                break
-            part, x = x, x.parent
-        if not inside:
-            continue
-        # No common container of its own: whole parts that hold content.
-        if (articles or best.tag in ("", "html", "body")) and (part.mass <= 0 or part is e and e.path not in content):
-            continue
-        kept.setdefault(block, []).append(t)
-    blocks = (" ".join("".join(ts).split()) for ts in kept.values())
-    return " ".join(b for b in blocks if b)
+        keep = between(t, found, free, strong)
+    return " ".join(b.text for b, k in zip(found, keep, strict=True) if k)
+
+
+def between(t: Tree, found: list[Block], free: list[bool], strong: list[bool]) -> list[bool]:
+    """The content blocks and the weaker ones that belong to them, on a page whose article elements do not tell."""
+    first, last = strong.index(True), len(strong) - 1 - strong[::-1].index(True)
+    keep = [s or f and first < i < last for i, (s, f) in enumerate(zip(strong, free, strict=True))]
+    for i in range(first - 1, -1, -1):  # headings right before the content
+        if not (free[i] and t.tags[found[i].element] in HEADINGS):
+            break
+        keep[i] = True
+    homes = {t.parent[b.element] for b, s in zip(found, strong, strict=True) if s}
+    homes = {e for e in homes if t.tags[e] not in ("", "html", "body")}
+    base = [0] * len(t.tags)  # the nearest element that is no part of a list or table
+    for e in range(1, len(t.tags)):
+        base[e] = base[t.parent[e]] if t.tags[e] in FINE else e
+    for i, b in enumerate(found):  # lists, tables and captions beside the content
+        if free[i] and t.tags[b.element] in FINE:
+            keep[i] |= base[b.element] in homes
+    return keep
 
 
 def extract(df: DataFrame, *, id_col: str = "page_id", html_col: str = "html", strength: float = 0.5) -> DataFrame:
@@ -300,7 +336,9 @@ def extract(df: DataFrame, *, id_col: str = "page_id", html_col: str = "html", s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x.as_py(), strength=strength) for x in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=b.schema.names)
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                texts = [main_text(x.as_py(), strength=strength) for x in part.column(b.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=b.schema.names)
 
     return kept.mapInArrow(run, kept.schema)

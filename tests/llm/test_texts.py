@@ -156,6 +156,36 @@ def test_names_around_the_article(mark, tag):
     assert html_paths.main_text(f"<body><article><p>{SHORT}</p></article><div class=comments><article><p>{LONG}</p></article></div></body>") == SHORT.strip()
 
 
+def test_content_is_chosen_by_path_scores():
+    """Menus and teasers without names go by their scores; a higher threshold chooses less, a lower one more."""
+    page = f"<body><div>Menu A | Menu B</div><h1>A title</h1><p>{LONG}</p><p>{LONG}</p><ul><li>An item</li></ul><p>{LONG}</p><div>Read also this</div></body>"
+    text = f"A title {LONG.strip()} {LONG.strip()} An item {LONG.strip()}"
+    assert html_paths.main_text(page) == text
+    assert html_paths.main_text(page, strength=0.0) == f"Menu A | Menu B {text} Read also this"
+    assert html_paths.main_text(page, strength=50.0) == ""
+    two = f"<body><div><p>{LONG}</p></div><section><div>{SHORT}</div></section></body>"
+    assert html_paths.main_text(two) == f"{LONG.strip()} {SHORT.strip()}" and html_paths.main_text(two, strength=2.0) == LONG.strip()
+
+
+def test_parts_of_the_article_element():
+    inner = f"<h1>A title</h1><p>{LONG}</p><div class='advert-box'><p>Buy this now, really. It is cheap, too.</p></div><ul><li><a href=1>One link</a><li><a href=2>Two links</a></ul><h2>More</h2><p>{SHORT}<a href=3>with a link</a>.</p><ul><li>an item</ul>"
+    text = f"A title {LONG.strip()} More {SHORT.strip()} with a link. an item"
+    for page in (f"<article>{inner}</article>", f"<div class='article-body-with-comments'><article>{inner}</article></div>", f"<article class='article-body-with-comments'>{inner}</article>", f"<div class='article-body-with-comments'>{inner}</div>"):
+        assert html_paths.main_text(f"<body>{page}<div class='post-comments'><p>{LONG}</p></div></body>") == text
+    header = f"<article><div class='entry-header'><h1>A title</h1><span>By me</span></div><p>{LONG}</p></article>"
+    assert html_paths.main_text(f"<body>{header}</body>") == f"A title {LONG.strip()}"
+
+
+@pytest.mark.parametrize("unit", ["<div><b>", "<li>", "<p>", "<div></x>", "<ul><li>a", "<table><tr><td>"])
+def test_broken_pages_take_linear_time(unit):
+    import time
+
+    page = unit * (1_000_000 // len(unit)) + "the end"
+    began = time.time()
+    assert html_paths.main_text(page).endswith("the end")
+    assert time.time() - began < 10  # a third of a second to a second here
+
+
 # --- 1: decontamination -----------------------------------------------------------------------------------------
 
 
