@@ -10,6 +10,11 @@ from pyspark.sql.types import StringType
 SPACE = r"(?U)\s+"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends; null becomes empty."""
     return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "")
@@ -22,8 +27,7 @@ def squeeze(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Number of words between white space; 0 for blank and null texts."""
-    text = strip(c)
-    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, SPACE)))
+    return F.regexp_count(F.coalesce(c.cast("string"), F.lit("")), F.lit(r"(?U)\S++"))
 
 
 def words(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noveltide.config import TextConfig
-from noveltide.functions.text import strip, word_count
+from noveltide.functions.text import let, strip, word_count
 
 # Frequent function words by language.
 STOP_WORDS = {
@@ -26,13 +26,25 @@ Detector = Callable[[Column], Column]
 
 
 def stop_word_detector(text: Column) -> Column:
-    """The language with most stop-word occurrences (ties: smallest code), with its share of all hits; none: ("", 0)."""
+    """The language with most stop-word occurrences (ties: smallest code), with its share of all hits; none: ("", 0).
+
+    The text is split once; what is left of it are the few words that any language counts.
+    """
+    langs = sorted(STOP_WORDS)
     tokens = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
-    hits = [F.struct(F.size(F.filter(tokens, _in(words))).alias("n"), F.lit(lang).alias("lang")) for lang, words in sorted(STOP_WORDS.items())]
-    best = F.array_max(F.transform(F.array(*hits), lambda h: h["n"]))
-    top = F.element_at(F.filter(F.array(*hits), lambda h: h["n"] == best), 1)
-    total = F.aggregate(F.array(*hits), F.lit(0), lambda s, h: s + h["n"])
-    return F.struct(F.when(best > 0, top["lang"]).otherwise("").alias("lang"), F.when(best > 0, best / total).otherwise(0.0).cast("float").alias("conf"))
+    hits = F.filter(tokens, _in(sorted({w for words in STOP_WORDS.values() for w in words})))
+
+    def counted(found: Column) -> Column:
+        # Equal counts go to the first language, whose negative number is larger.
+        each = F.array(*[F.struct(F.size(F.filter(found, _in(STOP_WORDS[lang]))).alias("n"), F.lit(-k).alias("k")) for k, lang in enumerate(langs)])
+        return let(each, lambda c: F.struct(F.array_max(c).alias("best"), F.aggregate(c, F.lit(0), lambda t, x: t + x["n"]).alias("total")))
+
+    def named(c: Column) -> Column:
+        lang = F.element_at(F.array(*map(F.lit, langs)), 1 - c["best"]["k"])
+        some = c["best"]["n"] > 0
+        return F.struct(F.when(some, lang).otherwise("").alias("lang"), F.when(some, c["best"]["n"] / c["total"]).otherwise(0.0).cast("float").alias("conf"))
+
+    return let(let(hits, counted), named)
 
 
 def _in(words: list[str]):
@@ -43,17 +55,22 @@ def detect(df: DataFrame, detector: Detector = stop_word_detector, cfg: TextConf
     """Adds ``lang_abstract, conf_abstract, lang_title, conf_title``; empty and 0 where a text was not evaluated.
 
     Abstracts of at least four words are evaluated; titles (lower-cased) only where the abstract passed, so the costly
-    second detection runs on few rows.
+    second detection runs on few rows.  Both stand behind a generator: conditions on their results would otherwise be
+    pushed below them, with a copy of the detector for each.
     """
     missing = {"title", "abstract"} - set(df.columns)
     if missing:
         raise ValueError(f"columns are missing: {sorted(missing)}")
     none = F.struct(F.lit("").alias("lang"), F.lit(0.0).cast("float").alias("conf"))
-    rows = df.withColumn("title", strip(F.col("title"))).withColumn("abstract", strip(F.col("abstract")))
-    rows = rows.withColumn("_a", F.when(word_count(F.col("abstract")) >= cfg.least_words, detector(F.col("abstract"))).otherwise(none))
+    other = [F.col(c) for c in df.columns if c not in ("title", "abstract")]
+    order = [F.col(c) for c in df.columns]
+    texts = F.struct(strip(F.col("title")).alias("title"), strip(F.col("abstract")).alias("abstract"))
+    rows = df.select(*other, F.explode(F.array(texts)).alias("_x")).select(*other, "_x.*")
+    found = F.when(word_count(F.col("abstract")) >= cfg.least_words, detector(F.col("abstract"))).otherwise(none)
+    rows = rows.select("*", F.explode(F.array(found)).alias("_a"))
     passed = (F.col("_a.lang") == cfg.target) & (F.col("_a.conf") >= F.lit(cfg.abstract_confidence).cast("float")) & (F.col("title") != "")
-    rows = rows.withColumn("_t", F.when(passed, detector(F.lower("title"))).otherwise(none))
-    return rows.select("*", F.col("_a.lang").alias("lang_abstract"), F.col("_a.conf").alias("conf_abstract"), F.col("_t.lang").alias("lang_title"), F.col("_t.conf").alias("conf_title")).drop("_a", "_t")
+    rows = rows.select("*", F.explode(F.array(F.when(passed, detector(F.lower("title"))).otherwise(none))).alias("_t"))
+    return rows.select(*order, F.col("_a.lang").alias("lang_abstract"), F.col("_a.conf").alias("conf_abstract"), F.col("_t.lang").alias("lang_title"), F.col("_t.conf").alias("conf_title"))
 
 
 def accepted(cfg: TextConfig = TextConfig()) -> Column:

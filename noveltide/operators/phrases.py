@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noveltide.config import TextConfig
@@ -31,29 +31,34 @@ def learn(df: DataFrame, tokens_col: str = "tokens", min_count: int = TextConfig
     return some.join(first, "a").join(second, "b").withColumn("score", score).where(F.col("score") > threshold).select("a", "b", "n_ab", "score")
 
 
-def merge(tokens: Column, known: Column) -> Column:
-    """Greedy from left to right, without overlaps: adjacent tokens whose ``a b`` is in the array ``known`` become ``a_b``.
+def merge(tokens: Column, starts: Column) -> Column:
+    """The tokens with those at the (ascending, not overlapping, from 0) ``starts`` joined to their successors by ``_``.
 
-    The fold keeps the merged tokens and, apart, the last token if it may still merge.
+    The pieces between the merges are copied whole, so the work is linear in the text.
     """
-    none = F.lit(None).cast("string")
-    start = F.struct(F.array().cast("array<string>").alias("out"), none.alias("last"))
+    count, n = F.size(starts), F.size(tokens)
 
-    def step(acc: Column, t: Column) -> Column:
-        joins = acc["last"].isNotNull() & F.array_contains(known, F.concat_ws(" ", acc["last"], t))
-        merged = F.struct(F.array_append(acc["out"], F.concat_ws("_", acc["last"], t)).alias("out"), none.alias("last"))
-        moved = F.struct(F.when(acc["last"].isNotNull(), F.array_append(acc["out"], acc["last"])).otherwise(acc["out"]).alias("out"), t.alias("last"))
-        return F.when(joins, merged).otherwise(moved)
+    def piece(j: Column) -> Column:
+        begin = F.when(j == 0, F.lit(0)).otherwise(F.get(starts, j - 1) + 2)
+        end = F.when(j < count, F.get(starts, j)).otherwise(n)
+        joined = F.when(j < count, F.array(F.concat_ws("_", F.get(tokens, end), F.get(tokens, end + 1)))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.slice(tokens, begin + 1, end - begin), joined)
 
-    return F.aggregate(tokens, start, step, lambda acc: F.when(acc["last"].isNotNull(), F.array_append(acc["out"], acc["last"])).otherwise(acc["out"]))
+    return F.flatten(F.transform(F.sequence(F.lit(0), count), piece))
 
 
 def apply(df: DataFrame, bigrams: DataFrame, id_col: str = "eid", tokens_col: str = "tokens") -> DataFrame:
-    """``df`` with its tokens merged.
+    """``df`` with known bigrams merged greedily from left to right, without overlaps: ``a b`` becomes ``a_b``.
 
-    Each document meets the bigrams among its own neighbours by an equality join, so the table of bigrams may be large.
+    Neighbours meet the bigrams by an equality join, so the table of bigrams may be large (Spark broadcasts a small
+    one).  In a run of known pairs that follow each other, the greedy merge takes every other one from the first on, so
+    a document's merges are told by their parity within the run.
     """
-    own = df.select(id_col, F.explode(F.array_distinct(neighbours(F.col(tokens_col)))).alias("p")).select(id_col, "p.a", "p.b")
-    found = own.join(bigrams.select("a", "b"), ["a", "b"]).groupBy(id_col).agg(F.collect_set(F.concat_ws(" ", "a", "b")).alias("_known"))
-    rows = df.join(found, id_col, "left").withColumn("_known", F.coalesce("_known", F.array().cast("array<string>")))
-    return rows.withColumn(tokens_col, merge(F.col(tokens_col), F.col("_known"))).drop("_known").select(*df.columns)
+    own = df.select(id_col, F.posexplode(neighbours(F.col(tokens_col))).alias("i", "p")).select(id_col, "i", "p.a", "p.b")
+    found = own.join(bigrams.select("a", "b").distinct(), ["a", "b"]).select(id_col, "i").distinct()
+    by_doc = Window.partitionBy(id_col).orderBy("i")
+    runs = found.withColumn("run", F.col("i") - F.row_number().over(by_doc))
+    odd = F.row_number().over(Window.partitionBy(id_col, "run").orderBy("i")) % 2 == 1
+    merges = runs.withColumn("odd", odd).where("odd").groupBy(id_col).agg(F.array_sort(F.collect_list("i")).alias("_starts"))
+    rows = df.join(merges, id_col, "left").withColumn("_starts", F.coalesce("_starts", F.array().cast("array<int>")))
+    return rows.withColumn(tokens_col, F.when(F.size("_starts") > 0, merge(F.col(tokens_col), F.col("_starts"))).otherwise(F.col(tokens_col))).select(*df.columns)
