@@ -178,7 +178,9 @@ def first_postings(shared: DataFrame, percent: int) -> DataFrame:
     s = F.size("shared")
     count = (s - F.floor(need(F.col("n"), percent)) + 1).cast("int")
     typ = F.aggregate("shared", F.lit(0.0), lambda t, x: t + F.log(x["df"].cast("double"))) / F.col("n")
-    rows = shared.select("node", "n", typ.alias("typ"), s.alias("s"), F.posexplode(F.slice("shared", 1, count)).alias("i", "x"))
+    # Named below the generator: above it, they would be worked out for each n-gram.
+    rows = shared.select("node", "n", typ.alias("typ"), s.alias("s"), F.slice("shared", F.lit(1), count).alias("first"))
+    rows = rows.select("node", "n", "typ", "s", F.posexplode("first").alias("i", "x"))
     v = (2 * percent * F.col("n")).cast("long")
     return rows.select(F.col("x.g").alias("g"), "node", "n", "typ", v.alias("v"), (F.col("s") - F.col("i")).alias("rest"), F.lit(True).alias("must"), F.col("node").alias("comp"))
 
