@@ -65,30 +65,63 @@ def test_base_spans(spark):
         assert spans_of(r) == base(r.text)
 
 
-def test_terms_against_brute_force(spark):
-    """Around one address 'zorblax' stands nearly always and nowhere else; 'common' stands everywhere."""
-    p = pii.PiiParams(context=3, support=3)
-    rows = [(k, f"common word{k} zorblax person@mail.example common tail{k} common far away text Zorblax") for k in range(6)]
-    rows += [(k, f"common word{k} other text of no account") for k in range(6, 60)]
-    rows += [(60, "zorblax alone in this text"), (60, "zorblax alone in this text"), (61, None)]
-    out = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, DOCS), params=p).collect()}
-    n = len({(k, t or "") for k, t in rows})
+def brute_terms(rows, p):
+    """Term spans (start, end, action) of each (id, text), by the definition."""
 
     def words(t):
-        return [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
-
-    def share(term, with_entity):
-        n_t = len({(k, t) for k, t in rows if term in words(t)})
-        # Repeated rows count twice in the corpus counts of terms.
-        n_t += 1 if term in ("zorblax", "alone", "in", "this", "text") and term in words(rows[60][1]) else 0
-        return math.log(with_entity * n / (6 * n_t)) / math.log(n / 6)
-
-    assert p.generalise <= share("zorblax", 6) < p.remove and share("common", 6) < p.generalise
-    for k in range(6):
-        terms = [s for s in out[k].spans if s.kind == "term"]
-        assert [rows[k][1][s.start : s.end] for s in terms] == ["zorblax", "Zorblax"] and {s.action for s in terms} == {"generalise"}
-        assert out[k].clean == f"common word{k} [TERM] [EMAIL] common tail{k} common far away text [TERM]"
-    assert all(not r.spans and r.clean == (r.text or "") for k, r in out.items() if k >= 6)
+        return {w for w in re.split(r"[\W_]+", t.lower()) if w}
+
+    rows = [(d, t or "") for d, t in rows]
+    docs = sorted(set(rows), key=repr)
+    held = {d: {(k, d[1][a:z].lower()) for k, s in base(d[1]).items() for a, z in s} for d in docs}
+    n, n_e, n_t, n_et = len(docs), Counter(e for d in docs for e in held[d]), Counter(w for d in rows for w in words(d[1])), Counter((e, w) for d in docs for e in held[d] for w in words(d[1]))
+    share = {(e, w): math.log(k * min(1, k / p.support) * n / (n_e[e] * max(k, n_t[w]))) / math.log(n / n_e[e]) for (e, w), k in n_et.items() if n_e[e] < n}
+    hidden = {w for (_, w), s in share.items() if s >= p.remove}
+    out = {}
+    for d in docs:
+        told = {w for w in words(d[1]) if w in hidden or any(share.get((e, w), 0) >= p.generalise for e in held[d])}
+        taken = [s for spans in base(d[1]).values() for s in spans]
+        found = [m for m in re.finditer(r"[^\W_]+", d[1]) if m[0].lower() in told and not any(a < m.end() and m.start() < z for a, z in taken)]
+        out[d] = [(m.start(), m.end(), "remove" if m[0].lower() in hidden else "generalise") for m in found]
+    return out
+
+
+def terms_of(rows):
+    return {(r.doc_id, r.text or ""): [(s.start, s.end, s.action) for s in r.spans if s.kind == "term"] for r in rows}
+
+
+@pytest.mark.parametrize("support", [1, 3])
+def test_terms_against_brute_force(spark, support):
+    p = pii.PiiParams(support=support)
+    rows = [(k, f"common word{k} zorblax person@mail.example common tail{k} common far away text Zorblax é") for k in range(6)]
+    rows += [(k, f"common word{k} other text of no account") for k in range(6, 60)]
+    rows += [(60, "zorblax alone in this text"), (60, "zorblax alone in this text"), (61, None), (62, "Quuxly 1987 x9z 12345 and +1 555 1234567 " * 300)]
+    got = pii.sanitise(spark.createDataFrame(rows, DOCS), params=p).collect()
+    want = brute_terms(rows, p)
+    assert terms_of(got) == want and any(want.values())
+    assert all(r.clean == (r.text or "") for r in got if not r.spans) and len(got) == len(rows)
+    long = next(r for r in got if r.doc_id == 62)
+    if support == 3:
+        assert {s.action for s in long.spans if s.kind == "term"} == {"generalise"}
+        assert long.clean == "[NAME] 1980s [CODE] [NUMBER OF 5 DIGITS] [TERM] [PHONE] " * 300
+    else:
+        assert long.clean == "     [PHONE] " * 300
+
+
+def test_terms_of_the_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = brute_terms(rows, pii.PiiParams())
+    assert terms_of(pii.sanitise(spark.createDataFrame(rows, DOCS)).collect()) == want
+    assert sum(map(len, want.values())) > 0
+
+
+def test_columns_of_any_name_are_kept(spark):
+    own = {"email": "mine", "ip": "1", "card": "2", "phone": "3", "_text": "4", "_id": "5", "_th": "6", "_row": "7", "base": "8", "terms": "9", "match": "10"}
+    df = spark.createDataFrame([(1, "to a@b.example", *own.values(), "gone", "gone")], ", ".join(f"{c} string" for c in ["doc_id", "text", *own, "spans", "clean"]))
+    out = pii.sanitise(df)
+    assert out.columns == ["doc_id", "text", *own, "spans", "clean"]
+    row = out.first().asDict()
+    assert {k: row[k] for k in own} == own and row["clean"] == "to [EMAIL]"
 
 
 def test_terms_are_removed_and_empty_tables(spark):
