@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from noveltide.llm import cgk_decontamination as cgk
@@ -253,17 +254,75 @@ def test_odd_leaks(spark):
 # --- 3: licences ------------------------------------------------------------------------------------------------
 
 
-def test_licences(spark):
-    model = licences.fit(spark)
-    wrap = "Some words before. {} And some words after that have nothing to do with it at all."
-    texts = [(k, wrap.format(t)) for k, (_, t) in enumerate(licences.TEMPLATES)]
-    got = {r.doc_id: r.family for r in licences.scan(spark.createDataFrame(texts, DOCS), model).collect()}
-    right = sum(got.get(k) == f for k, (f, _) in enumerate(licences.TEMPLATES))
-    assert right >= 0.85 * len(texts)
-    none = ["The museum's license expired in May and was renewed.", "Copyright law was discussed at length.", "Nothing here."]
-    none += ["Ask for permission first, then take the picture.", "The apache helicopter landed."]
+# Notices that the templates do not hold in this form: other names, years, spellings and surroundings.
+NOTICES = [
+    ("mit", "Copyright (c) 2019 Jane Roe. Permission is hereby granted, free of charge, to any person obtaining a copy of this library and associated documentation files, to deal in the Software without any restriction."),
+    ("mit", "foo.js v1.2 (c) 2015 Somebody. Released under the MIT license, see LICENSE for more."),
+    ("mit", "This plugin is licensed under the MIT License."),
+    ("mit", "The code is distributed under the terms of the MIT License."),
+    ("apache", "Copyright 2021 The Foo Authors. Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache", "Unless required by law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, express or implied."),
+    ("apache", "The project is available under the Apache License 2.0, as are its docs."),
+    ("gpl", "frob - a tool. Copyright (C) 2007 A. Hacker. This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl", "You should have received a copy of the GNU General Public License along with Foo. If not, see http://www.gnu.org/licenses/."),
+    ("gpl", "The texts are licensed under the GNU General Public License, version 3 or newer."),
+    ("gpl", "Free under GPLv3 or later, as always."),
+    ("lgpl", "libfrob is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("agpl", "Server is free software: you can redistribute it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3."),
+    ("bsd", "Copyright 2011 Google. Redistribution and use in source and binary forms, with or without any modification, are permitted provided that the following conditions are all met:"),
+    ("bsd", "Neither the name of Google Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior permission in writing."),
+    ("bsd", "Use of this code is governed by a BSD-style license that can be found in the LICENSE file of the project."),
+    ("mpl", "This source code form is subject to the terms of the Mozilla Public License, version 2.0. If a copy of the MPL was not distributed with it, get one at mozilla.org/MPL/2.0/."),
+    ("isc", "Copyright (c) 2004 OpenBSD. Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the copyright notice and this permission notice appear in all copies."),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the author be held liable for any damages arising from its use."),
+    ("cc-by", "Except where noted, this work is licensed under a Creative Commons Attribution 4.0 International License by its author."),
+    ("cc-by", "Photo: J. Roe, CC BY 4.0, via the archive."),
+    ("cc-by-sa", "Content here is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License unless stated."),
+    ("cc-by-sa", "Map by K. Muster, CC BY-SA 4.0"),
+    ("cc-by-nc", "All posts are licensed under CC BY-NC 4.0."),
+    ("cc0", "To the extent possible under law, Jane Roe has waived all copyright and related rights to this work, CC0 1.0 Universal."),
+    ("unlicense", "This is free and unencumbered software, released into the public domain by its author."),
+    ("proprietary", "(c) 2020 Foo Press. All rights reserved. No part of this book may be reproduced without the prior written permission of the publisher."),
+]
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    return licences.fit(spark, spark.read.parquet(f"{SF}/documents.parquet"))
+
+
+def test_licences(spark, licence_model):
+    """Unseen notices, on one line, wrapped as comments, and glued to wrapped prose; and texts that are none."""
+    import textwrap
+
+    prose = "The town lies on a river and had a mill for most of its history, until a fire took it. Fish are sold at the market on Fridays, and people come from far to buy them there. "
+    forms = [
+        lambda t: t,
+        lambda t: "\n".join(" * " + x for x in textwrap.wrap(t, 60)),
+        lambda t: "\n".join(textwrap.wrap(prose * 3 + t + " " + prose * 2, 72)),
+    ]
+    texts = [(100 * j + k, f(t)) for j, f in enumerate(forms) for k, (_, t) in enumerate(NOTICES)]
+    found = {}
+    for r in licences.scan(spark.createDataFrame(texts, DOCS), licence_model).collect():
+        found.setdefault(r.doc_id, set()).add(r.family)
+    wrong = [(j, t) for j in range(len(forms)) for k, (f, t) in enumerate(NOTICES) if found.get(100 * j + k, set()) - {"unknown"} != {f}]
+    assert len(wrong) <= 0.05 * len(texts), wrong
+    docs = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet").where("not text rlike '(?i)licen|rights reserved'").select("doc_id", "text")
+    hits = licences.scan(docs, licence_model)
+    assert hits.where("confirmed").count() == 0 and hits.select("doc_id").distinct().count() <= 0.01 * docs.count()
+
+
+def test_odd_licence_texts(spark, licence_model):
+    none = ["The museum's license expired in May and was renewed.", "Copyright law was discussed at length.", "Nothing here.", "Ask for permission first, then take the picture.", "The apache helicopter landed."]
     rows = [(k, t, "clash", 1.0) for k, t in enumerate(none)] + [(90, None, "", 0.0), (91, "", "", 0.0), (92, "x " * 200_000 + "\nReleased under the MIT License.\n", "", 0.0), (92, "Released under the MIT License.", None, None)]
-    out = licences.scan(spark.createDataFrame(rows, f"{DOCS}, family string, probability double"), model).collect()
+    rows += [(93, " \n\n.\n", "", 0.0), (94, "Released under the MIT License. " * 3, "", 0.0), (94, "Released under the MIT License. " * 3, "", 0.0)]
+    out = licences.scan(spark.createDataFrame(rows, f"{DOCS}, family string, probability double"), licence_model).collect()
     assert {r.family for r in out if r.doc_id < 90} <= {"unknown"}
-    assert sorted((r.doc_id, r.paragraph, r.family) for r in out if r.doc_id >= 90) == [(92, 0, "mit"), (92, 1, "mit")]
-    assert licences.scan(spark.createDataFrame([], DOCS), model).count() == 0
+    lines = [(r.doc_id, r.paragraph, r.family) for r in out if r.doc_id >= 90 and r.unit == "line"]
+    assert sorted(lines) == [(92, 0, "mit"), (92, 1, "mit"), (94, 0, "mit"), (94, 0, "mit")]
+    assert licences.scan(spark.createDataFrame([], DOCS), licence_model).count() == 0
+    alone = licences.fit(spark, spark.createDataFrame([], DOCS))
+    # Equal probabilities go to the family that sorts first.
+    one = spark.createDataFrame([([0.1, 0.4, 0.4, 0.1],)], "probability array<double>").select(array_to_vector("probability").alias("probability"))
+    assert licences.best(one, ["apache", "bsd", "mit", "unknown"]).first().family == "bsd"
+    assert 0 < alone.threshold < 1
