@@ -4,10 +4,11 @@ Texts are compared by a blended-spectrum presence kernel: the number of distinct
 two texts share, over the geometric mean of their own numbers.  Nystrom landmarks turn the kernel into a short feature
 vector, one-versus-rest kernel ridge regression is solved on it, and texts are scored by batched matrix products: a
 presence matrix times the landmarks' matrix times the coefficients.  Long texts are read in chunks, all of which count.
+N-grams are told apart exactly, so the kernel is exact.
 
 Defined results: null texts and texts without letters get ``und`` and score 0; without labelled rows every text gets
 that; rows with a null language teach nothing; ties go to the language that sorts first; repeated rows give repeated
-results.  Training reads at most ``per_lang`` rows of a language and ``chunks_per_row`` chunks of a row.
+results.  Training reads the whole texts of at most ``per_lang`` rows of a language; a landmark is a chunk of one.
 """
 
 from __future__ import annotations
@@ -18,23 +19,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
+CELLS = 1 << 25  # of a presence matrix that is in memory at once
 
 
 @dataclass
 class KernelParams:
-    """``buckets``: of the hashed n-grams.  ``ridge``: per training chunk.  ``landmarks``: in all, shared by languages."""
+    """``ns``: at most three.  ``ridge``: per training chunk.  ``landmarks``: in all, shared by languages."""
 
     ns: tuple[int, ...] = (1, 2, 3)
-    buckets: int = 1 << 14
     chunk: int = 2000
     landmarks: int = 96
     ridge: float = 1e-4
     per_lang: int = 300
-    chunks_per_row: int = 4
+    dense_alphabet: int = 160  # up to so many letters, n-grams are looked up in a table, else by search
 
 
 @lru_cache(maxsize=1)
@@ -48,167 +49,265 @@ def _codes(text: str) -> np.ndarray:
     is_letter = letters()[cps]
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]
-    return np.where(is_letter, cps, 32)[keep].astype(np.uint32)
+    return np.where(is_letter, cps, 32)[keep].astype(np.int64)
 
 
-def presence(texts: list[str], p: KernelParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Owner and weight of each chunk, and per n the flat (chunk, bucket) cells that hold an n-gram, as two arrays."""
+@dataclass
+class Chunks:
+    """The chunks of some texts: the text and size of each, all code points, and the chunk and text of each of them."""
+
+    owner: np.ndarray
+    weight: np.ndarray
+    flat: np.ndarray
+    chunk: np.ndarray
+    doc: np.ndarray
+
+
+def chunks_of(texts: list[str], p: KernelParams) -> Chunks:
     codes = [_codes(t) for t in texts]
     lens = np.array([len(c) for c in codes], np.int64)
     per = np.maximum(1, np.rint(lens / p.chunk).astype(np.int64)) * (lens > 0)
-    owner = np.repeat(np.arange(len(texts)), per)
-    flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+    flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
     size = np.where(per > 0, -(-lens // np.maximum(per, 1)), 1)
     within = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
     doc = np.repeat(np.arange(len(texts)), lens)
     chunk = np.repeat(np.cumsum(per) - per, lens) + within // size[doc]
-    cells = []
-    rolled = np.zeros(len(flat), np.uint32)
-    for n in range(1, max(p.ns) + 1):
-        rolled = rolled[: len(flat) - n + 1] * np.uint32(0x01000193) + flat[n - 1 :]
-        if n in p.ns and len(rolled):
-            same = doc[: len(rolled)] == doc[n - 1 :]
-            bucket = ((rolled * np.uint32(0x9E3779B1) + np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - p.buckets.bit_length() + 1)
-            cells.append((chunk[: len(rolled)][same], bucket[same].astype(np.int64)))
-    return owner, np.bincount(chunk, minlength=len(owner)).astype(float), np.array([len(owner)]), cells
-
-
-def kernel_rows(texts: list[str], p: KernelParams, basis: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner, weight and (normalised) kernel row against ``basis`` (buckets x columns, already normalised) per chunk."""
-    owner, weight, _, cells = presence(texts, p)
-    out = np.zeros((len(owner), basis.shape[1]), np.float32)
-    starts = np.arange(0, len(owner) + block, block)
-    edges = [np.searchsorted(c, starts) for c, _ in cells]
-    for b, first in enumerate(starts[:-1]):
-        rows = min(block, len(owner) - first)
-        if rows <= 0:
-            break
-        m = np.zeros((rows, p.buckets), np.float32)
-        for (c, h), e in zip(cells, edges, strict=True):
-            m[c[e[b] : e[b + 1]] - first, h[e[b] : e[b + 1]]] = 1
-        out[first : first + rows] = (m @ basis) / np.sqrt(np.maximum(1, m.sum(axis=1)))[:, None]
-    return owner, weight, out
-
-
-def landmark_basis(texts: list[str], p: KernelParams) -> np.ndarray:
-    """The presence vectors of one chunk each, as normalised columns."""
-    _, _, _, cells = presence(texts, p)
-    m = np.zeros((len(texts), p.buckets), np.float32)
-    for c, h in cells:
-        ok = c < len(texts)
-        m[c[ok], h[ok]] = 1
-    return (m / np.sqrt(np.maximum(1, m.sum(axis=1)))[:, None]).T.copy()
+    owner = np.repeat(np.arange(len(texts)), per)
+    return Chunks(owner, np.bincount(chunk, minlength=len(owner)).astype(float), flat, chunk, doc)
+
+
+def n_grams(c: Chunks, symbols: np.ndarray, base: int, n: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, number to the base, and whether all symbols are known (not 0), of the n-grams that start from lo to hi."""
+    at = np.arange(lo, min(hi, len(symbols) - n + 1))
+    at = at[c.doc[at] == c.doc[at + n - 1]] if len(at) else at
+    code, known = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+    for j in range(n):
+        s = symbols[at + j]
+        code = code * base + s
+        known &= s > 0
+    return at, code, known
+
+
+def distinct(chunk: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each (chunk, code) once, by chunk and then by code."""
+    order = np.lexsort((code, chunk))
+    chunk, code = chunk[order], code[order]
+    keep = np.ones(len(order), bool)
+    keep[1:] = (chunk[1:] != chunk[:-1]) | (code[1:] != code[:-1])
+    return chunk[keep], code[keep]
+
+
+POINTS = 0x110000  # a base that no code point reaches: three fit into 63 bits
+
+
+class Vocabulary:
+    """The n-grams of the landmarks, and for any text the presence of these and the number of all its n-grams."""
+
+    def __init__(self, texts: list[str], p: KernelParams):
+        self.p = p
+        c = chunks_of(texts, p)
+        found = [n_grams(c, c.flat, POINTS, n, 0, len(c.flat))[1] for n in p.ns]
+        self.codes = [np.unique(x) for x in found]  # one sorted array for each n
+        self.starts = np.cumsum([0, *map(len, self.codes)])
+        alphabet = np.unique(c.flat)
+        self.base = len(alphabet) + 1
+        self.lut = np.zeros(POINTS, np.int32)
+        self.lut[alphabet] = np.arange(1, self.base)
+        self.dense = self.base <= p.dense_alphabet
+        if self.dense:
+            self.offsets = np.cumsum([0, *(self.base**n for n in p.ns)])
+            self.cells = np.concatenate([self.offsets[i] + self._renumbered(x, n) for i, (n, x) in enumerate(zip(p.ns, self.codes, strict=True))])
+
+    def __len__(self) -> int:
+        return int(self.starts[-1])
+
+    def _renumbered(self, code: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(len(code), np.int64)
+        for j in reversed(range(n)):
+            out = out * self.base + self.lut[code // POINTS**j % POINTS]
+        return out
+
+    def presence(self, c: Chunks) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Blocks of chunks: the first, a row of presences per chunk, and the numbers of distinct n-grams."""
+        rows = max(1, CELLS // int(self.offsets[-1] if self.dense else max(1, len(self))))
+        symbols = self.lut[c.flat].astype(np.int64)
+        edges = np.searchsorted(c.chunk, np.arange(0, len(c.owner) + rows, rows))
+        for b, first in enumerate(range(0, len(c.owner), rows)):
+            lo, hi, k = edges[b], edges[b + 1], min(rows, len(c.owner) - first)
+            total = np.zeros(k, np.int64)
+            if self.dense:
+                here = np.zeros((k, int(self.offsets[-1])), bool)
+            else:
+                here = np.zeros((k, len(self)), bool)
+            for i, n in enumerate(self.p.ns):
+                at, code, known = n_grams(c, symbols, self.base, n, lo, hi)
+                row = c.chunk[at] - first
+                if self.dense:
+                    here[row[known], self.offsets[i] + code[known]] = True
+                    at, row = at[~known], row[~known]
+                # The others (without a table: all) are told apart by their code points.
+                raw = np.zeros(len(at), np.int64)
+                for j in range(n):
+                    raw = raw * POINTS + c.flat[at + j]
+                row, raw = distinct(row, raw)
+                total += np.bincount(row, minlength=k)
+                if not self.dense and len(self.codes[i]):
+                    place = np.minimum(np.searchsorted(self.codes[i], raw), len(self.codes[i]) - 1)
+                    hit = self.codes[i][place] == raw
+                    here[row[hit], self.starts[i] + place[hit]] = True
+            if self.dense:
+                total += here.sum(axis=1)
+                here = here[:, self.cells]
+            yield first, here, total
+
+
+def landmark_basis(texts: list[str], vocabulary: Vocabulary) -> np.ndarray:
+    """The presence vectors of the texts' first chunks, as normalised columns."""
+    c = chunks_of(texts, vocabulary.p)
+    first = np.searchsorted(c.owner, np.arange(len(texts)))
+    m, total = np.zeros((len(c.owner), len(vocabulary)), np.float32), np.ones(len(c.owner))
+    for lo, here, n in vocabulary.presence(c):
+        m[lo : lo + len(n)], total[lo : lo + len(n)] = here, n
+    return (m[first] / np.sqrt(np.maximum(1, total[first]))[:, None]).T.copy()
+
+
+def kernel_rows(texts: list[str], vocabulary: Vocabulary, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, weight, (normalised) kernel row against ``basis``, and share of n-grams in the vocabulary, per chunk."""
+    c = chunks_of(texts, vocabulary.p)
+    out, share = np.zeros((len(c.owner), basis.shape[1]), np.float32), np.zeros(len(c.owner))
+    for lo, here, n in vocabulary.presence(c):
+        many = np.maximum(1, n)
+        out[lo : lo + len(n)] = (here.astype(np.float32) @ basis) / np.sqrt(many)[:, None]
+        share[lo : lo + len(n)] = here.sum(axis=1) / many
+    return c.owner, c.weight, out, share
+
+
+def pieces(texts: list[str | None], span: int = 500_000) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts in groups of about so many characters, very long ones cut; each piece with the number of its text."""
+    at, owners, group = 0, [], []
+    for i, t in enumerate(texts):
+        for k in range(0, len(t or ""), span):
+            owners.append(i)
+            group.append(t[k : k + span])
+            at += len(group[-1])
+            if at >= span:
+                yield owners, group
+                at, owners, group = 0, [], []
+    if group:
+        yield owners, group
 
 
 @dataclass
 class LanguageModel:
     params: KernelParams
     languages: list[str]
+    vocabulary: Vocabulary | None
     basis: np.ndarray
     weights: np.ndarray  # landmarks + 1 rows: the last is the intercept
 
-    def known(self) -> np.ndarray:
-        """Whether a landmark holds the n-grams of a bucket."""
-        return (self.basis > 0).any(axis=1)
-
     def scores(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score, and the share of the distinct n-grams that landmarks hold, of each text."""
-        # Products with the known buckets and with ones, both over the root of the number of n-grams.
-        wide = np.c_[self.basis, self.known(), np.ones(len(self.basis))].astype(np.float32)
-        covered = np.zeros(len(texts))
-        total = np.zeros((len(texts), len(self.languages)))
-        mass = np.zeros(len(texts))
-        span = 500_000  # of a very long text, so much is in memory at once
-        at, pieces, owners = 0, [], []
-        work = [(i, t[k : k + span]) for i, t in enumerate(texts) if t for k in range(0, len(t), span)] if self.languages else []
-        for j, (i, piece) in enumerate(work):
-            pieces.append(piece)
-            owners.append(i)
-            at += len(piece)
-            if at >= span or j == len(work) - 1:
-                own, weight, k = kernel_rows(pieces, self.params, wide)
-                share = k[:, -2] / np.maximum(k[:, -1], 1e-9)
-                k = k[:, :-2]
-                s = k @ self.weights[:-1] + self.weights[-1]
-                rows = np.array(owners)[own]
-                np.add.at(total, rows, s * weight[:, None])
-                np.add.at(mass, rows, weight)
-                np.add.at(covered, rows, share * weight)
-                at, pieces, owners = 0, [], []
-        best = total.argmax(axis=1) if self.languages else np.zeros(len(texts), int)
-        seen = mass > 0
-        top = np.where(seen, total[np.arange(len(texts)), best] / np.maximum(mass, 1), 0.0) if self.languages else np.zeros(len(texts))
+        covered, mass = np.zeros(len(texts)), np.zeros(len(texts))
+        total = np.zeros((len(texts), max(1, len(self.languages))))
+        for owners, group in pieces(texts) if self.languages else ():
+            own, weight, k, share = kernel_rows(group, self.vocabulary, self.basis)
+            rows = np.array(owners)[own]
+            np.add.at(total, rows, (k @ self.weights[:-1] + self.weights[-1]) * weight[:, None])
+            np.add.at(mass, rows, weight)
+            np.add.at(covered, rows, share * weight)
+        best, seen = total.argmax(axis=1), mass > 0
+        top = np.where(seen, total[np.arange(len(texts)), best] / np.maximum(mass, 1), 0.0)
         return [self.languages[b] if s else UNDETERMINED for b, s in zip(best.tolist(), seen.tolist(), strict=True)], np.clip(top, 0, 1), np.clip(covered / np.maximum(mass, 1), 0, 1)
 
 
-def training_sample(labelled: DataFrame, p: KernelParams, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """(language, chunk) of at most ``per_lang`` rows of each language, drawn by a hash of the id."""
-    rows = labelled.select(labelled[id_col].cast("string").alias("k"), labelled[text_col].alias("t"), labelled[lang_col].cast("string").alias("l")).where("l is not null and t is not null")
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return []
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("l") == lang, min(1.0, 1.5 * p.per_lang / n)).otherwise(share)
-    draw = (F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("h")
-    # Evenly spaced chunks, cut where the row is, so that the driver gets a bounded number of characters.
-    size = F.char_length("t")
-    step = F.greatest(F.lit(p.chunk), (size / p.chunks_per_row).cast("int"))
-    chunks = F.transform(F.sequence(F.lit(0), F.lit(p.chunks_per_row - 1)), lambda i: F.substring("t", (i * step + 1).cast("int"), F.lit(p.chunk)))
-    drawn = rows.select("k", "l", draw, chunks.alias("c")).where(F.col("h") < share).limit(4 * p.per_lang * len(counts)).collect()
-    out, taken = [], dict.fromkeys(counts, 0)
-    for r in sorted(drawn, key=lambda r: (r.h, r.k)):
-        if taken[r.l] < p.per_lang:
-            taken[r.l] += 1
-            out += [(r.l, c) for c in dict.fromkeys(r.c) if any(x.isalpha() for x in c)]
+def training_rows(labelled: DataFrame, p: KernelParams, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """``l, t, r``: the whole texts (with a letter) of at most ``per_lang`` rows of each language, ranked by a hash of the id."""
+    rows = labelled.select(labelled[id_col].cast("string").alias("k"), labelled[text_col].cast("string").alias("t"), labelled[lang_col].cast("string").alias("l"))
+    rows = rows.where("l is not null and t is not null").where(F.col("t").rlike(r"\p{L}"))
+    draw = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    counts = rows.groupBy("l").agg(F.count("*").alias("n"))
+    # Hardly more than are wanted go on to be ranked (if the hash left out too many of a language, it would have fewer).
+    drawn = rows.withColumn("h", draw).join(counts, "l").where(F.col("h") < 2.0 * p.per_lang / F.col("n"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "k", F.xxhash64("t")))
+    return drawn.withColumn("r", rank).where(F.col("r") <= p.per_lang).select("l", "t", "r")
+
+
+def landmark_texts(rows: DataFrame, p: KernelParams) -> dict[str, list[str]]:
+    """Of each language, a chunk of each of its first rows: at most ``landmarks`` in all, and as many characters each as a chunk has."""
+    spots = F.pmod(F.xxhash64("l", "r"), F.greatest(F.lit(1), F.ceil(F.char_length("t") / p.chunk)))
+    chunk = F.substring("t", (spots * p.chunk + 1).cast("int"), F.lit(p.chunk))
+    chunk = F.when(chunk.rlike(r"\p{L}"), chunk).otherwise(F.regexp_extract("t", rf"(?s)\p{{L}}.{{0,{p.chunk - 1}}}", 0))
+    many = rows.select("l").distinct().count()
+    out: dict[str, list[str]] = {}
+    for r in rows.where(F.col("r") <= max(1, p.landmarks // max(1, many))).select("l", "r", chunk.alias("c")).orderBy("l", "r").collect():
+        out.setdefault(r.l, []).append(r.c)
     return out
 
 
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", params: KernelParams | None = None) -> LanguageModel:
     p = params or KernelParams()
-    sample = training_sample(labelled, p, id_col, text_col, lang_col)
-    languages = sorted({lang for lang, _ in sample})
+    rows = training_rows(labelled, p, id_col, text_col, lang_col)
+    marks = landmark_texts(rows, p)
+    languages = sorted(marks)
     if not languages:
-        return LanguageModel(p, [], np.zeros((p.buckets, 0), np.float32), np.zeros((1, 0)))
-    by = {lang: [c for x, c in sample if x == lang] for lang in languages}
-    each = max(1, p.landmarks // len(languages))
-    marks = [c for lang in languages for c in by[lang][:: max(1, len(by[lang]) // each)][:each]]
-    basis = landmark_basis(marks, p)
-    gram = (basis.T @ basis).astype(float)
-    values, vectors = np.linalg.eigh(gram)
+        return LanguageModel(p, [], None, np.zeros((0, 0), np.float32), np.zeros((1, 0)))
+    texts = [t for lang in languages for t in marks[lang]]
+    vocabulary = Vocabulary(texts, p)
+    basis = landmark_basis(texts, vocabulary)
+    values, vectors = np.linalg.eigh((basis.T @ basis).astype(float))
     good = values > 1e-6 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
-    texts = [c for _, c in sample]
-    owner, _, k = kernel_rows(texts, p, basis)
-    phi = np.c_[k.astype(float) @ whiten, np.ones(len(owner))]
-    y = np.array([[lang == x for x in languages] for lang, _ in sample], float)[owner]
-    balance = 1 / np.maximum(1, y.sum(axis=0))[y.argmax(axis=1)]
-    penalty = np.diag([p.ridge] * whiten.shape[1] + [0.0])
-    w = np.linalg.solve(phi.T @ (phi * balance[:, None]) + penalty, phi.T @ (y * balance[:, None]))
-    return LanguageModel(p, languages, basis, np.r_[whiten @ w[:-1], w[-1:]])
+    size = whiten.shape[1] + 1
+    shared = rows.sparkSession.sparkContext.broadcast((vocabulary, basis, whiten))  # bounded by landmarks and chunk
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per language: the number of chunks, and the sums of their features and of the features' products."""
+        vocabulary, basis, whiten = shared.value
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for owners, group in pieces(texts):
+                own, _, k, _ = kernel_rows(group, vocabulary, basis)
+                phi = np.c_[k.astype(float) @ whiten, np.ones(len(own))]
+                rows = np.array([langs[i] for i in owners])[own]
+                for lang in set(rows.tolist()):
+                    x = phi[rows == lang]
+                    total[lang] = total.get(lang, 0) + np.r_[len(x), x.sum(axis=0), (x.T @ x).ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], names=["l", "s"])
+
+    gram, target = np.zeros((size, size)), np.zeros((size, len(languages)))
+    parts = rows.select("l", "t").repartition(8, F.xxhash64("t")).mapInArrow(sums, "l string, s array<double>").collect()  # at most 8 rows a language
+    for i, lang in enumerate(languages):
+        s = np.sum([r.s for r in sorted((r for r in parts if r.l == lang), key=lambda r: r.s)], axis=0)
+        gram += s[1 + size :].reshape(size, size) / s[0]  # languages weigh the same
+        target[:, i] = s[1 : 1 + size] / s[0]
+    penalty = np.diag([p.ridge] * (size - 1) + [0.0])
+    w = np.linalg.solve(gram + penalty, target)
+    return LanguageModel(p, languages, vocabulary, basis, np.r_[whiten @ w[:-1], w[-1:]])
 
 
 def least_known(model: LanguageModel, left_out: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
     """The ``known_share`` below which a text is like none of the languages, from labelled rows that taught nothing.
 
-    Two thirds of the way from chance (the share of all buckets) to what all but a twentieth of these rows reach.
+    Two thirds of what all but a twentieth of (at most ``per_lang`` of each language of) these rows reach.
     """
-    texts = [c for _, c in training_sample(left_out, model.params, id_col, text_col, lang_col)] if model.languages else []
-    if not texts:
+    if not model.languages:
         return 0.0
-    chance = float(model.known().mean())
-    return chance + 2 / 3 * max(0.0, float(np.quantile(model.scores(texts)[2], 0.05)) - chance)
+    rows = training_rows(left_out, model.params, id_col, text_col, lang_col)
+    q = predict(rows, model, id_col="r", text_col="t").agg(F.percentile("known_share", F.lit(0.05)).alias("q")).first().q
+    return 2 / 3 * (q or 0.0)
 
 
 def predict(df: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (the id by default), ``lang_pred``, ``score`` and ``known_share`` per row, from the text alone."""
     keep = [id_col] if keep is None else keep
     rows = df.select(*[df[c] for c in keep], df[text_col].cast("string").alias("_text"))
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by landmarks and chunk
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", lang_pred string, score double, known_share double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores, shares = model.scores(b.column(b.num_columns - 1).to_pylist())
+            langs, scores, shares = shared.value.scores(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score", "known_share"])
 
     return rows.mapInArrow(run, out)

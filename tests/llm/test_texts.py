@@ -81,19 +81,62 @@ def test_learning_ignores_other_columns(spark):
     assert kernel_langid.predict(other, kernel_langid.fit(other)).collect() == a
 
 
-def test_kernel_is_the_shared_share():
+@pytest.mark.parametrize("dense", [0, 160])
+def test_kernel_is_the_shared_share(dense):
+    """Exact, by table and by search, for texts of known and of other letters, in one chunk and in several."""
     import numpy as np
 
-    p = kernel_langid.KernelParams(buckets=1 << 16)
-    texts = ["abc abd", "abd xyz"]
-    basis = kernel_langid.landmark_basis(texts, p)
-    _, _, k = kernel_langid.kernel_rows(texts, p, basis)
+    p = kernel_langid.KernelParams(dense_alphabet=dense)
+    texts = ["abc abd", "abd xyz", "ab ж日本 abd"]
+    vocabulary = kernel_langid.Vocabulary(texts[:2], p)
+    basis = kernel_langid.landmark_basis(texts[:2], vocabulary)
+    own, _, k, share = kernel_langid.kernel_rows(texts, vocabulary, basis)
 
     def grams(t):
         return {t[i : i + n] for n in p.ns for i in range(len(t) - n + 1)}
 
-    a, b = map(grams, texts)
-    assert np.allclose(k, [[1, len(a & b) / (len(a) * len(b)) ** 0.5], [len(a & b) / (len(a) * len(b)) ** 0.5, 1]], atol=0.02)
+    a, b, c = map(grams, texts)
+    assert own.tolist() == [0, 1, 2] and np.allclose(k, [[len(x & y) / (len(x) * len(y)) ** 0.5 for y in (a, b)] for x in (a, b, c)], atol=1e-6)
+    assert np.allclose(share, [1, 1, len(c & (a | b)) / len(c)])
+    many = kernel_langid.kernel_rows(["abd xyz " * 1000], vocabulary, basis)
+    assert len(many[0]) == 4 and many[1].sum() == 8000 and np.allclose(many[2][0], [len(x & d) / (len(x) * len(d)) ** 0.5 for d in [grams("abd xyz " * 3)] for x in (a, b)], atol=1e-6)
+
+
+def test_against_dense_kernel_ridge_regression(spark):
+    """With every training chunk as a landmark, the scores are those of kernel ridge regression in its dual form."""
+    import numpy as np
+
+    rng = random.Random(5)
+    words = {"aa": "der die das und ist nicht".split(), "bb": "the of and to in is".split(), "cc": "el la los las de que".split()}
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(4, 20))), lang) for k in range(30) for lang in words]
+    rows = [(i, t, lang) for i, (_, t, lang) in enumerate({r[1]: r for r in rows}.values())]
+    df = spark.createDataFrame(rows, f"{DOCS}, lang string")
+    p = kernel_langid.KernelParams(landmarks=300, ridge=1e-2)
+    model = kernel_langid.fit(df, params=p)
+    other = [" ".join(rng.choice(words[lang]) for _ in range(9)) for lang in words for _ in range(5)]
+
+    def grams(t):
+        return {t[i : i + n] for n in p.ns for i in range(len(t) - n + 1)}
+
+    def kernel(xs, ys):
+        return np.array([[len(grams(x) & grams(y)) / (len(grams(x)) * len(grams(y))) ** 0.5 for y in ys] for x in xs])
+
+    texts, langs = [r[1] for r in rows], [r[2] for r in rows]
+    n, y = len(rows), np.array([[lang == x for x in sorted(words)] for lang in langs], float)
+    weight = (y / y.sum(axis=0)).sum(axis=1)
+    system = np.block([[kernel(texts, texts) + p.ridge * np.diag(1 / weight), np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+    dual = np.linalg.solve(system, np.r_[y, np.zeros((1, 3))])
+    want = kernel(other, texts) @ dual[:-1] + dual[-1]
+    _, scores, _ = model.scores(other)
+    assert np.allclose(scores, np.clip(want.max(axis=1), 0, 1), atol=1e-3)
+    assert model.scores(other)[0] == [sorted(words)[i] for i in want.argmax(axis=1)]
+
+
+def test_language_ties_and_empty_tables(spark):
+    same = spark.createDataFrame([(1, "abc abd", "bb"), (2, "abc abd", "aa"), (3, "abc abd", "cc")], f"{DOCS}, lang string")
+    model = kernel_langid.fit(same)
+    assert model.scores(["abc abd"])[0] == ["aa"]
+    assert kernel_langid.predict(spark.createDataFrame([], DOCS), model).count() == 0
 
 
 # --- 5: pages ---------------------------------------------------------------------------------------------------
