@@ -273,7 +273,7 @@ def test_leaks_against_brute_force(spark):
         known = set(words)
         for r in bench:
             item = cgk.WORD.findall(r.text.lower())
-            if len(item) >= p.min_words and sum(w in known for w in item) >= len(item) - int(p.max_edits * len(item)):
+            if sum(w in known for w in item) >= len(item) - int(p.max_edits * len(item)):
                 e = levenshtein_in(item, words)
                 if e <= int(p.max_edits * len(item)):
                     want[d, r.item_id] = e
@@ -282,13 +282,46 @@ def test_leaks_against_brute_force(spark):
     assert all(k in got for k, e in want.items() if e == 0)
 
 
+@pytest.mark.parametrize(("most", "edits"), [(64, 0.2), (9, 0.2), (0, 0.2), (64, 0.34)])
+def test_every_length_is_searched(spark, most, edits):
+    """Items of one word to 250, edited as far as allowed, by walks, by triples and pairs alone, and as whole runs."""
+    rng = random.Random(8)
+    items = [[f"i{k}w{rng.randrange(40)}" for _ in range(n)] for k, n in enumerate([1, 2, 3, 4, 5, 5, 6, 7, 9, 10, 14, 20, 60, 120, 250])]
+    rows = []
+    for k, item in enumerate(items):
+        for j in range(6):
+            words = list(item)
+            for _ in range(int(edits * len(item)) if j else 0):
+                at = rng.randrange(len(words))
+                words[at : at + 1] = rng.choice([[], ["zzz"], [words[at], "qqq"]])
+            rows.append((100 * k + j, " ".join([*("o1", "o2", "o3") * 20, *words, *("o4", "o5") * 20])))
+    rows += [(9000 + k, " ".join(item[: len(item) // 2] + ["x"] * len(item))) for k, item in enumerate(items) if len(item) > 4]
+    p = cgk.CgkParams(max_edits=edits, most_repetitions=most)
+    got = {(r.doc_id, r.item_id): r.edits for r in cgk.leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string"), params=p).collect()}
+    want = {}
+    for d, t in rows:
+        for k, item in enumerate(items):
+            if d >= 9000 or d // 100 == k:
+                e = levenshtein_in(item, t.split())
+                if e <= int(edits * len(item)):
+                    want[d, k] = e
+    assert set(got) <= set(want) and all(got[x] == want[x] for x in got)
+    assert len(got) >= (1 if most == 0 and edits == 0.2 else 0.97) * len(want) and all(x in got for x, e in want.items() if e == 0)
+
+
+def test_only_the_row_that_leaks_goes(spark):
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    df = spark.createDataFrame([(None, "one two three four five six"), (None, "clean"), (1, "clean"), (1, "x one two three four five six"), (2, None)], DOCS)
+    assert sorted(((r.doc_id or 0, r.text) for r in cgk.clean(df, items).collect()), key=repr) == [(0, "clean"), (1, "clean"), (2, None)]
+
+
 def test_odd_leaks(spark):
     items = spark.createDataFrame([(1, "one two three four five six"), (2, None), (3, ""), (4, "too short"), (5, "One, two three four five SIX!"), (None, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
     docs = [(1, "x one two three four five six y", 9), (1, "x one two three four five six y", 9), (2, None, 9), (3, "", 9), (4, "too short", 9), (None, "one two three four five six", 9), (5, "a b " * 100_000 + "alpha beta gamma delta epsilon zeta", 9)]
     df = spark.createDataFrame(docs, f"{DOCS}, item_id int")
     got = sorted(((r.doc_id or 0, r.item_id or 0, r.start_word, r.end_word) for r in cgk.leaks(df, items).collect()))
-    assert got == [(0, 1, 0, 6), (0, 5, 0, 6), (1, 1, 1, 7), (1, 1, 1, 7), (1, 5, 1, 7), (1, 5, 1, 7), (5, 0, 200_000, 200_006)]
-    assert sorted(r.doc_id for r in cgk.clean(df, items).collect()) == [2, 3, 4]
+    assert got == [(0, 1, 0, 6), (0, 5, 0, 6), (1, 1, 1, 7), (1, 1, 1, 7), (1, 5, 1, 7), (1, 5, 1, 7), (4, 4, 0, 2), (5, 0, 200_000, 200_006)]
+    assert sorted(r.doc_id for r in cgk.clean(df, items).collect()) == [2, 3]
     assert cgk.leaks(df.limit(0), items).count() == 0 and cgk.leaks(df, items.limit(0)).count() == 0
     small = cgk.CgkParams(block_words=1)
     assert sorted((r.doc_id or 0, r.item_id or 0) for r in cgk.leaks(df, items, params=small).collect()) == [x[:2] for x in got]
