@@ -149,45 +149,82 @@ def test_terms_of_rare_entities(spark):
 # --- 6: sentence spans ------------------------------------------------------------------------------------------
 
 
+def plain_pieces(text, p):
+    """(start, end, words) of the pieces, by plain loops; only a word's hash is taken from the operator."""
+    words = [(m.start(), m.end()) for m in re.finditer(r"[\u3041-\u30ff\u4e00-\u9fff\u3001-\u303f]|[^\s\u3041-\u30ff\u4e00-\u9fff\u3000-\u303f]+", text)]
+    hashes = [int(sentence_spans.words_of(text[a:z]).hash[0]) for a, z in words]
+    ends = set()
+    for i, (a, z) in enumerate(words):
+        gap = text[z : words[i + 1][0]] if i + 1 < len(words) else text[z:]
+        if text[z - 1] in "。！？" or gap and (text[z - 1] in ".!?…" or "\n" in gap) or i + 1 == len(words):
+            ends.add(i)
+    for i in range(len(words) - p.cut + 1):
+        ends.add(max(range(i, i + p.cut), key=lambda j: (-hashes[j], j)))
+    out, first = [], 0
+    for e in sorted(ends):
+        out.append((words[first][0] if out else 0, words[e + 1][0] if e + 1 < len(words) else len(text), [text[a:z].lower() for a, z in words[first : e + 1]]))
+        first = e + 1
+    return out
+
+
 def brute_spans(rows, p):
-    runs = defaultdict(set)
+    runs, pieces = defaultdict(set), {}
     for d, t in rows:
-        s = [" ".join(x.split()).lower() for x in sentence_spans.sentences(t or "")[::2]]
-        size = [len(x.split()) for x in s]
-        for i in range(len(s)):
-            if not size[i]:
-                continue
-            e = i + 1 if size[i] >= p.long_sentence else i + 2 if sum(size[i : i + 2]) >= p.words else i + p.sentences
-            while e < len(s) and sum(size[i:e]) < p.least_words:
+        pieces[d] = k = plain_pieces(t or "", p)
+        for i in range(len(k)):
+            e = i + p.pieces
+            while e < len(k) and sum(len(w) for _, _, w in k[i:e]) < p.words:
                 e += 1
-            if e <= len(s) and sum(size[i:e]) >= p.least_words:
-                runs[tuple(s[i:e])].add((d, i, e - i))
-    covered = defaultdict(list)
+            if e <= len(k) and sum(len(w) for _, _, w in k[i:e]) >= p.words:
+                runs[tuple(w for _, _, ws in k[i:e] for w in ws)].add((d, i, e))
+    gone = defaultdict(set)
     for places in runs.values():
-        for d, i, n in sorted(places)[1:]:
-            covered[d].append((i, n))
-    return {d: sentence_spans.remove(t, covered[d])[0] if t else t for d, t in rows}
+        for d, i, e in sorted(places)[1:]:
+            gone[d].update(range(i, e))
+    out = {}
+    for d, t in rows:
+        kept = "".join(t[a:z] for i, (a, z, _) in enumerate(pieces[d]) if i not in gone[d]) if t and gone[d] else t
+        out[d] = kept.rstrip() if gone[d] and len(pieces[d]) - 1 in gone[d] else kept
+    return out
 
 
 def test_spans_against_brute_force(spark):
     rng = random.Random(8)
-    pool = [" ".join(rng.choice("ab cd ef gh ij".split()) for _ in range(rng.choice([1, 3, 6, 20]))).capitalize() + "." for _ in range(30)]
+    pool = [" ".join(rng.choice("ab cd ef gh ij 日本。 X.".split()) for _ in range(rng.choice([1, 3, 6, 20]))).capitalize() + "." for _ in range(30)]
     rows = [(k, rng.choice([" ", "\n"]).join(rng.choice(pool) for _ in range(rng.randrange(0, 25)))) for k in range(80)]
     df = spark.createDataFrame(rows, DOCS)
     got = {r.doc_id: r.text for r in sentence_spans.dedup(df).collect()}
     assert got == brute_spans(rows, sentence_spans.SpanParams())
 
 
+def test_any_passage_of_fifty_words_is_found(spark):
+    """Passages of 50 words, without or with few sentence ends, amid other words and in the middle of sentences."""
+    rng = random.Random(1)
+    rows = []
+    for k in range(60):
+        mark = rng.choice(["", ".", ","])
+        passage = " ".join(f"p{k}w{rng.randrange(30)}" + (mark if rng.random() < 0.1 else "") for _ in range(50))
+        for j in range(2):
+            own = [f"o{k}x{j}y{rng.randrange(1000)}" for _ in range(60)]
+            rows.append((2 * k + j, " ".join([*own[:30], passage, *own[30:]])))
+    out = {r.doc_id: r for r in sentence_spans.dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(out[2 * k].n_removed == 0 and out[2 * k].text == rows[2 * k][1] for k in range(60))
+    assert all(out[2 * k + 1].n_removed >= 3 and set(out[2 * k + 1].text.split()) >= set(rows[2 * k + 1][1].split()[:18]) for k in range(60))
+
+
 def test_odd_span_documents(spark):
     passage = "One sentence has some words in it. Another one follows right behind it. The third is here as well. And a fourth to end."
-    rows = [(1, passage, 7), (2, f"Own start here. {passage} Own end there.", 7), (2, f"Own start here. {passage} Own end there.", 7), (3, None, 7), (4, "", 7), (None, None, 7), (5, "x " * 100_000, 7)]
-    df = spark.createDataFrame(rows, f"{DOCS}, n_removed int")
-    out = sentence_spans.dedup(df).collect()
+    rows = [(1, passage, 7), (2, f"Own start here. {passage} Own end there.", 7), (2, f"Own start here. {passage} Own end there.", 7), (3, None, 7), (4, "", 7), (None, None, 7), (5, "x " * 100_000, 7), (6, " \n", 7)]
+    df = spark.createDataFrame([(*r, "a", "b", "c") for r in rows], f"{DOCS}, n_removed int, _id string, _text string, _row string")
+    out = sentence_spans.dedup(df)
+    assert out.columns == ["doc_id", "text", "_id", "_text", "_row", "n_sentences", "n_removed"]
     got = defaultdict(list)
-    for r in out:
+    for r in out.collect():
+        assert (r._id, r._text, r._row) == ("a", "b", "c")
         got[r.doc_id].append((r.text, r.n_removed))
-    assert got[1] == [(passage, 0)] and got[2] == [("Own start here. Own end there.", 4)] * 2
-    assert got[3] == [(None, 0)] and got[4] == [("", 0)] and got[None] == [(None, 0)] and got[5][0][1] == 0
+    assert got[1] == [(passage, 0)] and got[2][0] == got[2][1] and got[2][0][0] == "Own start here. Own end there."
+    assert got[3] == [(None, 0)] and got[4] == [("", 0)] and got[None] == [(None, 0)] and got[6] == [(" \n", 0)]
+    assert len(got[5][0][0]) < 200
     assert sentence_spans.dedup(df.limit(0)).count() == 0
 
 
