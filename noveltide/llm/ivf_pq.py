@@ -1,16 +1,19 @@
 """Approximate nearest neighbours: an inverted file with product-quantised residuals.
 
 Coarse centroids (k-means on a bounded sample) deal all vectors into lists; what is left of a vector beside its
-centroid is product-quantised.  A query probes the lists whose centroids lie nearest, ranks their codes by asymmetric
-distance tables, and the best of each list are reranked by the exact inner product of the original vectors.  The
-number of probes is chosen on the sample so that the target recall is met there.
-
-Every vector is indexed; only the training sample is bounded (``sample`` vectors).  Large lists are dealt into shards
-and the queries of a list into blocks, so that no task holds more than a bounded group.
-
-Defined results: rows with a null id, and vectors that are null, empty, zero, of another length than most, or hold
-null or non-finite components take no part; ids are keys: of rows with one id the smallest vector counts; ties in the
-inner product go to the smaller id; a query with fewer candidates than ``k`` gets them all; other columns are ignored.
+centroid is product-quantised.  A query probes the lists whose centroids have the largest inner products with it, scores
+their codes by asymmetric distance tables, and its best codes are reranked by the exact inner product of the original
+vectors.  The number of probes is chosen on the sample so that the target recall is met there; a query that finds fewer
+than ``k`` candidates probes all lists.
+
+Every vector is indexed; only the training sample is bounded: ``per_list`` vectors a list, and ``sample_mb``.  Lists are
+dealt into groups of a bounded number of rows (large lists into shards first), and the queries that probe a group into
+blocks.  Codes travel to the queries; of the vectors, those of survivors alone.
+
+Defined results: rows with a null id, and vectors that are null, empty, zero, or hold null or non-finite components take
+no part; vectors are compared with those of their own length; rows that repeat id and vector count once, and rows that
+share an id but not the vector are rows of their own; ties in the inner product go to the smaller id; a query with fewer
+candidates than ``k`` gets them all; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,21 +21,30 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noveltide.llm.common import cut, discard
+
 
 @dataclass
 class IvfParams:
-    sample: int = 20_000
+    """``lists``: in square roots of the number of vectors.  ``rerank``: so many codes of a query are reranked."""
+
+    lists: float = 4.0
     max_lists: int = 4096
+    per_list: int = 32
+    sample_mb: int = 64
     subspaces: int = 16
-    target_recall: float = 0.97
-    rerank: int = 128  # of each list (or shard), so many are reranked at least
+    target_recall: float = 0.96
+    rerank: int = 192
     rounds: int = 8
+    group_rows: int = 16_384
+    block_queries: int = 16_384
     seed: int = 5
 
 
@@ -44,18 +56,18 @@ class IvfIndex:
     probes: int
 
     def assign(self, x: np.ndarray) -> np.ndarray:
-        out = np.empty(len(x), np.int32)
-        half = (self.centroids**2).sum(axis=1) / 2
-        for lo in range(0, len(x), 4096):
-            out[lo : lo + 4096] = (x[lo : lo + 4096] @ self.centroids.T - half).argmax(axis=1)
-        return out
+        return nearest(x, self.centroids)
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         parts = split(x - self.centroids[lists], len(self.books))
         return np.stack([nearest(p, b) for p, b in zip(parts, self.books, strict=True)], axis=1).astype(np.uint8)
 
-    def probe(self, q: np.ndarray) -> np.ndarray:
-        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
+    def probe(self, q: np.ndarray, probes: int) -> np.ndarray:
+        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :probes]
+
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """Of each query the inner products with all codes: queries x (subspaces * 256)."""
+        return np.concatenate([p @ b.T for p, b in zip(split(q, len(self.books)), self.books, strict=True)], axis=1)
 
 
 def split(x: np.ndarray, m: int) -> list[np.ndarray]:
@@ -65,8 +77,10 @@ def split(x: np.ndarray, m: int) -> list[np.ndarray]:
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    half = (centres**2).sum(axis=1) / 2
-    return np.concatenate([(x[lo : lo + 8192] @ centres.T - half).argmax(axis=1) for lo in range(0, len(x), 8192)]) if len(x) else np.zeros(0, np.int64)
+    half, out = (centres**2).sum(axis=1) / 2, np.zeros(len(x), np.int64)
+    for lo in range(0, len(x), 4096):
+        out[lo : lo + 4096] = (x[lo : lo + 4096] @ centres.T - half).argmax(axis=1)
+    return out
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -74,125 +88,196 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     for _ in range(rounds):
         own = nearest(x, centres)
         count = np.bincount(own, minlength=k)
-        total = np.zeros_like(centres)
-        np.add.at(total, own, x)
+        order = np.argsort(own, kind="stable")
         full = count > 0
-        centres[full] = total[full] / count[full, None]
+        total = np.add.reduceat(x[order], (np.cumsum(count) - count)[full], axis=0)
+        centres[full] = total / count[full, None]
         if (~full).any():  # an empty cell starts anew at a point
             centres[~full] = x[rng.integers(0, len(x), int((~full).sum()))]
     return centres
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``id, vec`` (array<double>) of the rows that take part, one per id."""
+    """``id, vh, d, vec``: the vectors that take part, once each, with a hash and their length."""
     v = F.col("vec")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.select(df[id_col].cast("long").alias("id"), df[vec_col].cast("array<double>").alias("vec"))
     rows = rows.where("id is not null and vec is not null").where(F.size(v) > 0).where(fine)
-    sizes = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = rows.where(F.size(v) == (sizes.d if sizes else 0))
-    return rows.groupBy("id").agg(F.min("vec").alias("vec"))
+    return rows.select("id", F.xxhash64(v).alias("vh"), F.size(v).alias("d"), "vec").dropDuplicates(["id", "vh"])
+
+
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of vectors as 32-bit floats."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.float32)
 
 
-def fit(vectors: DataFrame, params: IvfParams | None = None, k: int = 20) -> tuple[IvfIndex | None, int]:
-    """The index of ``usable`` vectors and their number."""
+def fit(vectors: DataFrame, n: int, dim: int, params: IvfParams | None = None, k: int = 20) -> IvfIndex:
+    """The index of ``n`` usable vectors of one length."""
     p = params or IvfParams()
-    n = vectors.count()
-    if not n:
-        return None, 0
-    share = min(1.0, 1.2 * p.sample / n)
-    drawn = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).limit(p.sample)
-    rows = sorted(drawn.collect(), key=lambda r: r.id) or vectors.limit(p.sample).collect()
-    x = np.array([r.vec for r in rows])
-    rng = np.random.default_rng(p.seed)
-    lists = max(1, min(p.max_lists, round(math.sqrt(n)), len(x) // 8 or 1))
+    lists = max(1, min(p.max_lists, round(p.lists * math.sqrt(n)), n // 4 or 1))
+    sample = max(256, min(p.per_list * lists, (p.sample_mb << 20) // (4 * dim)))
+    share = min(1.0, 1.2 * sample / n)
+    drawn = vectors.where(F.pmod(F.xxhash64("id", "vh"), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30)))).select("id", "vh", "vec").toArrow()
+    drawn = drawn.take(pa.array(np.lexsort((drawn["vh"].to_numpy(), drawn["id"].to_numpy()))))  # the same whatever the partitions
+    x, rng = matrix(drawn["vec"]), np.random.default_rng(p.seed)
+    if not len(x):  # a sample of a few vectors can be empty
+        x = matrix(vectors.orderBy("id", "vh").limit(sample).select("vec").toArrow()["vec"])
+    x = x[rng.permutation(len(x))[:sample]]
+    lists = max(1, min(lists, len(x) // 4 or 1))
     index = IvfIndex(p, kmeans(x, lists, p.rounds, rng), np.zeros((0,)), lists)
     own = index.assign(x)
-    m = min(p.subspaces, x.shape[1])
-    index.books = np.stack([kmeans(r, 256, p.rounds, rng) for r in split(x - index.centroids[own], m)])
-    tries = x[rng.permutation(len(x))[: min(400, len(x))]]
-    sims = tries @ x.T
-    best = np.argsort(-sims, axis=1)[:, 1 : k + 1]
+    index.books = np.stack([kmeans(r, 256, p.rounds, rng) for r in split((x - index.centroids[own])[:20_000], min(p.subspaces, dim))])
+    tries = x[:400]
+    best = np.argsort(-(tries @ x.T), axis=1)[:, 1 : k + 1]
     place = np.argsort(np.argsort(-(tries @ index.centroids.T), axis=1), axis=1)
     need = place[np.arange(len(tries))[:, None], own[best]].ravel()
     if len(need):
         index.probes = int(min(lists, np.quantile(need, p.target_recall, method="higher") + 1))
-    return index, n
-
-
-def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
-def search(df: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, params: IvfParams | None = None) -> DataFrame:
-    """``query_id, rank, id, score``: the ``k`` nearest (largest inner product) to each row that ``queries`` selects.
-
-    ``queries`` is a condition on ``id``.  A query's own row is no candidate.
-    """
-    spark = df.sparkSession
-    vectors = usable(df, id_col, vec_col)
-    index, n = fit(vectors, params, k)
-    if index is None:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    return index
+
+
+def survivors(ix: IvfIndex, left: pa.Table, right: pa.Table, depth: int) -> pa.Table:
+    """``query_id, query_vh, id, vh, rough``: of each query the best codes of a group, among the lists that it probes."""
+    names = ["query_id", "query_vh", "id", "vh", "rough"]
+    none = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float32())], names=names)
+    if not left.num_rows or not right.num_rows:
+        return none
+    unit = left["unit"].to_numpy()
+    order = np.lexsort((left["vh"].to_numpy(), left["id"].to_numpy(), unit))
+    unit, ids, vhs, lists = unit[order], left["id"].to_numpy()[order], left["vh"].to_numpy()[order], left["list"].to_numpy()[order]
+    m = len(ix.books)
+    codes = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(ids), m)[order].astype(np.int32) + 256 * np.arange(m, dtype=np.int32)
+    units, begin = np.unique(unit, return_index=True)
+    end = np.r_[begin[1:], len(unit)]
+    qs, qid, qvh, probed = right["q"].combine_chunks(), right["query_id"].to_numpy(), right["query_vh"].to_numpy(), right["units"].combine_chunks()
+    out: list[tuple[np.ndarray, ...]] = []
+    step = max(1, min(256, (1 << 24) // len(ids)))  # queries in work at once
+    for lo in range(0, len(qid), step):
+        q = matrix(qs[lo : lo + step])
+        mine = probed[lo : lo + step]
+        owner = np.repeat(np.arange(len(q)), mine.value_lengths().to_numpy())
+        wanted = np.searchsorted(units, mine.flatten().to_numpy())
+        by = np.argsort(wanted, kind="stable")
+        owner, wanted = owner[by], wanted[by]
+        tables, coarse = ix.tables(q), q @ ix.centroids.T
+        rough = np.full((len(q), len(ids)), -np.inf, np.float32)
+        edges = np.searchsorted(wanted, np.arange(len(units) + 1))
+        for u in range(len(units)):
+            who = owner[edges[u] : edges[u + 1]]
+            for a in range(begin[u], end[u], 4096) if len(who) else ():
+                z = min(end[u], a + 4096)
+                for w in range(0, len(who), 64):
+                    some = who[w : w + 64]
+                    part = np.take(tables[some], codes[a:z].ravel(), axis=1).reshape(len(some), z - a, m).sum(axis=2)
+                    rough[some, a:z] = part + coarse[some, lists[a]][:, None]
+        rough[(ids[None, :] == qid[lo : lo + step, None]) & (vhs[None, :] == qvh[lo : lo + step, None])] = -np.inf
+        top = np.argpartition(-rough, depth, axis=1)[:, :depth] if rough.shape[1] > depth else np.broadcast_to(np.arange(rough.shape[1]), rough.shape)
+        row = np.repeat(np.arange(len(q)), top.shape[1])
+        col = top.ravel()
+        some = np.isfinite(rough[row, col])
+        row, col = row[some], col[some]
+        out.append((qid[lo + row], qvh[lo + row], ids[col], vhs[col], rough[row, col]))
+    return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
+
+
+def _search(vectors: DataFrame, n: int, dim: int, queries: Column, k: int, p: IvfParams) -> DataFrame:
+    """The ``k`` nearest of each query among ``n`` vectors of one length: ``query_id, query_vh, rank, id, score``."""
+    spark = vectors.sparkSession
+    index = fit(vectors, n, dim, p, k)
     shared = spark.sparkContext.broadcast(index)  # bounded by max_lists and 256 codes per subspace
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         for b in batches:
-            x = matrix(b.column(1))
+            x = matrix(b.column(2))
             if len(x):
                 own = ix.assign(x)
-                codes = ix.encode(x, own)
-                yield pa.RecordBatch.from_arrays([pa.array(own), b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], names=["list", "id", "vec", "code"])
+                codes = [c.tobytes() for c in ix.encode(x, own)]
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), b.column(0), b.column(1), pa.array(codes, pa.binary())], names=["list", "id", "vh", "code"])
+
+    codes = cut(vectors.select("id", "vh", "vec").mapInArrow(deal, "list int, id long, vh long, code binary"), "codes")
+    sizes = {r.list: r.n for r in codes.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most max_lists rows
+    # A unit is a list, or a shard of a large one; units are dealt into groups of about so many rows.
+    first, group, filled, units = [], 0, 0, 0
+    groups: list[int] = []
+    target = min(p.group_rows, max(1024, n // (4 * spark.sparkContext.defaultParallelism)))
+    for i in range(len(index.centroids)):
+        shards = max(1, -(-sizes.get(i, 0) // p.group_rows))
+        first.append((i, units, shards))
+        for _ in range(shards):
+            if filled >= target:
+                group, filled = group + 1, 0
+            groups.append(group)
+            filled += -(-sizes.get(i, 0) // shards)
+        units += shards
+    starts, many = np.array([u for _, u, _ in first]), np.array([s for _, _, s in first])
+    group_of, asked = np.array(groups), vectors.where(queries)
+    total = asked.count()
+
+    def probe_all(probes: int):
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ix = shared.value
+            for b in batches:
+                for lo in range(0, b.num_rows, 256):
+                    part = b.slice(lo, 256)
+                    q = matrix(part.column(2))
+                    lists = ix.probe(q, probes)
+                    count = many[lists]
+                    owner = np.repeat(np.arange(len(q)), count.sum(axis=1))
+                    flat = count.ravel()
+                    unit = np.repeat(starts[lists].ravel() - (np.cumsum(flat) - flat), flat) + np.arange(int(flat.sum()))
+                    order = np.lexsort((unit, group_of[unit], owner))
+                    owner, unit = owner[order], unit[order]
+                    key = owner * (len(group_of) + 1) + group_of[unit]
+                    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+                    lists_of = pa.ListArray.from_arrays(pa.array(np.r_[edge, len(unit)].astype(np.int32)), pa.array(unit.astype(np.int32)))
+                    take = pa.array(owner[edge])
+                    short = pa.FixedSizeListArray.from_arrays(pa.array(q.ravel()), q.shape[1]).cast(pa.list_(pa.float32()))
+                    cols = [pa.array(group_of[unit[edge]].astype(np.int32)), part.column(0).take(take), part.column(1).take(take), short.take(take), lists_of]
+                    yield pa.RecordBatch.from_arrays(cols, names=["grp", "query_id", "query_vh", "q", "units"])
+
+        return probe
+
+    def run(some: DataFrame, probes: int, count: int) -> DataFrame:
+        """Exactly reranked survivors of these queries."""
+        blocks = max(1, -(-count // p.block_queries))
+        by_list = spark.createDataFrame([(i, u, s, [int(g) for g in group_of[u : u + s]]) for i, u, s in first], "list int, start int, shards int, groups array<int>")
+        shard = F.pmod(F.xxhash64("id", "vh"), F.col("shards")).cast("int")
+        left = codes.join(F.broadcast(by_list), "list").withColumn("s", shard)  # one row per list
+        left = left.select("list", (F.col("start") + F.col("s")).alias("unit"), F.get("groups", "s").alias("grp"), "id", "vh", "code", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        right = some.select("id", "vh", "vec").mapInArrow(probe_all(probes), "grp int, query_id long, query_vh long, q array<float>, units array<int>")
+        right = right.withColumn("block", F.pmod(F.xxhash64("query_id", "query_vh"), F.lit(blocks)).cast("int"))
+        depth = max(p.rerank, 2 * k)
+        rough = left.groupBy("grp", "block").cogroup(right.groupBy("grp", "block")).applyInArrow(lambda a, b: survivors(shared.value, a, b, depth), "query_id long, query_vh long, id long, vh long, rough float")
+        w = Window.partitionBy("query_id", "query_vh").orderBy(F.desc("rough"), "id", "vh")
+        best = rough.withColumn("place", F.row_number().over(w)).where(F.col("place") <= depth).drop("place", "rough")
+        near = best.join(vectors.select("id", "vh", F.col("vec").alias("x")), ["id", "vh"])
+        near = near.join(vectors.select(F.col("id").alias("query_id"), F.col("vh").alias("query_vh"), F.col("vec").alias("q")), ["query_id", "query_vh"])
+        dot = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        rank = F.row_number().over(Window.partitionBy("query_id", "query_vh").orderBy(F.desc("score"), "id", "vh"))
+        return near.select("query_id", "query_vh", "id", "vh", dot.alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
+
+    found = cut(run(asked, index.probes, total), "found")
+    least = min(k, n - 1)
+    full = found.groupBy("query_id", "query_vh").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("query_id").alias("id"), F.col("query_vh").alias("vh"))
+    if index.probes < len(index.centroids) and full.count() < total and least:
+        short = cut(asked.join(full, ["id", "vh"], "left_anti").select("id", "vh", "vec"), "short")
+        again = cut(run(short, len(index.centroids), short.count()), "again")
+        kept = found.join(short.select(F.col("id").alias("query_id"), F.col("vh").alias("query_vh")), ["query_id", "query_vh"], "left_anti")
+        found = kept.select(*again.columns).unionByName(again)
+    discard(codes)
+    return found.select("query_id", "query_vh", F.col("rank").cast("int").alias("rank"), "id", "score")
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                lists = ix.probe(matrix(part.column(1)))
-                row = pa.array(np.repeat(np.arange(len(lists)), lists.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel().astype(np.int32)), part.column(0).take(row), part.column(1).take(row)], names=["list", "query_id", "q"])
-
-    dealt = vectors.mapInArrow(deal, "list int, id long, vec array<double>, code binary")
-    sizes = {r.list: r.n for r in dealt.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most max_lists rows
-    asked = vectors.where(queries)
-    n_queries = asked.count()
-    shard_rows = int(min(20_000, max(256, 4 * n / len(sizes))))
-    block_rows = int(min(4_096, max(512, 4 * n_queries * index.probes / len(index.centroids))))
-    shards = [max(1, -(-sizes.get(i, 0) // shard_rows)) for i in range(len(index.centroids))]
-    blocks = max(1, -(-n_queries * index.probes // len(index.centroids) // block_rows))
-    parts = spark.createDataFrame([(i, s) for i, s in enumerate(shards)], "list int, shards int")
-    candidates = dealt.join(F.broadcast(parts), "list").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
-    candidates = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).drop("shards")
-    probes = asked.mapInArrow(probe, "list int, query_id long, q array<double>").join(F.broadcast(parts), "list")
-    probes = probes.withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)"))).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).drop("shards")
-    keys = ["list", "shard", "block"]
-
-    def near(left: pa.Table, right: pa.Table) -> pa.Table:
-        ix = shared.value
-        names = ["query_id", "id", "score"]
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-        ids = left["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], matrix(left["vec"])[order]
-        codes = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-        q, asking = matrix(right["q"]), right["query_id"].to_numpy()
-        m, depth, out = codes.shape[1], max(ix.params.rerank, 2 * k), []
-        tables = np.stack([p @ b.T for p, b in zip(split(q, m), ix.books, strict=True)], axis=1)  # query x subspace x code
-        for row, query in enumerate(asking.tolist()):
-            rough = tables[row][np.arange(m), codes].sum(axis=1)  # the centroid's part is the same for the whole list
-            best = np.argsort(-rough, kind="stable")[: depth + 1] if len(ids) > depth + 1 else np.arange(len(ids))
-            best = np.sort(best[ids[best] != query])
-            exact = (x[best] * q[row]).sum(axis=1)
-            top = best[np.argsort(-exact, kind="stable")[:k]]
-            out.append((np.full(len(top), query), ids[top], (x[top] * q[row]).sum(axis=1)))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
-
-    found = candidates.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(near, "query_id long, id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+def search(df: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, params: IvfParams | None = None) -> DataFrame:
+    """``query_id, query_vh, rank, id, score``: the ``k`` nearest (largest inner product) to each row that ``queries`` selects.
+
+    ``queries`` is a condition on ``id``.  A query's own row is no candidate.  ``query_vh`` tells query rows of one id apart.
+    """
+    vectors = cut(usable(df, id_col, vec_col), "vectors")
+    each = vectors.groupBy("d").agg(F.count("*").alias("n"), F.count_if(queries).alias("asked")).where("asked > 0").orderBy("d").collect()
+    parts = [_search(vectors.where(F.col("d") == r.d), r.n, r.d, queries, k, params or IvfParams()) for r in each]
+    return reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], "query_id long, query_vh long, rank int, id long, score double")
