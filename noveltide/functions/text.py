@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import lru_cache
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 SPACE = r"(?U)\s+"
 
@@ -34,10 +36,18 @@ def words(c: Column) -> Column:
     return F.filter(F.split(strip(c), SPACE), lambda w: w != "")
 
 
-@F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Compatibility composition, and no characters that UTF-8 cannot hold.  Spark has no built-in for it."""
-    return s.str.normalize("NFKC").map(lambda x: x.encode("utf-8", "ignore").decode("utf-8"), na_action="ignore")
+@lru_cache(maxsize=1)
+def _nfkc():
+    @F.arrow_udf("string")
+    def run(s: pa.Array) -> pa.Array:
+        return pc.utf8_normalize(s, form="NFKC")
+
+    return run
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility composition (texts in the JVM hold no characters that cannot be encoded).  Spark has no built-in for it."""
+    return _nfkc()(c)
 
 
 def hms(seconds: Column) -> Column:
