@@ -22,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noveltide.llm.common import cut, discard
+
 UNDETERMINED = "und"
-CELLS = 1 << 25  # of a presence matrix that is in memory at once
+CELLS = 1 << 23  # of a presence matrix that is in memory at once
 
 
 @dataclass
@@ -221,15 +223,19 @@ class LanguageModel:
 
 
 def training_rows(labelled: DataFrame, p: KernelParams, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """``l, t, r``: the whole texts (with a letter) of at most ``per_lang`` rows of each language, ranked by a hash of the id."""
+    """``l, t, r``: the whole texts (with a letter) of at most ``per_lang`` rows of each language, ranked by a hash of the id.
+
+    Rows are ranked by their keys alone, of which each partition passes on ``per_lang`` of a language at most; the texts
+    are looked up for the chosen.
+    """
     rows = labelled.select(labelled[id_col].cast("string").alias("k"), labelled[text_col].cast("string").alias("t"), labelled[lang_col].cast("string").alias("l"))
-    rows = rows.where("l is not null and t is not null").where(F.col("t").rlike(r"\p{L}"))
-    draw = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    counts = rows.groupBy("l").agg(F.count("*").alias("n"))
-    # Hardly more than are wanted go on to be ranked (if the hash left out too many of a language, it would have fewer).
-    drawn = rows.withColumn("h", draw).join(counts, "l").where(F.col("h") < 2.0 * p.per_lang / F.col("n"))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "k", F.xxhash64("t")))
-    return drawn.withColumn("r", rank).where(F.col("r") <= p.per_lang).select("l", "t", "r")
+    rows = rows.where("l is not null and t is not null").where(F.col("t").rlike(r"\p{L}")).withColumn("th", F.xxhash64("t"))
+    keys = rows.select("l", F.coalesce("k", F.lit("")).alias("k"), "th").withColumn("h", F.xxhash64("k"))
+    # Repeated rows have the same rank.
+    rank = F.dense_rank().over(Window.partitionBy("l").orderBy("h", "k", "th"))
+    chosen = cut(keys.withColumn("r", rank).where(F.col("r") <= p.per_lang).select("l", F.col("k").alias("k2"), F.col("th").alias("th2"), "r").distinct(), "chosen")
+    found = rows.withColumn("k", F.coalesce("k", F.lit(""))).withColumnRenamed("l", "l1").join(chosen, (F.col("l1") == F.col("l")) & (F.col("k") == F.col("k2")) & (F.col("th") == F.col("th2")))
+    return cut(found.select("l", "t", "r").dropDuplicates(["l", "r"]), "training")
 
 
 def landmark_texts(rows: DataFrame, p: KernelParams) -> dict[str, list[str]]:
@@ -250,6 +256,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     marks = landmark_texts(rows, p)
     languages = sorted(marks)
     if not languages:
+        discard(rows)
         return LanguageModel(p, [], None, np.zeros((0, 0), np.float32), np.zeros((1, 0)))
     texts = [t for lang in languages for t in marks[lang]]
     vocabulary = Vocabulary(texts, p)
@@ -277,6 +284,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     gram, target = np.zeros((size, size)), np.zeros((size, len(languages)))
     parts = rows.select("l", "t").repartition(8, F.xxhash64("t")).mapInArrow(sums, "l string, s array<double>").collect()  # at most 8 rows a language
+    discard(rows)
     for i, lang in enumerate(languages):
         s = np.sum([r.s for r in sorted((r for r in parts if r.l == lang), key=lambda r: r.s)], axis=0)
         gram += s[1 + size :].reshape(size, size) / s[0]  # languages weigh the same
@@ -295,6 +303,7 @@ def least_known(model: LanguageModel, left_out: DataFrame, *, id_col: str = "doc
         return 0.0
     rows = training_rows(left_out, model.params, id_col, text_col, lang_col)
     q = predict(rows, model, id_col="r", text_col="t").agg(F.percentile("known_share", F.lit(0.05)).alias("q")).first().q
+    discard(rows)
     return 2 / 3 * (q or 0.0)
 
 
