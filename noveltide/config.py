@@ -68,8 +68,6 @@ class NoveltyConfig:
     years: int = 5
     norm_floor: float = 1e-12
     sum_floor: float = 1e-9
-    #: Up to so many vectors sliding frames are faster than prefix sums.
-    frames_up_to: int = 10_000
 
 
 @dataclass(frozen=True)

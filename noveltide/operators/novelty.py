@@ -6,6 +6,8 @@ no pair of articles is ever formed.  Earlier and later are by (day, id), within
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def prepare(df: DataFrame, id_col: str = "eid", date_col: str = "cover_date", ve
     """``eid, cover_date, ord, u``: dated articles with their day number and unit vector; others are left out."""
     date = F.coalesce(F.to_date(df[date_col]) if dict(df.dtypes)[date_col] != "string" else F.expr(f"try_cast(`{date_col}` as date)"))
     rows = df.select(df[id_col].alias("eid"), date.alias("cover_date"), df[vec_col].alias("v")).where("cover_date is not null and v is not null")
-    return rows.select("eid", "cover_date", F.datediff("cover_date", F.lit("1970-01-01").cast("date")).alias("ord"), V.unit(V.doubles(F.col("v"))).alias("u"))
+    return rows.select("eid", "cover_date", F.datediff("cover_date", F.lit("1970-01-01").cast("date")).alias("ord"), V.unit(V.doubles(F.col("v")), NoveltyConfig.norm_floor).alias("u"))
 
 
 def eligible(prepared: DataFrame, years: int = NoveltyConfig.years) -> DataFrame:
@@ -36,7 +38,7 @@ def _exploded(prepared: DataFrame) -> DataFrame:
 
 
 def pools_by_frames(prepared: DataFrame, window: int) -> DataFrame:
-    """``eid, k, x, past, future`` by sliding range frames: best for small corpora."""
+    """``eid, k, x, past, future`` by sliding range frames per dimension."""
     ex = _exploded(prepared)
     days = Window.partitionBy("k").orderBy("ord")
     same = Window.partitionBy("k", "ord").orderBy("eid")
@@ -46,33 +48,60 @@ def pools_by_frames(prepared: DataFrame, window: int) -> DataFrame:
     return ex.select("eid", "k", "x", past.alias("past"), future.alias("future"))
 
 
-def pools_by_prefix(prepared: DataFrame, window: int) -> DataFrame:
-    """The same by running totals per day: sums of a frame are differences of two of them.
+def day_frames(prepared: DataFrame, window: int) -> DataFrame:
+    """Per day with articles: number and vector sum of the day's, the ``window`` earlier and the ``window`` later days' articles.
 
-    Only the day table (days x dimensions) is ordered per dimension; articles meet it by equality of day.
+    Running totals over a calendar without gaps, whose differences are the frames' sums.  Only this table (days x
+    dimensions, whatever the number of articles) is taken apart by dimension; dimension -1 counts.
     """
-    ex = _exploded(prepared)
-    daily = ex.groupBy("k", "ord").agg(F.sum("x").alias("day_sum"))
+    total = prepared.groupBy("ord").agg(F.count("*").cast("double").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("u"))).alias("s"))
+    each = total.select("ord", F.posexplode(F.concat(F.array("n"), F.col("s"))).alias("k", "x"))
     span = prepared.agg((F.min("ord") - window - 1).alias("lo"), (F.max("ord") + window).alias("hi"))
     calendar = span.select(F.explode(F.sequence("lo", "hi")).alias("ord"))
-    dims = daily.select("k").distinct()
-    running = Window.partitionBy("k").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    prefix = calendar.crossJoin(dims).join(daily, ["k", "ord"], "left").select("k", "ord", F.sum(F.coalesce("day_sum", F.lit(0.0))).over(running).alias("total"))
+    filled = calendar.crossJoin(each.select("k").distinct()).join(each, ["k", "ord"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
+    by_dim = Window.partitionBy("k").orderBy("ord")
+    running = filled.withColumn("upto", F.sum("x").over(by_dim.rowsBetween(Window.unboundedPreceding, 0)))
+    # The calendar has a row for each day, so the totals that a frame needs stand so many rows away.
+    past = F.lag("upto", 1).over(by_dim) - F.lag("upto", window + 1).over(by_dim)
+    future = F.lead("upto", window).over(by_dim) - F.col("upto")
+    frames = running.select("k", "ord", "x", past.alias("past"), future.alias("future")).join(total.select("ord"), "ord", "left_semi")
+    ordered = F.array_sort(F.collect_list(F.struct("k", "x", "past", "future")))  # one item per dimension
+    rows = frames.groupBy("ord").agg(ordered.alias("a"))
+    return rows.select("ord", *[F.col(f"a.{c}").alias(f"day_{c}") for c in ("x", "past", "future")])
 
-    def at(shift: int, name: str) -> DataFrame:
-        return prefix.select("k", (F.col("ord") - shift).alias("ord"), F.col("total").alias(name))
 
-    same = Window.partitionBy("k", "ord").orderBy("eid").rowsBetween(Window.unboundedPreceding, -1)
-    rows = ex.withColumn("before", F.coalesce(F.sum("x").over(same), F.lit(0.0)))
-    rows = rows.join(at(-window - 1, "p_start"), ["k", "ord"]).join(at(-1, "p_eve"), ["k", "ord"]).join(at(window, "p_end"), ["k", "ord"])
-    until = F.col("p_eve") + F.col("before")
-    return rows.select("eid", "k", "x", (until - F.col("p_start")).alias("past"), (F.col("p_end") - until - F.col("x")).alias("future"))
+def pools_by_prefix(prepared: DataFrame, window: int) -> DataFrame:
+    """``eid``, pool sizes and dot products: a join with the day's frames, and the day's earlier articles by a running sum.
+
+    Vectors stay whole; an article is one row throughout.
+    """
+    days = day_frames(prepared, window)
+    same = Window.partitionBy("ord").orderBy("eid")
+    upto = vector_to_array(Summarizer.metrics("sum").summary(array_to_vector("u")).over(same.rowsBetween(Window.unboundedPreceding, 0))["sum"])
+    rows = prepared.select("eid", "ord", "u", F.row_number().over(same).alias("place"), upto.alias("upto")).join(days, "ord")
 
+    def sums(c: str) -> Column:  # without the count
+        return F.slice(c, F.lit(2), F.size(c) - 1)
 
-def pools(prepared: DataFrame, years: int, method: str | None = None) -> DataFrame:
-    """``eid, past_pool_size, future_pool_size, past_dot, future_dot``: sizes, and the dot products with the pools' sums."""
-    method = method or ("frames" if prepared.count() <= NoveltyConfig.frames_up_to else "prefix")
-    sums = {"frames": pools_by_frames, "prefix": pools_by_prefix}[method](prepared, int(years * DAYS))
+    own = V.dot(F.col("u"), F.col("u"))
+    earlier = F.when(F.col("place") > 1, V.dot(F.col("upto"), F.col("u")) - own).otherwise(0.0)
+    return rows.select(
+        "eid",
+        F.round(F.get("day_past", F.lit(0)) + F.col("place") - 1).cast("long").alias("past_pool_size"),
+        F.round(F.get("day_future", F.lit(0)) + F.get("day_x", F.lit(0)) - F.col("place")).cast("long").alias("future_pool_size"),
+        (V.dot(sums("day_past"), F.col("u")) + earlier).alias("past_dot"),
+        (V.dot(sums("day_future"), F.col("u")) + V.dot(sums("day_x"), F.col("u")) - earlier - own).alias("future_dot"),
+    )
+
+
+def pools(prepared: DataFrame, years: int, method: str = "prefix") -> DataFrame:
+    """``eid, past_pool_size, future_pool_size, past_dot, future_dot``: sizes, and the dot products with the pools' sums.
+
+    ``method`` is ``prefix``, or ``frames`` for sliding frames, which need no calendar but whose cost grows with the window.
+    """
+    if method == "prefix":
+        return pools_by_prefix(prepared, int(years * DAYS))
+    sums = pools_by_frames(prepared, int(years * DAYS))
 
     def total(name: str, size: bool) -> Column:
         return F.sum(F.when(F.col("k") < 0, F.col(name) if size else 0.0).otherwise(0.0 if size else F.col(name) * F.col("x")))
@@ -81,7 +110,7 @@ def pools(prepared: DataFrame, years: int, method: str | None = None) -> DataFra
     return sums.groupBy("eid").agg(*sizes, *[total(n, False).alias(f"{n}_dot") for n in ("past", "future")])
 
 
-def index(df: DataFrame, years: int = NoveltyConfig.years, method: str | None = None, **cols: str) -> DataFrame:
+def index(df: DataFrame, years: int = NoveltyConfig.years, method: str = "prefix", **cols: str) -> DataFrame:
     """``eid, ki_score, past_pool_size, future_pool_size`` of the eligible articles.  Ids must be unique."""
     prepared = prepare(df, **cols)
     floor = F.lit(NoveltyConfig.sum_floor)
