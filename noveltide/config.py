@@ -35,6 +35,7 @@ class EnrichConfig:
     weekly_quota: int = 150_000
     test_quota: int = 2
     merge_every: int = 500
+    attempts: int = 5
     per_request: float = 1 / 9
     subject_codes: tuple[int, int] = (2602, 2614)
     nameless: str = "(sin nombre)"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,7 +40,7 @@ def words(c: Column) -> Column:
 def _nfkc():
     @F.arrow_udf("string")
     def run(s: pa.Array) -> pa.Array:
-        return pc.utf8_normalize(s, form="NFKC")
+        return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in s.to_pylist()], pa.string())
 
     return run
 

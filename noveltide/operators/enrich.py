@@ -48,6 +48,11 @@ def parse_record(df: DataFrame, json_col: str = "record") -> DataFrame:
     return df.withColumn("r", parsed).withColumn("error", F.when(F.col("r").isNull() | F.col("r.eid").isNull(), F.lit("unreadable record")).otherwise(F.col("r.error")))
 
 
+def quarantine(records: DataFrame, id_col: str = "eid", json_col: str = "record") -> DataFrame:
+    """``id, error`` of the records that cannot be merged."""
+    return parse_record(records, json_col).where("error is not null").select(id_col, "error")
+
+
 def as_list(raw: Column, item: str, single: bool = True) -> Column:
     """An array of ``item`` from the JSON text of a list or (if ``single``) of one object; anything else is empty."""
     none = F.array().cast(f"array<{item}>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noveltide.functions.text import strip
+from noveltide.functions.text import nfkc, strip
 
 
 def stripped_lines(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -29,11 +29,34 @@ def new_articles(batch: DataFrame, existing: DataFrame, id_col: str = "eid", dis
     return fresh.dropDuplicates([id_col]) if distinct else fresh
 
 
-def plan_downloads(rows: DataFrame, progress: DataFrame, excluded: DataFrame, present: DataFrame, quota: int, id_col: str = "eid") -> dict[str, DataFrame]:
+def clean(rows: DataFrame) -> DataFrame:
+    """``rows`` with all text columns normalised."""
+    return rows.select(*[nfkc(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes])
+
+
+def save(batch: DataFrame, existing: DataFrame, id_col: str = "eid") -> DataFrame:
+    """What is appended of a batch: new articles, with the values of all text columns cleaned."""
+    return clean(new_articles(batch, existing, id_col))
+
+
+def unprocessed(names: DataFrame, done: DataFrame, column: str = "file") -> DataFrame:
+    """Files that the manifest of processed ones does not list."""
+    return names.join(stripped_lines(done, column), column, "left_anti")
+
+
+def fates(rows: DataFrame, progress: DataFrame, excluded: DataFrame, present: DataFrame, quota: int, id_col: str = "eid") -> DataFrame:
+    """``id, fate`` of each article: ``done``, ``omitted``, ``existing``, ``fetch``, or ``later`` if the quota ends before."""
+    plan = plan_downloads(rows, progress, excluded, present, quota, id_col)
+    named = [plan[k].select(id_col, F.lit(k).alias("_fate")) for k in ("fetch", "omitted", "existing")]
+    known = named[0].unionByName(named[1]).unionByName(named[2]).unionByName(progress.select(id_col, F.lit("done").alias("_fate"))).distinct()
+    return rows.select(id_col).join(known, id_col, "left").select(id_col, F.coalesce("_fate", F.lit("later")).alias("fate"))
+
+
+def plan_downloads(rows: DataFrame, progress: DataFrame, excluded: DataFrame, present: DataFrame, quota: int, id_col: str = "eid", order: str | None = None) -> dict[str, DataFrame]:
     """What an enrichment run does with each article, as frames: ``fetch``, ``omitted``, ``existing``.
 
     Articles in progress are skipped silently, excluded ones are logged as omitted, those with a record count as
-    existing; of the rest the first ``quota`` by id are fetched.
+    existing; of the rest the first ``quota`` by ``order`` (the id) are fetched.
     """
     todo = rows.join(progress.select(id_col).distinct(), id_col, "left_anti")
     bad = excluded.select(id_col).distinct()
@@ -42,7 +65,7 @@ def plan_downloads(rows: DataFrame, progress: DataFrame, excluded: DataFrame, pr
     return {
         "omitted": todo.join(bad, id_col, "left_semi").select(id_col),
         "existing": open_.join(have, id_col, "left_semi").select(id_col),
-        "fetch": open_.join(have, id_col, "left_anti").select(*rows.columns).orderBy(id_col).limit(quota),
+        "fetch": open_.join(have, id_col, "left_anti").select(*rows.columns).orderBy(order or id_col).limit(quota),
     }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noveltide.functions.text import squeeze
+from noveltide.functions.text import squeeze, strip
 
 # publishers' boilerplate, and tokens that stem from it.
 BOILERPLATE = (
@@ -125,6 +125,13 @@ def discard_summary(log: DataFrame) -> DataFrame:
     return log.groupBy("motivo").agg(F.sum("frecuencia").alias("frecuencia"))
 
 
+def with_text(df: DataFrame) -> DataFrame:
+    """``df`` with ``text``: its own, or title and abstract (missing parts count as empty)."""
+    if "text" in df.columns:
+        return df.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return df.withColumn("text", strip(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("abstract", F.lit("")))))
+
+
 def dated(df: DataFrame, date_col: str = "cover_date") -> DataFrame:
     """Rows with a date that can be read, as dates."""
     return df.withColumn(date_col, F.expr(f"try_cast(`{date_col}` as date)")).where(F.col(date_col).isNotNull())

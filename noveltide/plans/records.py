@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noveltide.config import EnrichConfig
 from noveltide.functions.text import decade, decade_file, hms
 from noveltide.operators import enrich, manifests, reports
 
@@ -96,7 +97,7 @@ def skip_excluded(spark: SparkSession, sf: str) -> DataFrame:
     """Documents to fetch: not in progress (toxic), not excluded (low quality), no record yet (every tenth), by quota."""
     d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("eid"))
     lab = spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("doc_id", "eid")
-    plan = manifests.plan_downloads(d, lab.where("toxic = 1"), lab.where("quality = 0"), d.where("eid % 10 = 0"), 150)
+    plan = manifests.plan_downloads(d, lab.where("toxic = 1"), lab.where("quality = 0"), d.where("eid % 10 = 0"), EnrichConfig().weekly_quota)
     each = [plan[k].select("eid", F.lit(k).alias("fate")) for k in ("fetch", "omitted", "existing")]
     return each[0].unionByName(each[1]).unionByName(each[2])
 
@@ -121,13 +122,39 @@ def decade_progress(spark: SparkSession, sf: str) -> DataFrame:
     return reports.decade_progress(per, 20).withColumn("mean_seconds", F.round("mean_seconds", 6))
 
 
+def error_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Records that say an error, and (every 23rd) records that cannot be read."""
+    r = records(spark, sf).withColumn("record", F.expr("if(eid % 23 = 0, substring(record, 1, 12), record)"))
+    return enrich.quarantine(r)
+
+
+def processed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files named by the order years; those of even years are in the manifest, with white space around the names."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").withColumn("year", F.year("o_orderdate"))
+    names = o.select(F.format_string("articles_%d.csv", "year").alias("file")).distinct()
+    return manifests.unprocessed(names, o.where("year % 2 = 0").select(F.format_string(" articles_%d.csv ", "year").alias("file")))
+
+
+def nfkc_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Part names with a decomposed letter and a ligature; parts of some suppliers are there already."""
+    p = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("eid"), F.concat("p_name", F.lit("e\u0301 \ufb01 \u2460")).alias("title"))
+    return manifests.save(p, p.where("eid % 3 = 0").select("eid"))
+
+
+def download_fates(spark: SparkSession, sf: str) -> DataFrame:
+    """What a run under the production quota does with each document (those of toxic texts are done, bad ones excluded)."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("eid"))
+    lab = spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("doc_id", "eid")
+    return manifests.fates(d, lab.where("toxic = 1").select("eid"), lab.where("quality = 0").select("eid"), d.where("eid % 10 = 0"), EnrichConfig().weekly_quota)
+
+
 KEPT = "from customer where c_custkey % 13 <> 0 and c_custkey % 17 <> 0 and c_custkey % 11 <> 0"
 FAR = "if(c_custkey % 3 = 1, '', if({has}, '; ', '') || 'Far')"
 QUERIES = {
     f.__name__: f
     for f in (
         flatten_entries, enrich_merge, authors_join, affiliations_resolve, subject_area_filter, keywords_join, json_projection, dedup_new_eids, cursor_pages, decade_partition,
-        pending_years, skip_excluded, weekly_report, run_summary, format_seconds, decade_progress,
+        pending_years, skip_excluded, error_quarantine, processed_files, nfkc_clean, download_fates, weekly_report, run_summary, format_seconds, decade_progress,
     )
 }
 SQL = {
@@ -149,9 +176,15 @@ cast(case c_custkey % 3 when 0 then 0 when 1 then 2 else 1 end as bigint) as num
     "pending_years": "select cast(y as integer) as year from range(1826, 2025) t(y) where y not in (select year(o_orderdate) from orders)",
     "skip_excluded": """with todo as (select doc_id as eid from documents where doc_id not in (select doc_id from labels where toxic = 1)),
 bad as (select doc_id from labels where quality = 0)
-select eid, fate from (select eid, 'fetch' as fate from todo where eid not in (select * from bad) and eid % 10 <> 0 order by eid limit 150)
+select eid, fate from (select eid, 'fetch' as fate from todo where eid not in (select * from bad) and eid % 10 <> 0 order by eid limit 150000)
 union all select eid, 'omitted' from todo where eid in (select * from bad)
 union all select eid, 'existing' from todo where eid not in (select * from bad) and eid % 10 = 0""",
+    "error_quarantine": "select c_custkey as eid, if(c_custkey % 23 = 0, 'unreadable record', 'gone') as error from customer where c_custkey % 11 = 0 or c_custkey % 23 = 0",
+    "processed_files": "select distinct 'articles_' || year(o_orderdate) || '.csv' as file from orders where year(o_orderdate) % 2 <> 0",
+    "nfkc_clean": "select p_partkey as eid, p_name || 'é fi 1' as title from part where p_partkey % 3 <> 0",
+    "download_fates": """with done as (select doc_id from labels where toxic = 1), bad as (select doc_id from labels where quality = 0)
+select doc_id as eid, case when doc_id in (select * from done) then 'done' when doc_id in (select * from bad) then 'omitted' when doc_id % 10 = 0 then 'existing'
+when row_number() over (partition by doc_id in (select * from done) or doc_id in (select * from bad) or doc_id % 10 = 0 order by doc_id) <= 150000 then 'fetch' else 'later' end as fate from documents""",
     "weekly_report": """with p as (select count(distinct l_orderkey) as n from lineitem)
 select n as progreso_total, round_even(n / 3640783 * 100, 2) as porcentaje_total, cast(round_even((3640783 - n) / 150000, 0) as bigint) as estimacion_semanas_restantes from p""",
     "run_summary": """with p as (select count(distinct user_id) as n from events)

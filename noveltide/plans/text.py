@@ -154,6 +154,7 @@ def w2v_grid_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def w2v_train(spark: SparkSession, sf: str) -> DataFrame:
+    """The vocabulary and the dimension of a model (its values are those of the trainer).  Reduced to 16 dimensions and one epoch."""
     words, _ = word2vec.train(corpus(spark, sf), word2vec.TrainParams(vector_size=16, window=3, min_count=5, epochs=1))
     return words.select("word", F.size("vector").alias("dim"))
 
@@ -241,6 +242,7 @@ from corpus c left join hit on hit.eid = c.eid""",
     "coverage_sample": f"""with {VECTORS}, pick as (select eid from corpus order by md5('42:' || cast(eid as varchar)), eid limit 200),
 hit as (select w.eid, count(wv.word) / count(*) as r from word w left join wv on wv.word = w.word where w.eid in (select eid from pick) group by w.eid) select round(avg(r), 6) as coverage_sample from hit""",
     "sample_docs": "select doc_id as eid, lang from documents order by md5('42:' || cast(doc_id as varchar)), doc_id limit 100",
+    "w2v_train": f"with {VOCAB} select word, 16 as dim from vocab where n >= 5",
     "kv_size_mb": f"with {VOCAB} select count(*) as vocab_size, round(count(*) * 200 * 4 / 1048576.0, 2) as kv_size_mb_est from vocab",
     "w2v_grid_scores": f"""with {VECTORS}, grid(vector_size, w, min_count, sg, epochs) as (values (100, 5, 2, 1, 5), (200, 10, 3, 1, 12), (50, 5, 1, 1, 3)),
 norm as (select avg(sqrt(v0 * v0 + v1 * v1 + v2 * v2)) as a from wv),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,17 @@ def write_csv(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.options(**CSV).mode(mode).csv(path)
 
 
+def append_rows(path: str, columns: list[str], rows: list[dict]) -> None:
+    """Appends a few rows to one CSV file on the driver; a new or empty file gets a header."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    with target.open("a", newline="", encoding="utf-8") as f:
+        out = csv.DictWriter(f, columns)
+        if not f.tell():
+            out.writeheader()
+        out.writerows(rows)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line")
 

@@ -14,6 +14,7 @@ from pathlib import Path
 from typing import Any, Protocol
 
 from noveltide.config import HarvestConfig
+from noveltide.sources.state import Ledger
 
 
 @dataclass
@@ -45,6 +46,7 @@ class Client:
     sleep: Callable[[float], None] = time.sleep
     now: Callable[[], float] = time.time
     metrics: dict[str, int] = field(default_factory=lambda: {"requests": 0, "errors": 0, "low_quota": 0})
+    ledger: Ledger | None = None
 
     def __post_init__(self) -> None:
         self.pause = self.cfg.sleep_start
@@ -58,6 +60,9 @@ class Client:
             return 60.0
 
     def watch_quota(self, r: Response, low: int = 5000) -> None:
+        if self.ledger is not None:
+            self.metrics["low_quota"] += self.ledger.saw(r.headers, self.now())
+            return
         left = r.headers.get("X-RateLimit-Remaining", "")
         if left.isdigit() and int(left) < low:
             self.metrics["low_quota"] += 1
@@ -182,15 +187,27 @@ def harvest_year(client: Client, year: int, store: CursorStore, append: Callable
     added = 0
     if total:
         pages = by_cursor(client, query, year, store) if strategy(total, client.cfg) == "cursor" else by_offset(client, query, total)
-        added = append(year, [e for page in pages for e in page])
+        for page in pages:  # what has come is kept, whatever happens later
+            added += append(year, page)
     done(year)
     store.clear(year)
     return added
 
 
-def harvest(client: Client, years: list[int], finished: set[int], store: CursorStore, append, done) -> dict[int, int]:
-    """All years that are not finished, in order, after a warm-up pause."""
+def harvest(client: Client, years: list[int], finished: set[int], store: CursorStore, append, done, report: Callable[[dict[str, Any]], None] | None = None) -> dict[int, int]:
+    """All years that are not finished, in order, after a warm-up pause.
+
+    After the last year of each decade ``report`` is given the decade, the articles so far, the seconds taken, and the
+    seconds that the decades left will take at the mean pace.
+    """
     todo = [y for y in years if y not in finished]
+    began, total, decades, out = client.now(), max(years, default=0) // 10 - min(years, default=0) // 10 + 1, 0, {}
     if todo:
         client.sleep(client.cfg.warm_up)
-    return {y: harvest_year(client, y, store, append, done) for y in todo}
+    for y in todo:
+        out[y] = harvest_year(client, y, store, append, done)
+        if y % 10 == 9 and report is not None:
+            decades += 1
+            took = client.now() - began
+            report({"decade": f"{y - 9}_{y}", "articles": sum(out.values()), "seconds": took, "left": total - decades, "eta_seconds": took / decades * (total - decades)})
+    return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from noveltide.functions.text import decade
-from noveltide.operators.manifests import new_articles
+from noveltide.operators.manifests import clean, new_articles
 
 
 def append_new(spark: SparkSession, target: str, batch: DataFrame, id_col: str = "eid") -> None:
@@ -19,7 +19,7 @@ def append_new(spark: SparkSession, target: str, batch: DataFrame, id_col: str =
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         known = batch.select(id_col).limit(0)
-    new_articles(rows, known, id_col, distinct=True).write.mode("append").partitionBy("decade").parquet(target)
+    clean(new_articles(rows, known, id_col, distinct=True)).write.mode("append").partitionBy("decade").parquet(target)
 
 
 def run(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, id_col: str = "eid") -> StreamingQuery:

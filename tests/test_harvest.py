@@ -92,7 +92,7 @@ def test_cursor_resumes(tmp_path):
 def test_years(tmp_path):
     s = Script(page([], total=0), page([], total=30), page(["a", "b"]), page(["b"]))
     added, done = {}, []
-    out = harvest(client(s), [1, 2, 3], {3}, CursorStore(str(tmp_path)), lambda y, e: added.setdefault(y, [x["eid"] for x in e]) and len(e), done.append)
+    out = harvest(client(s), [1, 2, 3], {3}, CursorStore(str(tmp_path)), lambda y, e: added.setdefault(y, []).extend(x["eid"] for x in e) or len(e), done.append)
     assert out == {1: 0, 2: 3} and added == {2: ["a", "b", "b"]} and done == [1, 2] and s.slept[0] == 300.0
     assert harvest(client(Script()), [3], {3}, CursorStore(str(tmp_path)), None, None) == {}
 
