@@ -1,8 +1,9 @@
 """URL filters with dated lists: validity intervals and an as-of join.
 
 Dated list entries (add or remove a pattern on a day) become validity intervals per list and pattern.  Every capture is
-evaluated against the entries active when it was fetched.  A pattern is a domain (which covers its subdomains) or a
-domain with a path (which covers the paths below it).  A capture is looked up by the keys that its URL can match, so
+evaluated against the entries active when it was fetched.  A pattern is a domain (which covers its subdomains) or an IP
+address (which covers itself; IPv6 in brackets), with a path (which covers the paths below it) or without; a scheme,
+user, port, query, final dot of the host and final slashes in it do not count.  A capture is looked up by the keys that its URL can match, so
 the work is an equality join on the key with the interval as a condition; equal captures are evaluated once, and the
 join back to all captures has a unique key on one side, so that a hot host can be split by adaptive execution.
 
@@ -17,21 +18,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+HOST = r"(\[[0-9A-Fa-f:.%]+\]|[^/?#:@\[\]]+?)\.?(?::[0-9]*)?"
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port and final dot; empty if the URL has none."""
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+?)\.?(?::[0-9]*)?(?:[/?#]|$)", 1))
+    return F.lower(F.regexp_extract(url, rf"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?{HOST}(?:[/?#]|$)", 1))
 
 
 def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
+def normal(pattern: Column) -> Column:
+    """The host of a pattern with the non-empty segments of its path; empty if it has no host."""
+    url = F.regexp_replace(F.trim(pattern), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?", "x://")
+    path = F.lower(F.array_join(F.filter(F.split(path_of(url), "/"), lambda s: s != ""), "/"))
+    host = host_of(url)
+    return F.when(host == "", "").when(path == "", host).otherwise(F.concat(host, F.lit("/"), path))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """``list, pattern, valid_from, valid_to`` (exclusive; null: still active) from ``list, pattern, day, action``.
 
     ``action`` is ``add`` or ``remove``.  The entries of one pattern are its history, a bounded handful of rows.
     """
-    clean = entries.select("list", F.lower(F.trim("pattern")).alias("pattern"), F.col("day").cast("date").alias("day"), F.lower("action").alias("action"))
+    clean = entries.select("list", normal(F.col("pattern")).alias("pattern"), F.col("day").cast("date").alias("day"), F.lower("action").alias("action"))
     clean = clean.dropna().where("action in ('add', 'remove') and pattern <> ''")
     daily = clean.groupBy("list", "pattern", "day").agg(F.max("action").alias("action"))  # 'remove' sorts last
     w = Window.partitionBy("list", "pattern").orderBy("day")
@@ -43,7 +55,8 @@ def intervals(entries: DataFrame) -> DataFrame:
 def keys(url: Column, depth: int) -> Column:
     """The patterns that could match a URL: each domain suffix, and each with up to ``depth`` path segments."""
     host, segments = host_of(url), F.filter(F.split(path_of(url), "/"), lambda s: s != "")
-    labels = F.split(host, r"\.")
+    address = host.rlike(r"^(\[.*\]|[0-9]+(\.[0-9]+){3})$")  # has no domain above it
+    labels = F.when(address, F.array(host)).otherwise(F.split(host, r"\."))
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     paths = F.transform(
         F.sequence(F.lit(0), F.least(F.lit(depth), F.size(segments))),

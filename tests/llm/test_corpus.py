@@ -313,6 +313,13 @@ def test_intervals_and_keys(spark):
     out = url_lists.evaluate(caps, e).collect()
     assert sorted(((r.page_id or 0), r.blocked) for r in out) == sorted((u[0] or 0, u[3]) for u in urls)
     assert url_lists.evaluate(caps.limit(0), e).count() == 0
+    forms = ["a.com/", "http://b.com", "https://u@c.com:8080/X//y/?q", "d.com.", "//e.com/p/", "[::1]/x", "10.0.0.1", "http://", "/only/path", "mailto:f.com"]
+    e2 = spark.createDataFrame([("l", p, "2024-01-01", "add") for p in forms], "list string, pattern string, day string, action string")
+    assert {r.pattern for r in url_lists.intervals(e2).collect()} == {"a.com", "b.com", "c.com/x/y", "d.com", "e.com/p", "[::1]/x", "10.0.0.1", "f.com"}
+    hits = ["http://a.com", "http://x.a.com/z", "ftp://b.com:21/", "http://C.com/x/Y/z", "http://d.com./", "http://e.com/p", "http://[::1]:80/x/1", "http://u:p@10.0.0.1/"]
+    misses = ["http://c.com/x", "http://e.com/pp", "http://[::2]/x", "http://[::1]/", "http://9.10.0.0.1.com", "http://110.0.0.1", "http://aa.com"]
+    c2 = spark.createDataFrame([(u, "2024-02-01") for u in hits + misses], "url string, fetched string")
+    assert {r.url: r.blocked for r in url_lists.evaluate(c2, e2).collect()} == {u: u in hits for u in hits + misses}
     assert not any(r.blocked for r in url_lists.evaluate(caps, e.limit(0)).collect())
 
 
