@@ -495,3 +495,41 @@ def test_language_stage_rejects_what_is_like_no_language(spark):
     rows = [(10**6 + k, t, None, "s", len(t)) for k, t in enumerate(junk + clean)]
     kept = cp.language_id(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), SF).where(f"doc_id >= {10**6}").collect()
     assert sorted(r.text for r in kept) == sorted(clean)
+
+
+def test_every_stage_on_odd_documents(spark):
+    """Null ids and texts, empty and very long texts, repeated rows, and columns whose names the operators use."""
+    import corpus_pipeline as cp
+
+    own = {c: c for c in ("_text", "_id", "_row", "_th", "_key", "node", "id", "n", "spans", "clean", "lang_pred", "score", "known_share", "_stays", "ids", "component_id")}
+    learn = [(100 + k, t, lang, "s", len(t)) for k in range(8) for lang, t in (("en", f"the of and to in is that for it was on n{k} " * 3), ("de", f"der die das und ist nicht ein eine n{k} " * 3))]
+    long = " ".join(f"the of and w{k}" for k in range(60_000))
+    odd = [(None, "the of and to in is that by null", None, "s", 32), (None, None, "en", "s", None), (1, None, None, None, None), (2, "", "en", "s", 0), (3, "123 456", "en", "s", 7), (4, long, None, "s", len(long)), (5, "the of and to in is that me@x.example once", "en", "s", 42), (5, "the of and to in is that me@x.example once", "en", "s", 42)]
+    odd += [(6, "the of and to in is that for it was on it all again and more", "en", "s", 60), (7, "the of and to in is that for it was on it all again and more", "en", "s", 60)]
+    docs = spark.createDataFrame([(*r, *own.values()) for r in learn + odd], f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(f'{c} string' for c in own)}")
+    for name, stage in cp.STAGES[:-1]:
+        before = docs.count()
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert all(r[c] == c for r in rows for c in own), name
+        docs = spark.createDataFrame(rows, out.schema)
+        if name == "language_id":
+            assert {r.doc_id for r in rows} & {1, 2, 3, 4, 5, 6, 7} == {4, 5, 6, 7} and any(r.doc_id is None and r.lang == "en" for r in rows) and len(rows) == before - 4
+        if name == "near_duplicates":
+            assert [r.doc_id for r in rows].count(5) == 1 and 7 not in {r.doc_id for r in rows} and any(r.doc_id is None for r in rows)
+        if name == "personal_data":
+            five = next(r for r in rows if r.doc_id == 5)
+            assert "[EMAIL]" in five.text and "@" not in five.text and five.n_chars == len(five.text) and len(rows) == before
+    last = cp.token_ids(spark, docs, SF)
+    assert last.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and last.count() == docs.count()
+
+
+def test_empty_tables_pass_through_every_stage(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in cp.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0
+        docs = out if set(cp.COLUMNS) <= set(out.columns) else docs
