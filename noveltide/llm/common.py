@@ -9,6 +9,7 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_own_dirs: dict[str, str] = {}
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -19,15 +20,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where that is unset and driver and executors are one process (tests), a temporary folder is made and set; on a
-    cluster it must be set.
+    Where that is unset and driver and executors are one process (tests), a temporary folder of the application is made;
+    on a cluster it must be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="noveltide-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_dirs.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="noveltide-")
+        _own_dirs[spark.sparkContext.applicationId] = found
     return found
 
 

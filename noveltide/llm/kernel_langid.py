@@ -280,13 +280,13 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 for lang in set(rows.tolist()):
                     x = phi[rows == lang]
                     total[lang] = total.get(lang, 0) + np.r_[len(x), x.sum(axis=0), (x.T @ x).ravel()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], names=["l", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["l", "s"])
 
     gram, target = np.zeros((size, size)), np.zeros((size, len(languages)))
-    parts = rows.select("l", "t").repartition(8, F.xxhash64("t")).mapInArrow(sums, "l string, s array<double>").collect()  # at most 8 rows a language
+    parts = rows.select("l", "t").coalesce(8).mapInArrow(sums, "l string, s binary").collect()  # at most 8 rows a language
     discard(rows)
     for i, lang in enumerate(languages):
-        s = np.sum([r.s for r in sorted((r for r in parts if r.l == lang), key=lambda r: r.s)], axis=0)
+        s = np.sum([np.frombuffer(r.s) for r in sorted((r for r in parts if r.l == lang), key=lambda r: r.s)], axis=0)
         gram += s[1 + size :].reshape(size, size) / s[0]  # languages weigh the same
         target[:, i] = s[1 : 1 + size] / s[0]
     penalty = np.diag([p.ridge] * (size - 1) + [0.0])
