@@ -152,13 +152,13 @@ def run(spark: SparkSession, args: argparse.Namespace, transport: Transport | No
         rows = preprocess.with_text(preprocess.dated(spark.read.parquet(at.path("filtered", name))))
         tokenize = named(args.tokenizer) or preprocess.tokenize
         white = Path(at.path("tokens", "whitelist.csv"))
-        entries = [r.phrase for r in preprocess.whitelist(files.read_csv(spark, str(white))).orderBy("phrase").collect()] if white.exists() else []  # a hand-made list
-        allowed = F.array(*map(F.lit, entries)) if entries else None
+        entries = preprocess.whitelist(files.read_csv(spark, str(white))) if white.exists() else spark.createDataFrame([], "phrase string")
+        allowed = [r.phrase for r in entries.where("not phrase rlike '[ _]'").orderBy("phrase").collect()]  # a hand-made list
         rows = rows.withColumn("tokens", tokenize(preprocess.clean_boilerplate(F.col("text"))))
         discarded = preprocess.discard_log(rows, allowed=allowed)
         files.write_csv(discarded.orderBy(F.desc("frecuencia"), "palabra", "motivo"), at.path("tokens", f"discarded_{name}"), "overwrite")
         files.write_csv(preprocess.discard_summary(discarded), at.path("tokens", f"discarded_summary_{name}"), "overwrite")
-        rows = rows.withColumn("tokens", preprocess.phrases_first(F.col("tokens"), entries, allowed))
+        rows = preprocess.phrases_first(rows, entries, allowed=allowed)
         files.write_table(rows, at.path("tokens", f"plain_{name}"), mode="overwrite")
         rows = spark.read.parquet(at.path("tokens", f"plain_{name}"))
         files.write_table(phrases.learn(rows), at.path("tokens", f"bigrams_{name}"), mode="overwrite")

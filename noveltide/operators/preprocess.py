@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noveltide.functions.text import squeeze, strip
+from noveltide.functions.text import let, squeeze, strip
 
 # publishers' boilerplate, and tokens that stem from it.
 BOILERPLATE = (
@@ -60,62 +60,77 @@ def whitelist(df: DataFrame) -> DataFrame:
     return df.select(F.lower(F.trim(F.col(c).cast("string"))).alias("phrase")).where("phrase <> ''").distinct()
 
 
-def discard_reason(token: Column, allowed: Column | None = None) -> Column:
+def is_allowed(word: Column, allowed: list[str] | None) -> Column:
+    """Whether a lower-case word is among the white-listed ones (looked up by hash, however many there are)."""
+    return word.isin(*allowed) if allowed else F.lit(False)
+
+
+def discard_reason(token: Column, allowed: list[str] | None = None) -> Column:
     """Why a token goes, or null if it stays.
 
     Rules in their order: not alphabetic (unless allowed or a mathematical symbol such as ``x2``), a stop word, one or
-    two letters that are not upper-case.  ``allowed`` is an array of white-listed words.
+    two letters that are not upper-case.  ``allowed`` are the white-listed words.
     """
     low = F.lower(token)
-    white = F.array_contains(allowed, low) if allowed is not None else F.lit(False)
+    white = is_allowed(low, allowed)
     alphabetic = token.rlike(r"^\p{L}+$")
     math = token.rlike("[0-9]") & low.rlike(MATH_TOKEN)
     short = low.rlike("^[a-z]{1,2}$") & ~white & (F.upper(token) != token)
     return F.when(~alphabetic & ~white & ~math, "no_alpha").when(low.isin(*STOP_WORDS), "stopword").when(short, "sigla_corta")
 
 
-def judged(tokens: Column, allowed: Column | None = None) -> Column:
+def judged(tokens: Column, allowed: list[str] | None = None) -> Column:
     """Array of (word, reason, keep) per token: white-listed tokens stay whatever the reason."""
 
     def one(t: Column) -> Column:
         reason = discard_reason(t, allowed)
-        white = F.array_contains(allowed, F.lower(t)) if allowed is not None else F.lit(False)
+        white = is_allowed(F.lower(t), allowed)
         return F.struct(t.alias("word"), reason.alias("reason"), (reason.isNull() | white).alias("keep"))
 
     return F.transform(tokens, one)
 
 
-def kept_lemmas(tokens: Column, allowed: Column | None = None) -> Column:
+def kept_lemmas(tokens: Column, allowed: list[str] | None = None) -> Column:
     return F.filter(F.transform(F.filter(judged(tokens, allowed), lambda x: x["keep"]), lambda x: lemma(x["word"])), lambda w: w != "")
 
 
-def phrases_first(tokens: Column, phrases: list[str], allowed: Column | None = None) -> Column:
-    """White-listed phrases (longest first, without overlaps) joined by ``_`` before all other kept lemmas.
+SPAN = "array<struct<neg:int,at:int,n:int,phrase:string>>"
+
 
-    ``phrases`` are multi-word entries; matching ignores case.
+def phrases_first(df: DataFrame, phrases: DataFrame, id_col: str = "eid", tokens_col: str = "tokens", allowed: list[str] | None = None) -> DataFrame:
+    """``df`` with its tokens cleaned: white-listed phrases (longest first, without overlaps) joined by ``_``, before all
+    other kept lemmas.
+
+    The multi-word entries of ``phrase`` count; matching ignores case.  They meet the tokens by an equality join on
+    their first word, so the list may be long; what a document's matches cost depends on the matches alone.
     """
-    many = sorted({tuple(p.replace("_", " ").lower().split()) for p in phrases}, key=lambda p: (-len(p), p))
-    many = [p for p in many if len(p) > 1]
-    if not many:
-        return kept_lemmas(tokens, allowed)
-    low = F.transform(tokens, F.lower)
-    # Per phrase and start, spans of a longer or earlier one win: a fold over (length, start) order.
-    spans = F.concat(*[_starts(low, p) for p in many])
-    order = F.array_sort(F.transform(spans, lambda s: F.struct((-s["n"]).alias("neg"), s["at"].alias("at"), s["n"].alias("n"), s["phrase"].alias("phrase"))))
-    empty = F.array().cast("array<struct<neg:int,at:int,n:int,phrase:string>>")
-    chosen = F.aggregate(order, empty, lambda acc, s: F.when(F.exists(acc, lambda o: (s["at"] < o["at"] + o["n"]) & (o["at"] < s["at"] + s["n"])), acc).otherwise(F.array_append(acc, s)))
+    many = phrases.select(F.split(F.lower(F.trim(F.regexp_replace("phrase", "_", " "))), " +").alias("words")).where(F.size("words") > 1).distinct()
+    many = many.select(F.get("words", F.lit(0)).alias("w"), "words", F.size("words").alias("n"), F.array_join("words", "_").alias("phrase"))
+    rows = df.withColumn("_low", F.transform(tokens_col, F.lower))
+    met = rows.select(id_col, "_low", F.posexplode("_low").alias("at", "w")).join(many, "w").where(F.slice("_low", F.col("at") + 1, F.col("n")) == F.col("words"))
+    spans = F.array_sort(F.collect_set(F.struct((-F.col("n")).alias("neg"), "at", "n", "phrase"))).alias("_spans")
+    rows = rows.drop("_low").join(met.groupBy(id_col).agg(spans), id_col, "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(SPAN)))
+
+    def take(chosen: Column, s: Column) -> Column:
+        free = ~F.exists(chosen, lambda o: (s["at"] < o["at"] + o["n"]) & (o["at"] < s["at"] + s["n"]))
+        return F.when(free, F.array_append(chosen, s)).otherwise(chosen)
+
+    chosen = F.aggregate("_spans", F.array().cast(SPAN), take)
     placed = F.array_sort(F.transform(chosen, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), s["phrase"].alias("phrase"))))
-    rest = F.filter(F.transform(tokens, lambda t, i: F.when(F.exists(placed, lambda s: (s["at"] <= i) & (i < s["at"] + s["n"])), F.lit("")).otherwise(t)), lambda t: t != "")
-    return F.concat(F.transform(placed, lambda s: s["phrase"]), kept_lemmas(rest, allowed))
 
+    def cleaned(p: Column) -> Column:
+        def between(k: Column) -> Column:
+            begin = F.when(k == 0, F.lit(0)).otherwise(F.get(p, k - 1)["at"] + F.get(p, k - 1)["n"])
+            end = F.when(k < F.size(p), F.get(p, k)["at"]).otherwise(F.size(tokens_col))
+            return F.slice(tokens_col, begin + 1, end - begin)
+
+        rest = F.flatten(F.transform(F.sequence(F.lit(0), F.size(p)), between))
+        return F.concat(F.transform(p, lambda s: s["phrase"]), kept_lemmas(rest, allowed))
 
-def _starts(low: Column, phrase: tuple[str, ...]) -> Column:
-    n = len(phrase)
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(low) - 1)), lambda i: F.slice(low, i + 1, F.lit(n)) == F.array(*map(F.lit, phrase)))
-    return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.lit("_".join(phrase)).alias("phrase")))
+    return rows.withColumn(tokens_col, let(placed, cleaned)).select(*df.columns)
 
 
-def discard_log(df: DataFrame, tokens_col: str = "tokens", allowed: Column | None = None) -> DataFrame:
+def discard_log(df: DataFrame, tokens_col: str = "tokens", allowed: list[str] | None = None) -> DataFrame:
     """``palabra, motivo, frecuencia`` of the tokens that go."""
     each = df.select(F.explode(F.filter(judged(F.col(tokens_col), allowed), lambda x: ~x["keep"])).alias("x"))
     return each.groupBy(F.col("x.word").alias("palabra"), F.col("x.reason").alias("motivo")).agg(F.count("*").alias("frecuencia"))

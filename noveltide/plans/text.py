@@ -84,13 +84,14 @@ PHRASES = ["small ring", "ring_gear", "steel"]
 
 def phrase_whitelist(spark: SparkSession, sf: str) -> DataFrame:
     p = spark.read.parquet(f"{sf}/part.parquet")
-    words = F.split(F.concat_ws(" ", F.lit("the"), "p_name", F.lit("Gear of R")), " ")
-    return p.select("p_partkey", F.array_join(preprocess.phrases_first(words, PHRASES), " ").alias("tokens"))
+    words = p.select("p_partkey", F.split(F.concat_ws(" ", F.lit("the"), "p_name", F.lit("Gear of R")), " ").alias("tokens"))
+    out = preprocess.phrases_first(words, spark.createDataFrame([(x,) for x in PHRASES], "phrase string"), "p_partkey")
+    return out.select("p_partkey", F.array_join("tokens", " ").alias("tokens"))
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """English documents as lower-case words of more than two letters."""
-    d = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'")
+    """All documents as lower-case words of more than two letters."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
     return d.select(F.col("doc_id").alias("eid"), F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.char_length(w) > 2).alias("tokens"))
 
 
@@ -131,11 +132,11 @@ def doc_mean_vector(spark: SparkSession, sf: str) -> DataFrame:
 
 def coverage_sample(spark: SparkSession, sf: str) -> DataFrame:
     c = corpus(spark, sf)
-    return vectors.sample_coverage(word2vec.sample_docs(c, 200), word_vectors(c)).select(F.round("coverage_sample", 6).alias("coverage_sample"))
+    return vectors.sample_coverage(word2vec.sample_docs(c), word_vectors(c)).select(F.round("coverage_sample", 6).alias("coverage_sample"))
 
 
 def sample_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return word2vec.sample_docs(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("eid"), "lang"), 100)
+    return word2vec.sample_docs(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("eid"), "lang"))
 
 
 def kv_size_mb(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,7 +185,7 @@ STOP_EN = ", ".join(f"'{w}'" for w in preprocess.STOP_WORDS)
 REASON = f"""case when not regexp_full_match(w, '\\p{{L}}+') and not (regexp_matches(w, '[0-9]') and regexp_full_match(lower(w), '([a-z][0-9]{{1,2}}|[0-9]{{1,2}}[a-z]|[a-z]{{1,3}}_[0-9]{{1,2}})')) then 'no_alpha'
 when lower(w) in ({STOP_EN}) then 'stopword'
 when regexp_full_match(lower(w), '[a-z]{{1,2}}') and upper(w) <> w then 'sigla_corta' end"""
-CORPUS = "corpus as (select doc_id as eid, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) > 2) as tokens from documents where lang = 'en')"
+CORPUS = "corpus as (select doc_id as eid, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) > 2) as tokens from documents)"
 VOCAB = f"{CORPUS}, word as (select eid, unnest(tokens) as word from corpus), vocab as (select word, count(*) as n from word group by word)"
 VECTORS = f"{VOCAB}, wv as (select word, cast(length(word) as double) as v0, cast(ascii(word) as double) as v1, cast(n % 97 as double) as v2 from vocab where n >= 5)"
 BIGRAMS = f"""{VOCAB}, pairs as (select p.a, p.b, count(*) as n_ab from (select unnest(list_zip(tokens[1:-2], tokens[2:])) as p from
@@ -239,9 +240,9 @@ select c.eid, round(coalesce(r, 0.0), 6) as coverage_ratio from corpus c left jo
     "doc_mean_vector": f"""with {VECTORS}, hit as (select w.eid, count(wv.word) / count(*) as r, avg(v0) as v0, avg(v1) as v1, avg(v2) as v2 from word w left join wv on wv.word = w.word group by w.eid)
 select c.eid, round(coalesce(r, 0.0), 6) as coverage_ratio, round(cast(cast(coalesce(v0, 0.0) as float) as double), 3) as v0, round(cast(cast(coalesce(v1, 0.0) as float) as double), 3) as v1, round(cast(cast(coalesce(v2, 0.0) as float) as double), 3) as v2
 from corpus c left join hit on hit.eid = c.eid""",
-    "coverage_sample": f"""with {VECTORS}, pick as (select eid from corpus order by md5('42:' || cast(eid as varchar)), eid limit 200),
+    "coverage_sample": f"""with {VECTORS}, pick as (select eid from corpus order by md5('42:' || cast(eid as varchar)), eid limit 5000),
 hit as (select w.eid, count(wv.word) / count(*) as r from word w left join wv on wv.word = w.word where w.eid in (select eid from pick) group by w.eid) select round(avg(r), 6) as coverage_sample from hit""",
-    "sample_docs": "select doc_id as eid, lang from documents order by md5('42:' || cast(doc_id as varchar)), doc_id limit 100",
+    "sample_docs": "select doc_id as eid, lang from documents order by md5('42:' || cast(doc_id as varchar)), doc_id limit 5000",
     "w2v_train": f"with {VOCAB} select word, 16 as dim from vocab where n >= 5",
     "kv_size_mb": f"with {VOCAB} select count(*) as vocab_size, round(count(*) * 200 * 4 / 1048576.0, 2) as kv_size_mb_est from vocab",
     "w2v_grid_scores": f"""with {VECTORS}, grid(vector_size, w, min_count, sg, epochs) as (values (100, 5, 2, 1, 5), (200, 10, 3, 1, 12), (50, 5, 1, 1, 3)),

@@ -82,12 +82,11 @@ def test_discard_reasons(spark, token, reason):
 
 
 def test_white_list_wins_and_phrases_come_first(spark):
-    allowed = F.array(F.lit("the"), F.lit("r"))
-    assert one(spark, preprocess.kept_lemmas(F.col("a"), allowed), a=["The", "r", "of", "Group"]) == ["the", "r", "group"]
-    phrase = ["lie group", "lie group action", "of_order"]
-    got = one(spark, preprocess.phrases_first(F.col("a"), phrase), a=["Every", "Lie", "group", "action", "Lie", "Group", "topology"])
-    assert got == ["lie_group_action", "lie_group", "every", "topology"]
-    assert one(spark, preprocess.phrases_first(F.col("a"), phrase), a=[]) == []
+    assert one(spark, preprocess.kept_lemmas(F.col("a"), ["the", "r"]), a=["The", "r", "of", "Group"]) == ["the", "r", "group"]
+    phrases_ = spark.createDataFrame([(x,) for x in ("lie group", "group action", "lie_group_action", "topology", "a a")], "phrase string")
+    docs = spark.createDataFrame([(1, ["Every", "Lie", "group", "action", "Lie", "Group", "topology"]), (2, []), (3, ["a"] * 5), (4, None), (5, ["plain", "words"])], "eid int, tokens array<string>")
+    got = {r.eid: r.tokens for r in preprocess.phrases_first(docs, phrases_).collect()}
+    assert got[1] == ["lie_group_action", "lie_group", "every", "topology"] and got[2] == [] and got[3] == ["a_a", "a_a"] and got[5] == ["plain", "words"]
 
 
 def test_discard_log(spark):
