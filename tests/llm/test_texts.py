@@ -403,3 +403,52 @@ def test_odd_licence_texts(spark, licence_model):
     one = spark.createDataFrame([([0.1, 0.4, 0.4, 0.1],)], "probability array<double>").select(array_to_vector("probability").alias("probability"))
     assert licences.best(one, ["apache", "bsd", "mit", "unknown"]).first().family == "bsd"
     assert 0 < alone.threshold < 1
+
+
+# --- the queries on the tables ----------------------------------------------------------------------------------
+
+
+def test_query_1(spark):
+    from noveltide.llm import registry
+
+    bench = [(r.item_id, cgk.WORD.findall(r.text.lower())) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = set()
+    for r in docs_of(spark, 10**9).collect():
+        words = cgk.WORD.findall((r.text or "").lower())
+        known = set(words)
+        for key, item in bench:
+            if sum(w in known for w in item) >= len(item) - int(0.2 * len(item)):
+                e = levenshtein_in(item, words)
+                if e <= int(0.2 * len(item)):
+                    want.add((r.doc_id, key, e))
+    got = {(r.doc_id, r.item_id, r.edits) for r in registry.queries()["op1_decontamination"](spark, SF).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and {x for x in want if x[2] == 0} <= got
+
+
+def test_query_5(spark):
+    import html
+    import re
+
+    from noveltide.llm import registry
+
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in registry.queries()["op5_html_text"](spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)>", inner)]
+        text = " ".join(b for b in blocks if b)
+        assert got[r.page_id] == (r.url, text, len(text))
+
+
+def test_query_8(spark):
+    import hashlib
+
+    import sentencepiece
+
+    from noveltide.llm import registry
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256, r.n_mismatch) for r in registry.queries()["op8_sentencepiece"](spark, SF).collect()}
+    for r in docs_of(spark, 10**9).collect():
+        ids = lib.encode(r.text or "", add_eos=True)
+        assert got[r.doc_id] == (len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids)), 0)
