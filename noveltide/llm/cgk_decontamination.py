@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
-SLOTS = 1 << 24  # of the table of word triples and pairs; a clash only lets more windows through
+SLOTS = 1 << 22  # of the table of word triples and pairs; a clash only lets more windows through
 
 
 @dataclass

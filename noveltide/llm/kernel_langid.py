@@ -184,7 +184,7 @@ def kernel_rows(texts: list[str], vocabulary: Vocabulary, basis: np.ndarray) ->
     return c.owner, c.weight, out, share
 
 
-def pieces(texts: list[str | None], span: int = 500_000) -> Iterator[tuple[list[int], list[str]]]:
+def pieces(texts: list[str | None], span: int = 200_000) -> Iterator[tuple[list[int], list[str]]]:
     """The texts in groups of about so many characters, very long ones cut; each piece with the number of its text."""
     at, owners, group = 0, [], []
     for i, t in enumerate(texts):
