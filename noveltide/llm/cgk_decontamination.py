@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noveltide.llm.common import small_batches
+
 WORD = re.compile(r"\w+")
 SLOTS = 1 << 22  # of the table of word triples and pairs; a clash only lets more windows through
 
@@ -398,7 +400,7 @@ def _leaks_of(rows: DataFrame, index: Index, schema: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
                 start = stop
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

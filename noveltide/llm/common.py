@@ -9,6 +9,7 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 _own_dirs: dict[str, str] = {}
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -55,3 +56,14 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         if path := _paths.pop(df, None):
             df.sparkSession.range(0).write.mode("overwrite").parquet(path)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after a limit on the session's Arrow batches: of whole texts, JVM and Python hold a few MB at once.
+
+    (The limit is the session's, as it is read when a query runs; a smaller one is left alone.)
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH)) <= BATCH_ROWS:
+        conf.set(BATCH, str(BATCH_ROWS))
+    return df

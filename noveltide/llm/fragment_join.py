@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noveltide.llm.common import cut, discard
+from noveltide.llm.common import cut, discard, small_batches
 from noveltide.llm.shingles import sets_of, text_blocks
 
 EDGE = 8  # in stage 1, a node must share an 8th of what it needs at least, among its first n-grams
@@ -48,7 +48,7 @@ def need(n, percent: int):
 
 
 def _map(df: DataFrame, id_col: str, text_col: str, run, schema: str) -> DataFrame:
-    return df.select(df[id_col].alias("_id"), df[text_col].cast("string").alias("_text")).mapInArrow(run, schema)
+    return small_batches(df).select(df[id_col].alias("_id"), df[text_col].cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 def nodes(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -100,7 +100,7 @@ def full_sets(df: DataFrame, width: int) -> DataFrame:
                 same = pa.array(node == part.column(2).to_numpy())
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n.astype(np.int64)), lists], names=["node", "n", "grams"]).filter(same)
 
-    return df.select("_id", "_text", "node").mapInArrow(run, "node long, n long, grams array<long>")
+    return small_batches(df).select("_id", "_text", "node").mapInArrow(run, "node long, n long, grams array<long>")
 
 
 def candidates(df: DataFrame, ids: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:

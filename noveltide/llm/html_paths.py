@@ -30,6 +30,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from noveltide.llm.common import small_batches
+
 # Elements that hold no article text by construction, and how elements nest.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes".split())
@@ -341,4 +343,4 @@ def extract(df: DataFrame, *, id_col: str = "page_id", html_col: str = "html", s
                 texts = [main_text(x.as_py(), strength=strength) for x in part.column(b.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=b.schema.names)
 
-    return kept.mapInArrow(run, kept.schema)
+    return small_batches(kept).mapInArrow(run, kept.schema)

@@ -19,10 +19,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noveltide.llm.common import cut, discard
+from noveltide.llm.common import cut, discard, small_batches
 
 UNDETERMINED = "und"
 CELLS = 1 << 23  # of a presence matrix that is in memory at once
@@ -283,7 +284,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["l", "s"])
 
     gram, target = np.zeros((size, size)), np.zeros((size, len(languages)))
-    parts = rows.select("l", "t").coalesce(8).mapInArrow(sums, "l string, s binary").collect()  # at most 8 rows a language
+    parts = small_batches(rows).select("l", "t").coalesce(8).mapInArrow(sums, "l string, s binary").collect()  # at most 8 rows a language
     discard(rows)
     for i, lang in enumerate(languages):
         s = np.sum([np.frombuffer(r.s) for r in sorted((r for r in parts if r.l == lang), key=lambda r: r.s)], axis=0)
@@ -308,16 +309,23 @@ def least_known(model: LanguageModel, left_out: DataFrame, *, id_col: str = "doc
 
 
 def predict(df: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (the id by default), ``lang_pred``, ``score`` and ``known_share`` per row, from the text alone."""
+    """``keep`` columns (the id by default), ``lang_pred``, ``score`` and ``known_share`` per row, from the text alone.
+
+    ``text_col`` may be a field of a kept struct (``row.text``).
+    """
     keep = [id_col] if keep is None else keep
-    rows = df.select(*[df[c] for c in keep], df[text_col].cast("string").alias("_text"))
+    struct, _, field = text_col.partition(".")
+    inside = bool(field) and struct in keep  # then it travels once
+    rows = small_batches(df).select(*[df[c] for c in keep], *([] if inside else [df[text_col].cast("string").alias("_text")]))
+    kept = rows.schema[: len(keep)]
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by landmarks and chunk
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", lang_pred string, score double, known_share double"
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double, known_share double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores, shares = shared.value.scores(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score", "known_share"])
+            texts = pc.struct_field(b.column(keep.index(struct)), field) if inside else b.column(len(keep))
+            langs, scores, shares = shared.value.scores(texts.to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], names=[*b.schema.names[: len(keep)], "lang_pred", "score", "known_share"])
 
     return rows.mapInArrow(run, out)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noveltide.llm.common import cut, discard
+from noveltide.llm.common import cut, discard, small_batches
 from noveltide.llm.shingles import mix, powers, text_blocks
 
 POINTS = 0x110000
@@ -188,7 +188,7 @@ def all_spans(df: DataFrame, p: SpanParams, id_col: str, text_col: str) -> DataF
                     yield pa.RecordBatch.from_arrays([pa.array(h), ids, th, pa.array(pos), pa.array(n)], names=["h", "_id", "_th", "pos", "n"])
 
     kind = keyed.schema[0].dataType.simpleString()
-    return keyed.mapInArrow(run, f"h long, _id {kind}, _th long, pos int, n int")
+    return small_batches(keyed).mapInArrow(run, f"h long, _id {kind}, _th long, pos int, n int")
 
 
 def repeated_runs(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", params: SpanParams | None = None) -> DataFrame:
@@ -227,6 +227,6 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", para
                     removed.append(gone)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(new, pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())], names=["_row", "_text", "n_sentences", "n_removed"])
 
-    out = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, _text string, n_sentences long, n_removed long")
+    out = small_batches(rows).mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, _text string, n_sentences long, n_removed long")
     kept = [F.col("_text").alias(c) if c == text_col else F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)]
     return out.select(*kept, "n_sentences", "n_removed")

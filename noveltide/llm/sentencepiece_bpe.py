@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from noveltide.llm.common import small_batches
+
 NONE = np.iinfo(np.int32).max
 SPACE = "▁"
 
@@ -308,4 +310,4 @@ def encode(df: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col:
     pair = df.select(df[id_col], df[text_col].cast("string").alias("_text"))
     kind = pair.schema[0].dataType.simpleString()
     run = lambda it: encode_batches(it, model_path, add_eos, cache_segments)
-    return pair.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string, n_mismatch long")
+    return small_batches(pair).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string, n_mismatch long")
