@@ -46,6 +46,8 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--overwrite", action="store_true", help="grid: train models again")
     p.add_argument("--sample", type=int, default=VectorConfig.sample, help="grid: documents of the coverage sample")
     p.add_argument("--model", choices=["word2vec", "encoder"], default="word2vec", help="novelty, report: whose vectors")
+    p.add_argument("--detector", help="filter: module:function that loads a model, a function from texts to (language, confidence) pairs")
+    p.add_argument("--lemmatizer", help="preprocess: module:function from a token column to its lemma")
     p.add_argument("--encoder", help="encode: module:function that returns a function from texts to vectors")
     p.add_argument("--tokenizer", help="preprocess: module:function from a text column to an array of tokens; encode: from a text to a list of tokens")
     out = p.parse_args(argv)
@@ -143,7 +145,8 @@ def run(spark: SparkSession, args: argparse.Namespace, transport: Transport | No
         Enrichment(spark, at, transport or HttpTransport(os.environ["RECORD_URL"], Credentials.from_env().headers()), EnrichConfig(), sleep).run(args.test)
     elif args.stage == "filter":
         source = files.read_csv(spark, at.path("enriched", f"*{args.decada}*" if args.decada else "*"))
-        rows = langid.detect(source.drop(*files.IGNORED))
+        detector = langid.model_detector(named(args.detector)) if args.detector else langid.stop_word_detector
+        rows = langid.detect(source.drop(*files.IGNORED), detector)
         ok, other = langid.split(rows)
         files.write_table(ok, at.path("filtered", name), mode="overwrite")
         files.write_table(other, at.path("filtered", f"rejected_{name}"), mode="overwrite")
@@ -158,7 +161,7 @@ def run(spark: SparkSession, args: argparse.Namespace, transport: Transport | No
         discarded = preprocess.discard_log(rows, allowed=allowed)
         files.write_csv(discarded.orderBy(F.desc("frecuencia"), "palabra", "motivo"), at.path("tokens", f"discarded_{name}"), "overwrite")
         files.write_csv(preprocess.discard_summary(discarded), at.path("tokens", f"discarded_summary_{name}"), "overwrite")
-        rows = preprocess.phrases_first(rows, entries, allowed=allowed)
+        rows = preprocess.phrases_first(rows, entries, allowed=allowed, lemmatize=named(args.lemmatizer) or preprocess.lemma)
         files.write_table(rows, at.path("tokens", f"plain_{name}"), mode="overwrite")
         rows = spark.read.parquet(at.path("tokens", f"plain_{name}"))
         files.write_table(phrases.learn(rows), at.path("tokens", f"bigrams_{name}"), mode="overwrite")

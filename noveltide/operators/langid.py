@@ -6,8 +6,9 @@ functions, so that nothing has to be downloaded.  A model-backed detector can be
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,22 @@ def stop_word_detector(text: Column) -> Column:
     return let(let(hits, counted), named)
 
 
+def model_detector(load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]]) -> Detector:
+    """A detector by a model that is loaded once per worker and given lists of texts; null and empty texts are not asked for."""
+
+    @F.arrow_udf("struct<lang:string,conf:float>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = load()
+        for part in parts:
+            texts = part.to_pylist()
+            some = [i for i, t in enumerate(texts) if t]
+            found = dict(zip(some, model([texts[i] for i in some]) if some else [], strict=True))
+            langs, confs = zip(*(found.get(i, ("", 0.0)) for i in range(len(texts))), strict=True) if texts else ((), ())
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(confs, pa.float32())], names=["lang", "conf"])
+
+    return run
+
+
 def _in(words: list[str]):
     return lambda t: t.isin(*words)
 
@@ -66,10 +83,13 @@ def detect(df: DataFrame, detector: Detector = stop_word_detector, cfg: TextConf
     order = [F.col(c) for c in df.columns]
     texts = F.struct(strip(F.col("title")).alias("title"), strip(F.col("abstract")).alias("abstract"))
     rows = df.select(*other, F.explode(F.array(texts)).alias("_x")).select(*other, "_x.*")
-    found = F.when(word_count(F.col("abstract")) >= cfg.least_words, detector(F.col("abstract"))).otherwise(none)
-    rows = rows.select("*", F.explode(F.array(found)).alias("_a"))
+    valid = word_count(F.col("abstract")) >= cfg.least_words
+    rows = rows.withColumn("_v", F.when(valid, F.col("abstract")))
+    found = F.when(F.col("_v").isNotNull(), detector(F.col("_v"))).otherwise(none)
+    rows = rows.select("*", F.explode(F.array(found)).alias("_a")).drop("_v")
     passed = (F.col("_a.lang") == cfg.target) & (F.col("_a.conf") >= F.lit(cfg.abstract_confidence).cast("float")) & (F.col("title") != "")
-    rows = rows.select("*", F.explode(F.array(F.when(passed, detector(F.lower("title"))).otherwise(none))).alias("_t"))
+    rows = rows.withColumn("_v", F.when(passed, F.lower("title")))
+    rows = rows.select("*", F.explode(F.array(F.when(F.col("_v").isNotNull(), detector(F.col("_v"))).otherwise(none))).alias("_t")).drop("_v")
     return rows.select(*order, F.col("_a.lang").alias("lang_abstract"), F.col("_a.conf").alias("conf_abstract"), F.col("_t.lang").alias("lang_title"), F.col("_t.conf").alias("conf_title"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,14 +92,14 @@ def judged(tokens: Column, allowed: list[str] | None = None) -> Column:
     return F.transform(tokens, one)
 
 
-def kept_lemmas(tokens: Column, allowed: list[str] | None = None) -> Column:
-    return F.filter(F.transform(F.filter(judged(tokens, allowed), lambda x: x["keep"]), lambda x: lemma(x["word"])), lambda w: w != "")
+def kept_lemmas(tokens: Column, allowed: list[str] | None = None, lemmatize: Callable[[Column], Column] = lemma) -> Column:
+    return F.filter(F.transform(F.filter(judged(tokens, allowed), lambda x: x["keep"]), lambda x: lemmatize(x["word"])), lambda w: w != "")
 
 
 SPAN = "array<struct<neg:int,at:int,n:int,phrase:string>>"
 
 
-def phrases_first(df: DataFrame, phrases: DataFrame, id_col: str = "eid", tokens_col: str = "tokens", allowed: list[str] | None = None) -> DataFrame:
+def phrases_first(df: DataFrame, phrases: DataFrame, id_col: str = "eid", tokens_col: str = "tokens", allowed: list[str] | None = None, lemmatize: Callable[[Column], Column] = lemma) -> DataFrame:
     """``df`` with its tokens cleaned: white-listed phrases (longest first, without overlaps) joined by ``_``, before all
     other kept lemmas.
 
@@ -125,7 +127,7 @@ def phrases_first(df: DataFrame, phrases: DataFrame, id_col: str = "eid", tokens
             return F.slice(tokens_col, begin + 1, end - begin)
 
         rest = F.flatten(F.transform(F.sequence(F.lit(0), F.size(p)), between))
-        return F.concat(F.transform(p, lambda s: s["phrase"]), kept_lemmas(rest, allowed))
+        return F.concat(F.transform(p, lambda s: s["phrase"]), kept_lemmas(rest, allowed, lemmatize))
 
     return rows.withColumn(tokens_col, let(placed, cleaned)).select(*df.columns)
 

@@ -356,3 +356,27 @@ def test_command_line():
     for bad in (["filter"], ["filter", "--todo", "--decada", "1990_1999"], ["filter", "--decada", "1990"]):
         with pytest.raises(SystemExit):
             cli.arguments(bad)
+
+
+def load_model():
+    return lambda texts: [("en", 0.9) if "the" in x.split() else ("xx", 0.5) for x in texts]
+
+
+def test_a_model_as_detector(spark):
+    rows = [("the title", "the text of some words"), ("THE title", "short one"), ("no", "the text of some words"), (None, None), ("the", "no such word is here")]
+    df = spark.createDataFrame(rows, "title string, abstract string")
+    got = [(r.lang_abstract, round(r.conf_abstract, 2), r.lang_title) for r in langid.detect(df, langid.model_detector(load_model)).collect()]
+    assert got == [("en", 0.9, "en"), ("", 0.0, ""), ("en", 0.9, "xx"), ("", 0.0, ""), ("xx", 0.5, "")]
+    ok, other = langid.split(langid.detect(df, langid.model_detector(load_model)))
+    assert ok.count() == 1 and other.count() == 4
+
+
+def test_the_detector_is_not_copied(spark):
+    """Conditions on the languages do not bring copies of the detector into the plan."""
+    df = spark.createDataFrame([("a", "b")], "title string, abstract string")
+    plan = langid.split(langid.detect(df))[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2
+
+
+def test_another_lemmatizer(spark):
+    assert one(spark, preprocess.kept_lemmas(F.col("a"), None, lambda w: F.regexp_replace(F.lower(w), "s$", "")), a=["Groups", "act"]) == ["group", "act"]
