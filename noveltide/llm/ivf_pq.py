@@ -40,7 +40,7 @@ class IvfParams:
     per_list: int = 32
     sample_mb: int = 64
     subspaces: int = 16
-    target_recall: float = 0.96
+    target_recall: float = 0.98
     rerank: int = 192
     rounds: int = 8
     group_rows: int = 16_384
