@@ -41,9 +41,9 @@ class IvfParams:
     sample_mb: int = 64
     subspaces: int = 16
     target_recall: float = 0.98
-    rerank: int = 192
+    rerank: int = 256
     rounds: int = 8
-    group_rows: int = 16_384
+    group_rows: int = 65_536
     block_queries: int = 16_384
     seed: int = 5
 
@@ -203,7 +203,7 @@ def _search(vectors: DataFrame, n: int, dim: int, queries: Column, k: int, p: Iv
     # A unit is a list, or a shard of a large one; units are dealt into groups of about so many rows.
     first, group, filled, units = [], 0, 0, 0
     groups: list[int] = []
-    target = min(p.group_rows, max(1024, n // (4 * spark.sparkContext.defaultParallelism)))
+    target = min(p.group_rows, max(2048, -(-n // spark.sparkContext.defaultParallelism)))
     for i in range(len(index.centroids)):
         shards = max(1, -(-sizes.get(i, 0) // p.group_rows))
         first.append((i, units, shards))
@@ -251,7 +251,9 @@ def _search(vectors: DataFrame, n: int, dim: int, queries: Column, k: int, p: Iv
         right = some.select("id", "vh", "vec").mapInArrow(probe_all(probes), "grp int, query_id long, query_vh long, q array<float>, units array<int>")
         right = right.withColumn("block", F.pmod(F.xxhash64("query_id", "query_vh"), F.lit(blocks)).cast("int"))
         depth = max(p.rerank, 2 * k)
-        rough = left.groupBy("grp", "block").cogroup(right.groupBy("grp", "block")).applyInArrow(lambda a, b: survivors(shared.value, a, b, depth), "query_id long, query_vh long, id long, vh long, rough float")
+        # Of one group, a query needs its share of the codes to rerank, several times over, and more than it returns.
+        each = min(depth, 2 * k + 4 * depth // (group + 1))
+        rough = left.groupBy("grp", "block").cogroup(right.groupBy("grp", "block")).applyInArrow(lambda a, b: survivors(shared.value, a, b, each), "query_id long, query_vh long, id long, vh long, rough float")
         w = Window.partitionBy("query_id", "query_vh").orderBy(F.desc("rough"), "id", "vh")
         best = rough.withColumn("place", F.row_number().over(w)).where(F.col("place") <= depth).drop("place", "rough")
         near = best.join(vectors.select("id", "vh", F.col("vec").alias("x")), ["id", "vh"])
