@@ -226,14 +226,14 @@ class LanguageModel:
 def training_rows(labelled: DataFrame, p: KernelParams, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """``l, t, r``: the whole texts (with a letter) of at most ``per_lang`` rows of each language, ranked by a hash of the id.
 
-    Rows are ranked by their keys alone, first in 64 shares of each language by the hash, of which ``per_lang`` each go on,
+    Rows are ranked by their keys alone, first in 16 shares of each language by the hash, of which ``per_lang`` each go on,
     whatever the size of the table; the texts are looked up for the chosen.
     """
     rows = labelled.select(labelled[id_col].cast("string").alias("k"), labelled[text_col].cast("string").alias("t"), labelled[lang_col].cast("string").alias("l"))
     rows = rows.where("l is not null and t is not null").where(F.col("t").rlike(r"\p{L}")).withColumn("th", F.xxhash64("t"))
     keys = rows.select("l", F.coalesce("k", F.lit("")).alias("k"), "th").withColumn("h", F.xxhash64("k"))
     # Repeated rows have the same rank.
-    share = F.dense_rank().over(Window.partitionBy("l", F.pmod("h", F.lit(64))).orderBy("h", "k", "th"))
+    share = F.dense_rank().over(Window.partitionBy("l", F.pmod("h", F.lit(16))).orderBy("h", "k", "th"))
     keys = keys.withColumn("r", share).where(F.col("r") <= p.per_lang).drop("r")
     rank = F.dense_rank().over(Window.partitionBy("l").orderBy("h", "k", "th"))
     chosen = cut(keys.withColumn("r", rank).where(F.col("r") <= p.per_lang).select("l", F.col("k").alias("k2"), F.col("th").alias("th2"), "r").distinct(), "chosen")
