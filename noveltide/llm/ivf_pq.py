@@ -214,7 +214,8 @@ def _search(vectors: DataFrame, n: int, dim: int, queries: Column, k: int, p: Iv
             filled += -(-sizes.get(i, 0) // shards)
         units += shards
     starts, many = np.array([u for _, u, _ in first]), np.array([s for _, _, s in first])
-    group_of, asked = np.array(groups), vectors.where(queries)
+    # Written on their own, the queries have a known size: a few are sent to all, many are dealt out.
+    group_of, asked = np.array(groups), cut(vectors.where(queries).select("id", "vh", "vec"), "asked")
     total = asked.count()
 
     def probe_all(probes: int):
@@ -257,7 +258,7 @@ def _search(vectors: DataFrame, n: int, dim: int, queries: Column, k: int, p: Iv
         w = Window.partitionBy("query_id", "query_vh").orderBy(F.desc("rough"), "id", "vh")
         best = rough.withColumn("place", F.row_number().over(w)).where(F.col("place") <= depth).drop("place", "rough")
         near = best.join(vectors.select("id", "vh", F.col("vec").alias("x")), ["id", "vh"])
-        near = near.join(vectors.select(F.col("id").alias("query_id"), F.col("vh").alias("query_vh"), F.col("vec").alias("q")), ["query_id", "query_vh"])
+        near = near.join(some.select(F.col("id").alias("query_id"), F.col("vh").alias("query_vh"), F.col("vec").alias("q")), ["query_id", "query_vh"])
         dot = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
         rank = F.row_number().over(Window.partitionBy("query_id", "query_vh").orderBy(F.desc("score"), "id", "vh"))
         return near.select("query_id", "query_vh", "id", "vh", dot.alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
