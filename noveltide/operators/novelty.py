@@ -15,37 +15,26 @@ from noveltide.config import NoveltyConfig
 from noveltide.functions import vectors as V
 
 DAYS = 365.25
+#: Articles of a day that are summed in one task, about, and blocks of a day at most.
+BLOCK, BLOCKS = 4096, 1000
 
 
-def prepare(df: DataFrame, id_col: str = "eid", date_col: str = "cover_date", vec_col: str = "vector") -> DataFrame:
-    """``eid, cover_date, ord, u``: dated articles with their day number and unit vector; others are left out."""
+def prepare(df: DataFrame, id_col: str = "eid", date_col: str = "cover_date", vec_col: str = "vector", tie_col: str | None = None) -> DataFrame:
+    """``eid, cover_date, ord, tie, u``: dated articles with their day number and unit vector; others are left out.
+
+    ``tie`` orders articles of one day and id: ``tie_col``, or a fingerprint of the vector.
+    """
     date = F.coalesce(F.to_date(df[date_col]) if dict(df.dtypes)[date_col] != "string" else F.expr(f"try_cast(`{date_col}` as date)"))
-    rows = df.select(df[id_col].alias("eid"), date.alias("cover_date"), df[vec_col].alias("v")).where("cover_date is not null and v is not null")
-    return rows.select("eid", "cover_date", F.datediff("cover_date", F.lit("1970-01-01").cast("date")).alias("ord"), V.unit(V.doubles(F.col("v")), NoveltyConfig.norm_floor).alias("u"))
+    rows = df.select(df[id_col].alias("eid"), date.alias("cover_date"), df[vec_col].alias("v"), (df[tie_col] if tie_col else F.xxhash64(df[vec_col])).alias("tie")).where("cover_date is not null and v is not null")
+    return rows.select("eid", "cover_date", F.datediff("cover_date", F.lit("1970-01-01").cast("date")).alias("ord"), "tie", V.unit(V.doubles(F.col("v")), NoveltyConfig.norm_floor).alias("u"))
 
 
-def eligible(prepared: DataFrame, years: int = NoveltyConfig.years) -> DataFrame:
-    """Articles with a whole window before and after them: the window here is ``years`` of 365.25 days."""
+def eligible(prepared: DataFrame, years: int = NoveltyConfig.years, rows: DataFrame | None = None) -> DataFrame:
+    """Articles (or ``rows`` of articles) with a whole window before and after them: the window here is ``years`` of 365.25 days."""
     bounds = prepared.agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
     near = years * DAYS
-    return prepared.crossJoin(F.broadcast(bounds)).where((F.col("ord") >= F.col("lo") + near) & (F.col("ord") <= F.col("hi") - near)).drop("lo", "hi")
-
-
-def _exploded(prepared: DataFrame) -> DataFrame:
-    """A row per article and dimension; dimension -1 is constant 1, so that its sums are the pool sizes."""
-    parts = F.concat(F.array(F.lit(1.0)), F.col("u"))
-    return prepared.select("eid", "ord", F.posexplode(parts).alias("k", "x")).withColumn("k", F.col("k") - 1)
-
-
-def pools_by_frames(prepared: DataFrame, window: int) -> DataFrame:
-    """``eid, k, x, past, future`` by sliding range frames per dimension."""
-    ex = _exploded(prepared)
-    days = Window.partitionBy("k").orderBy("ord")
-    same = Window.partitionBy("k", "ord").orderBy("eid")
-    zero = F.lit(0.0)
-    past = F.coalesce(F.sum("x").over(days.rangeBetween(-window, -1)), zero) + F.coalesce(F.sum("x").over(same.rowsBetween(Window.unboundedPreceding, -1)), zero)
-    future = F.coalesce(F.sum("x").over(days.rangeBetween(1, window)), zero) + F.coalesce(F.sum("x").over(same.rowsBetween(1, Window.unboundedFollowing)), zero)
-    return ex.select("eid", "k", "x", past.alias("past"), future.alias("future"))
+    rows = prepared if rows is None else rows
+    return rows.crossJoin(F.broadcast(bounds)).where((F.col("ord") >= F.col("lo") + near) & (F.col("ord") <= F.col("hi") - near)).drop("lo", "hi")
 
 
 def day_frames(prepared: DataFrame, window: int) -> DataFrame:
@@ -70,48 +59,60 @@ def day_frames(prepared: DataFrame, window: int) -> DataFrame:
     return rows.select("ord", *[F.col(f"a.{c}").alias(f"day_{c}") for c in ("x", "past", "future")])
 
 
-def pools_by_prefix(prepared: DataFrame, window: int) -> DataFrame:
-    """``eid``, pool sizes and dot products: a join with the day's frames, and the day's earlier articles by a running sum.
+def in_blocks(prepared: DataFrame, block: int = BLOCK, most: int = BLOCKS) -> DataFrame:
+    """``prepared`` with ``block``: the number of an article's block in its day, by (id, tie).
+
+    A day's blocks begin at articles that a hash draws: one of ``block``, or of a larger number if the day would have more than about
+    ``most`` blocks.  A day of few articles is one block.  The draw depends on the articles alone, so all branches of
+    the plan agree on it.
+    """
+    key = F.struct("eid", "tie")
+    sizes = prepared.groupBy("ord").agg(F.count("*").alias("size")).where(F.col("size") > block)
+    drawn = prepared.select("ord", "eid", "tie").join(sizes, "ord").where(F.pmod(F.xxhash64("eid", "tie"), F.greatest(F.lit(block), F.ceil(F.col("size") / most))) == 0)
+    cuts = drawn.groupBy("ord").agg(F.sort_array(F.collect_set(key)).alias("cuts"))
+    number = F.coalesce(F.size(F.filter("cuts", lambda c: c <= key)), F.lit(0))
+    return prepared.join(cuts, "ord", "left").withColumn("block", F.when(F.col("cuts").isNull(), 0).otherwise(number)).drop("cuts")
+
+
+def pools(prepared: DataFrame, years: int, block: int = BLOCK) -> DataFrame:
+    """``eid, ord, past_pool_size, future_pool_size, past_dot, future_dot``: sizes, and the dot products with the pools' sums.
 
-    Vectors stay whole; an article is one row throughout.
+    The pools' other days come from the day's frames.  Within the day, sums run in two levels: over the totals of the
+    day's blocks, and over the articles of a block, so that a day of many articles is worked off by several tasks.
+    Frames and block sums are joined before the articles meet them by (day, block); vectors stay whole, and an article is one row throughout.
     """
-    days = day_frames(prepared, window)
-    same = Window.partitionBy("ord").orderBy("eid")
+    days = day_frames(prepared, int(years * DAYS))
+    rows = in_blocks(prepared, block)
+    totals = rows.groupBy("ord", "block").agg(F.count("*").alias("n"), Summarizer.sum(array_to_vector("u")).alias("s"))
+    before = Window.partitionBy("ord").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    totals = totals.select("ord", "block", (F.sum("n").over(before) - F.col("n")).alias("ahead"), vector_to_array("s").alias("own_s"), vector_to_array(Summarizer.metrics("sum").summary(F.col("s")).over(before)["sum"]).alias("upto_s"))
+    totals = totals.join(days, "ord")
+
+    same = Window.partitionBy("ord", "block").orderBy("eid", "tie")
     upto = vector_to_array(Summarizer.metrics("sum").summary(array_to_vector("u")).over(same.rowsBetween(Window.unboundedPreceding, 0))["sum"])
-    rows = prepared.select("eid", "ord", "u", F.row_number().over(same).alias("place"), upto.alias("upto")).join(days, "ord")
+    rows = rows.select("eid", "ord", "block", "u", F.row_number().over(same).alias("place"), upto.alias("upto")).join(totals, ["ord", "block"])
 
     def sums(c: str) -> Column:  # without the count
         return F.slice(c, F.lit(2), F.size(c) - 1)
 
-    own = V.dot(F.col("u"), F.col("u"))
-    earlier = F.when(F.col("place") > 1, V.dot(F.col("upto"), F.col("u")) - own).otherwise(0.0)
+    own, place = V.dot(F.col("u"), F.col("u")), F.col("ahead") + F.col("place")
+    within = F.when(F.col("place") > 1, V.dot(F.col("upto"), F.col("u")) - own).otherwise(0.0)
+    earlier = within + F.when(F.col("ahead") > 0, V.dot(F.col("upto_s"), F.col("u")) - V.dot(F.col("own_s"), F.col("u"))).otherwise(0.0)
     return rows.select(
         "eid",
-        F.round(F.get("day_past", F.lit(0)) + F.col("place") - 1).cast("long").alias("past_pool_size"),
-        F.round(F.get("day_future", F.lit(0)) + F.get("day_x", F.lit(0)) - F.col("place")).cast("long").alias("future_pool_size"),
+        "ord",
+        (F.round(F.get("day_past", F.lit(0))).cast("long") + place - 1).alias("past_pool_size"),
+        (F.round(F.get("day_future", F.lit(0)) + F.get("day_x", F.lit(0))).cast("long") - place).alias("future_pool_size"),
         (V.dot(sums("day_past"), F.col("u")) + earlier).alias("past_dot"),
         (V.dot(sums("day_future"), F.col("u")) + V.dot(sums("day_x"), F.col("u")) - earlier - own).alias("future_dot"),
     )
 
 
-def pools(prepared: DataFrame, years: int, method: str = "prefix") -> DataFrame:
-    """``eid, past_pool_size, future_pool_size, past_dot, future_dot``: sizes, and the dot products with the pools' sums.
+def index(df: DataFrame, years: int = NoveltyConfig.years, **cols: str) -> DataFrame:
+    """``eid, ki_score, past_pool_size, future_pool_size`` of the eligible articles.
 
-    ``method`` is ``prefix``, or ``frames`` for sliding frames, which need no calendar but whose cost grows with the window.
+    Every row is an article of its own: an id that repeats has a score for each of its rows.
     """
-    if method == "prefix":
-        return pools_by_prefix(prepared, int(years * DAYS))
-    sums = pools_by_frames(prepared, int(years * DAYS))
-
-    def total(name: str, size: bool) -> Column:
-        return F.sum(F.when(F.col("k") < 0, F.col(name) if size else 0.0).otherwise(0.0 if size else F.col(name) * F.col("x")))
-
-    sizes = [F.round(total(n, True)).cast("long").alias(f"{n}_pool_size") for n in ("past", "future")]
-    return sums.groupBy("eid").agg(*sizes, *[total(n, False).alias(f"{n}_dot") for n in ("past", "future")])
-
-
-def index(df: DataFrame, years: int = NoveltyConfig.years, method: str = "prefix", **cols: str) -> DataFrame:
-    """``eid, ki_score, past_pool_size, future_pool_size`` of the eligible articles.  Ids must be unique."""
     prepared = prepare(df, **cols)
     floor = F.lit(NoveltyConfig.sum_floor)
 
@@ -119,11 +120,13 @@ def index(df: DataFrame, years: int = NoveltyConfig.years, method: str = "prefix
         size = F.col(f"{n}_pool_size")
         return F.when(size > 0, F.greatest((size + F.col(f"{n}_dot")) / 2, floor)).otherwise(floor)
 
-    scored = pools(prepared, years, method).withColumn("ki_score", F.log(summed("future") / summed("past")))
-    kept = eligible(prepared, years).select("eid")
-    return scored.join(kept, "eid", "left_semi").select("eid", "ki_score", "past_pool_size", "future_pool_size")
+    scored = eligible(prepared, years, pools(prepared, years))
+    return scored.select("eid", F.log(summed("future") / summed("past")).alias("ki_score"), "past_pool_size", "future_pool_size")
 
 
 def with_metadata(meta: DataFrame, result: DataFrame, columns: tuple[str, ...] = ("eid", "title", "cover_date", "citedby_count", "doi")) -> DataFrame:
-    """The index beside those of the metadata columns that are there; only scored articles."""
+    """The index beside those of the metadata columns that are there; only scored articles.
+
+    They meet by id: an id that repeats on both sides gives every combination.
+    """
     return meta.select(*[c for c in columns if c in meta.columns]).join(result, "eid")

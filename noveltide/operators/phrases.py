@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noveltide.config import TextConfig
+from noveltide.functions.rows import row_key
 
 
 def neighbours(tokens: Column) -> Column:
@@ -52,13 +53,14 @@ def apply(df: DataFrame, bigrams: DataFrame, id_col: str = "eid", tokens_col: st
 
     Neighbours meet the bigrams by an equality join, so the table of bigrams may be large (Spark broadcasts a small
     one).  In a run of known pairs that follow each other, the greedy merge takes every other one from the first on, so
-    a document's merges are told by their parity within the run.
+    a row's merges are told by their parity within the run.  Rows that repeat an id keep their own tokens.
     """
-    own = df.select(id_col, F.posexplode(neighbours(F.col(tokens_col))).alias("i", "p")).select(id_col, "i", "p.a", "p.b")
-    found = own.join(bigrams.select("a", "b").distinct(), ["a", "b"]).select(id_col, "i").distinct()
-    by_doc = Window.partitionBy(id_col).orderBy("i")
-    runs = found.withColumn("run", F.col("i") - F.row_number().over(by_doc))
-    odd = F.row_number().over(Window.partitionBy(id_col, "run").orderBy("i")) % 2 == 1
-    merges = runs.withColumn("odd", odd).where("odd").groupBy(id_col).agg(F.array_sort(F.collect_list("i")).alias("_starts"))
-    rows = df.join(merges, id_col, "left").withColumn("_starts", F.coalesce("_starts", F.array().cast("array<int>")))
+    rows = df.withColumn("_row", row_key(id_col, tokens_col))
+    own = rows.select("_row", F.posexplode(neighbours(F.col(tokens_col))).alias("i", "p")).select("_row", "i", "p.a", "p.b")
+    found = own.join(bigrams.select("a", "b").distinct(), ["a", "b"]).select("_row", "i").distinct()
+    by_row = Window.partitionBy("_row").orderBy("i")
+    runs = found.withColumn("run", F.col("i") - F.row_number().over(by_row))
+    odd = F.row_number().over(Window.partitionBy("_row", "run").orderBy("i")) % 2 == 1
+    merges = runs.withColumn("odd", odd).where("odd").groupBy("_row").agg(F.array_sort(F.collect_list("i")).alias("_starts"))
+    rows = rows.join(merges, "_row", "left").withColumn("_starts", F.coalesce("_starts", F.array().cast("array<int>")))
     return rows.withColumn(tokens_col, F.when(F.size("_starts") > 0, merge(F.col(tokens_col), F.col("_starts"))).otherwise(F.col(tokens_col))).select(*df.columns)

@@ -24,11 +24,11 @@ def ki_semantic(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ki_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    return novelty.index(articles(spark, sf), YEARS, method="prefix").withColumn("ki_score", F.round("ki_score", 6))
+    return novelty.index(articles(spark, sf), YEARS).withColumn("ki_score", F.round("ki_score", 6))
 
 
 def ki_past_future_pools(spark: SparkSession, sf: str) -> DataFrame:
-    return novelty.pools(novelty.prepare(articles(spark, sf)), YEARS, "frames").select("eid", "past_pool_size", "future_pool_size", F.round("past_dot", 5).alias("past_dot"), F.round("future_dot", 5).alias("future_dot"))
+    return novelty.pools(novelty.prepare(articles(spark, sf)), YEARS).select("eid", "past_pool_size", "future_pool_size", F.round("past_dot", 5).alias("past_dot"), F.round("future_dot", 5).alias("future_dot"))
 
 
 def ki_eligible(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,6 +44,13 @@ def ki_with_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return novelty.with_metadata(a, ki_semantic(spark, sf)).withColumn("cover_date", F.col("cover_date").cast("string"))
 
 
+def ki_repeated_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Three articles and more share an id: each has its score, and meets the metadata of all of them."""
+    a = articles(spark, sf).withColumn("key", F.col("eid")).withColumn("eid", F.col("eid") % 150)
+    out = novelty.with_metadata(a, novelty.index(a, YEARS, tie_col="key"))
+    return out.withColumn("ki_score", F.round("ki_score", 6)).withColumn("cover_date", F.col("cover_date").cast("string"))
+
+
 def ki_describe(spark: SparkSession, sf: str) -> DataFrame:
     row = reports.describe(novelty.index(articles(spark, sf), YEARS), "ki_score")
     return row.select("n", *[F.round(c, 6).alias(c) for c in row.columns[1:]])
@@ -88,7 +95,7 @@ ONE = f"with {KI} select eid, round(ki, 6) as ki_score, past_pool_size, future_p
 
 QUERIES = {
     f.__name__: f
-    for f in (ki_semantic, ki_prefix, ki_past_future_pools, ki_eligible, unit_vectors_norm, ki_with_metadata, ki_describe, zero_vector_report, norm_histogram, masked_mean_pool)
+    for f in (ki_semantic, ki_prefix, ki_past_future_pools, ki_eligible, unit_vectors_norm, ki_with_metadata, ki_repeated_ids, ki_describe, zero_vector_report, norm_histogram, masked_mean_pool)
 }
 SQL = {
     "ki_semantic": ONE,
@@ -97,6 +104,9 @@ SQL = {
     "ki_eligible": f"with {UNIT}, ends as (select min(ord) as lo, max(ord) as hi from unit) select eid, ord from unit, ends where ord >= lo + 365.25 and ord <= hi - 365.25",
     "unit_vectors_norm": f"with {UNIT} select eid, round(sqrt(list_sum(list_transform(u, lambda y: y * y))), 6) as norm, round(u[1], 6) as u0 from unit",
     "ki_with_metadata": f"with {KI} select ki.eid, unit.title, cast(unit.d as varchar) as cover_date, round(ki, 6) as ki_score, past_pool_size, future_pool_size from ki join unit on unit.eid = ki.eid",
+    # Order by (day, id, key) instead of (day, id); then every score of an id beside every article of it.
+    "ki_repeated_ids": f"""with {KI.replace("(k.ord, k.eid) <", "(k.ord, k.eid % 150, k.eid) <").replace("(k.ord, k.eid) >", "(k.ord, k.eid % 150, k.eid) >").replace("(t.ord, t.eid))", "(t.ord, t.eid % 150, t.eid))")}
+select unit.eid % 150 as eid, unit.title, cast(unit.d as varchar) as cover_date, round(ki, 6) as ki_score, past_pool_size, future_pool_size from ki join unit on unit.eid % 150 = ki.eid % 150""",
     "ki_describe": f"""with {KI} select count(ki) as n, round(avg(ki), 6) as mean, round(stddev_samp(ki), 6) as std, round(min(ki), 6) as min,
 round(quantile_cont(ki, 0.25), 6) as q25, round(quantile_cont(ki, 0.5), 6) as q50, round(quantile_cont(ki, 0.75), 6) as q75, round(max(ki), 6) as max from ki""",
     "zero_vector_report": f"with {UNIT} select count(*) as n, count(*) filter (eid % 7 = 0) as zero_vectors, round(count(*) filter (eid % 7 = 0) / count(*) * 100.0, 6) as zero_pct from vec",
