@@ -57,6 +57,7 @@ class VectorConfig:
     window: int = 10
     min_count: int = 2
     epochs: int = 12
+    sg: int = 1
     vocab_thresholds: tuple[int, ...] = (1, 2, 3, 5, 8, 10)
     sample: int = 5000
     seed: int = 42
