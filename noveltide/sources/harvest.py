@@ -179,8 +179,11 @@ def by_cursor(client: Client, query: str, year: int, store: CursorStore) -> Iter
         store.save(year, cursor)
 
 
-def harvest_year(client: Client, year: int, store: CursorStore, append: Callable[[int, list[dict]], int], done: Callable[[int], None]) -> int:
-    """Counts, pages and appends one year; marks it done.  Returns the number of appended articles."""
+def harvest_year(client: Client, year: int, store: CursorStore, append: Callable[[int, list[dict]], int], done: Callable[[int], int | None]) -> int:
+    """Counts, pages and appends one year; marks it done.  Returns the number of appended articles.
+
+    ``append`` may hold articles back; ``done`` writes them and returns their number.
+    """
     query = client.cfg.query.format(year=year)
     body = client.get({"query": query, "start": 0, "count": 1})
     total = int(body.get("search-results", {}).get("opensearch:totalResults") or 0)
@@ -189,7 +192,7 @@ def harvest_year(client: Client, year: int, store: CursorStore, append: Callable
         pages = by_cursor(client, query, year, store) if strategy(total, client.cfg) == "cursor" else by_offset(client, query, total)
         for page in pages:  # what has come is kept, whatever happens later
             added += append(year, page)
-    done(year)
+    added += done(year) or 0
     store.clear(year)
     return added
 

@@ -5,7 +5,8 @@ import json
 import pytest
 
 from noveltide.config import HarvestConfig
-from noveltide.sources import search_source
+from noveltide.sources import files, search_source
+from noveltide.sources.decades import DecadeSink
 from noveltide.sources.harvest import Client, CursorStore, HarvestError, Response, by_cursor, by_offset, harvest, page_starts, strategy
 from noveltide.streaming import incremental
 
@@ -123,3 +124,92 @@ def test_incremental(spark, tmp_path):
     (tmp_path / "in/2.json").write_text('{"eid":"a","cover_date":"1999-01-01"}\n{"eid":"b","cover_date":"2003-01-01"}\n')
     incremental.run(spark, source, schema, target, state).awaitTermination()
     assert sorted((r.eid, r.decade) for r in spark.read.parquet(target).collect()) == [("a", 1990), ("b", 2000)]
+
+
+def cursor_transport():
+    """Pages of two; the same for the same cursor, whoever asks."""
+    pages = {"*": (["a", "a"], "c1"), "c1": (["a", "b"], "c2"), "c2": (["c", "d"], "c3"), "c3": (["d", "e"], "c4"), "c4": (["f", "g"], None)}
+
+    def answer(params):
+        ASKED.append(params["cursor"])
+        return page(*pages[params["cursor"]])
+
+    return answer
+
+
+ASKED: list[str] = []
+
+
+def endless_transport():
+    return lambda params: page(["a", "b"], f"c{int(params['cursor'].removeprefix('c') or 0) + 1 if params['cursor'] != '*' else 1}")
+
+
+@pytest.mark.parametrize("pages", ["1", "2", "40"])
+def test_a_stream_follows_the_cursor(spark, tmp_path, pages):
+    options = {"transport": "tests.test_harvest:cursor_transport", "query": "q", "pages_per_batch": pages}
+    target, state = str(tmp_path / "out"), str(tmp_path / "state")
+    assert incremental.harvest_stream(spark, options, target, state) == 8
+    rows = spark.read.parquet(target).collect()
+    assert sorted((r.page, r.eid) for r in rows) == [(0, "a"), (0, "a"), (1, "b"), (2, "c"), (2, "d"), (3, "e"), (4, "f"), (4, "g")]
+    # Started again, it knows that it is at the end.
+    assert incremental.harvest_stream(spark, options, target, state) == 8
+
+
+def test_a_stopped_stream_goes_on_at_its_page(spark, tmp_path):
+    search_source.register(spark)
+    options = {"transport": "tests.test_harvest:cursor_transport", "query": "q", "pages_per_batch": "2"}
+    target, state = str(tmp_path / "out"), str(tmp_path / "state")
+    taken = []
+
+    def stop_in_second(batch, number):
+        taken.append([(r.page, json.loads(r.entry)["eid"]) for r in batch.collect()])
+        if number == 1:
+            raise RuntimeError("killed")
+
+    query = spark.readStream.format("search_pages").options(**options).load().writeStream.foreachBatch(stop_in_second).option("checkpointLocation", state).start()
+    with pytest.raises(Exception, match="killed"):
+        query.awaitTermination(60)
+    assert [[p for p, _ in b] for b in taken] == [[0, 0, 1, 1], [2, 2, 3, 3]]
+    # The batch that was not committed comes again as it was, then the rest; the first pages do not.
+    incremental.harvest_stream(spark, options, target, state)
+    assert sorted((r.page, r.eid) for r in spark.read.parquet(target).collect()) == [(2, "c"), (2, "d"), (3, "e"), (4, "f"), (4, "g")]
+
+
+def test_a_stream_ends_after_empty_pages(spark, tmp_path):
+    options = {"transport": "tests.test_harvest:endless_transport", "query": "q", "pages_per_batch": "1"}
+    assert incremental.harvest_stream(spark, options, str(tmp_path / "out"), str(tmp_path / "state")) == 2
+
+
+def entries(*ids):
+    return [{"eid": i, "dc:title": f"title {i}", "prism:coverDate": "1999-01-01"} for i in ids]
+
+
+def test_decades_are_written_in_batches(spark, tmp_path):
+    sink = DecadeSink(spark, str(tmp_path / "raw"), str(tmp_path / "ids"), batch=4)
+    assert [sink.add(1999, entries("a", "a")), sink.add(1999, entries("b")), sink.add(2001, entries("z"))] == [0, 0, 0] and sink.jobs == 0
+    assert sink.add(1999, entries("c", "d")) == 5 and sink.jobs == 1  # repeats within a batch stay
+    assert sink.add(1995, entries("a", "e")) == 0 and sink.flush() == 2 and sink.jobs == 3
+    assert sorted(r.eid for r in files.read_csv(spark, sink.target(1990)).collect()) == ["a", "a", "b", "c", "d", "e"]
+    assert [r.title for r in files.read_csv(spark, sink.target(2000)).collect()] == ["title z"] and sink.flush() == 0
+
+
+def test_articles_without_ids_are_found_again(spark, tmp_path, monkeypatch):
+    folders = str(tmp_path / "raw"), str(tmp_path / "ids")
+    sink = DecadeSink(spark, *folders)
+    sink.add(1999, entries("a"))
+    sink.flush()
+    write = files.write_csv
+
+    def killed(df, path, *mode):
+        write(df, path, *mode)
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(files, "write_csv", killed)  # after the articles, before their ids
+    sink.add(1999, entries("b"))
+    with pytest.raises(KeyboardInterrupt):
+        sink.flush()
+    monkeypatch.undo()
+    again = DecadeSink(spark, *folders)
+    again.add(1999, entries("a", "b", "c"))
+    assert again.flush() == 1
+    assert sorted(r.eid for r in files.read_csv(spark, again.target(1990)).collect()) == ["a", "b", "c"]
