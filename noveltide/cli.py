@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from noveltide.config import Credentials, EnrichConfig, HarvestConfig, Layout, NoveltyConfig, VectorConfig
 from noveltide.functions.text import hms
-from noveltide.operators import enrich, langid, manifests, novelty, phrases, preprocess, reports, vectors, word2vec
+from noveltide.operators import langid, novelty, phrases, preprocess, reports, vectors, word2vec
 from noveltide.sources import files
+from noveltide.sources.decades import DecadeSink
 from noveltide.sources.enrichment import Enrichment
 from noveltide.sources.harvest import Client, CursorStore, Transport, harvest
 from noveltide.sources.http import HttpTransport
@@ -84,25 +85,23 @@ def run_harvest(spark: SparkSession, at: Layout, args: argparse.Namespace, trans
     client = Client(transport or HttpTransport(os.environ["SEARCH_URL"], Credentials.from_env().headers()), cfg, sleep=sleep, ledger=ledger)
     years = [y for y in cfg.years if not args.decada or int(args.decada[:4]) <= y <= int(args.decada[5:])]
 
+    sink = DecadeSink(spark, at.path("raw"), at.path("state", "ids"))
+
     def append(year: int, entries: list[dict]) -> int:
-        """Flattened, new and cleaned articles of a page go to the file of their decade."""
-        if not entries:
-            return 0
-        raw = spark.createDataFrame([(json.dumps(e),) for e in entries], "j string")
-        rows = enrich.flatten_entries(raw.select(F.from_json("j", enrich.ENTRY).alias("entry")))
-        target = at.path("raw", f"articles_{year // 10 * 10}_{year // 10 * 10 + 9}.csv")
-        known = files.read_csv(spark, target) if Path(target).exists() else rows.limit(0)
-        fresh = manifests.save(rows, known.select("eid"))
-        out = [r.asDict() for r in fresh.collect()]  # one page of a few rows
-        files.append_rows(target, fresh.columns, out)
-        return len(out)
+        return sink.add(year, entries)
+
+    def finished(year: int) -> int:
+        """A year is done when its last articles are written."""
+        n = sink.flush()
+        state.add("years", str(year))
+        return n
 
     def report(r: dict) -> None:
         times = spark.range(1).select(hms(F.lit(r["seconds"])).alias("took"), hms(F.lit(r["eta_seconds"])).alias("eta")).first()
         state.add("decades", f"{r['decade']}: {r['articles']} articles, {times.took}; {r['left']} decades left, {times.eta}")
 
     done = {int(x) for x in state.load("years") if x.isdigit()}
-    out = harvest(client, years, done, CursorStore(at.path("state")), append, lambda y: state.add("years", str(y)), report)
+    out = harvest(client, years, done, CursorStore(at.path("state")), append, finished, report)
     ledger.set(0)
     return out
 
@@ -113,7 +112,8 @@ def run_train(spark: SparkSession, at: Layout, name: str) -> bool:
         return False
     rows = first_of(spark, at.path("tokens", name), at.path("tokens", f"filtered_{name}"))
     files.write_csv(word2vec.thresholds(word2vec.vocabulary(word2vec.usable_corpus(rows))), at.path("models", f"vocabulary_{name}"), "overwrite")
-    words, log = word2vec.train(rows)
+    words, epochs, log = word2vec.train(rows)
+    files.write_csv(epochs.orderBy("epoch").coalesce(1), at.path("models", f"epochs_{name}"), "overwrite")
     files.write_table(words, at.path("models", name), mode="overwrite")
     words = spark.read.parquet(at.path("models", name))
     files.write_csv(word2vec.histogram(word2vec.norms(words), "norm").orderBy("bin"), at.path("models", f"norms_{name}"), "overwrite")
@@ -144,9 +144,10 @@ def run(spark: SparkSession, args: argparse.Namespace, transport: Transport | No
     elif args.stage == "enrich":
         Enrichment(spark, at, transport or HttpTransport(os.environ["RECORD_URL"], Credentials.from_env().headers()), EnrichConfig(), sleep).run(args.test)
     elif args.stage == "filter":
-        source = files.read_csv(spark, at.path("enriched", f"*{args.decada}*" if args.decada else "*"))
+        source, misfits = files.read_union(spark, at.path("enriched", f"*{args.decada}*" if args.decada else "*"))
+        files.write_table(misfits, at.path("filtered", f"misfits_{name}"), mode="overwrite")
         detector = langid.model_detector(named(args.detector)) if args.detector else langid.stop_word_detector
-        rows = langid.detect(source.drop(*files.IGNORED), detector)
+        rows = langid.detect(source, detector)
         ok, other = langid.split(rows)
         files.write_table(ok, at.path("filtered", name), mode="overwrite")
         files.write_table(other, at.path("filtered", f"rejected_{name}"), mode="overwrite")
@@ -158,10 +159,13 @@ def run(spark: SparkSession, args: argparse.Namespace, transport: Transport | No
         entries = preprocess.whitelist(files.read_csv(spark, str(white))) if white.exists() else spark.createDataFrame([], "phrase string")
         allowed = [r.phrase for r in entries.where("not phrase rlike '[ _]'").orderBy("phrase").collect()]  # a hand-made list
         rows = rows.withColumn("tokens", tokenize(preprocess.clean_boilerplate(F.col("text"))))
-        discarded = preprocess.discard_log(rows, allowed=allowed)
+        files.write_table(preprocess.with_phrases(rows, entries), at.path("tokens", f"parted_{name}"), mode="overwrite")
+        parted = spark.read.parquet(at.path("tokens", f"parted_{name}"))
+        # Words inside a white-listed phrase are not discarded.
+        discarded = preprocess.discard_log(parted, "_rest", allowed=allowed)
         files.write_csv(discarded.orderBy(F.desc("frecuencia"), "palabra", "motivo"), at.path("tokens", f"discarded_{name}"), "overwrite")
         files.write_csv(preprocess.discard_summary(discarded), at.path("tokens", f"discarded_summary_{name}"), "overwrite")
-        rows = preprocess.phrases_first(rows, entries, allowed=allowed, lemmatize=named(args.lemmatizer) or preprocess.lemma)
+        rows = preprocess.cleaned(parted, allowed=allowed, lemmatize=named(args.lemmatizer) or preprocess.lemma)
         files.write_table(rows, at.path("tokens", f"plain_{name}"), mode="overwrite")
         rows = spark.read.parquet(at.path("tokens", f"plain_{name}"))
         files.write_table(phrases.learn(rows), at.path("tokens", f"bigrams_{name}"), mode="overwrite")
@@ -172,7 +176,7 @@ def run(spark: SparkSession, args: argparse.Namespace, transport: Transport | No
     elif args.stage == "grid":
         rows = first_of(spark, at.path("tokens", f"filtered_{name}"), at.path("tokens", name))
         grid = word2vec.read_grid(files.read_csv(spark, at.path("models", "grid.csv")))
-        word2vec.search(rows, grid, at.path("models", f"grid_{name}"), args.sample, args.overwrite)
+        word2vec.search(rows, grid, at.path("models", f"grid_{name}"), at.path("models", f"grid_models_{name}"), args.sample, args.overwrite)
     elif args.stage == "vectors":
         run_vectors(spark, at, name)
     elif args.stage == "encode":

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noveltide.functions.rows import row_key
 from noveltide.functions.text import let, squeeze, strip
 
 # publishers' boilerplate, and tokens that stem from it.
@@ -99,19 +100,31 @@ def kept_lemmas(tokens: Column, allowed: list[str] | None = None, lemmatize: Cal
 SPAN = "array<struct<neg:int,at:int,n:int,phrase:string>>"
 
 
-def phrases_first(df: DataFrame, phrases: DataFrame, id_col: str = "eid", tokens_col: str = "tokens", allowed: list[str] | None = None, lemmatize: Callable[[Column], Column] = lemma) -> DataFrame:
-    """``df`` with its tokens cleaned: white-listed phrases (longest first, without overlaps) joined by ``_``, before all
-    other kept lemmas.
+def anchors(rows: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``w, shift, words, n, phrase``: the multi-word entries of ``phrase``, each by its rarest word and that word's place.
 
-    The multi-word entries of ``phrase`` count; matching ignores case.  They meet the tokens by an equality join on
-    their first word, so the list may be long; what a document's matches cost depends on the matches alone.
+    ``rows`` (``_low``: lower-case tokens) are counted for the phrases' words alone.  A phrase of which a word does not
+    occur is left out.
     """
     many = phrases.select(F.split(F.lower(F.trim(F.regexp_replace("phrase", "_", " "))), " +").alias("words")).where(F.size("words") > 1).distinct()
-    many = many.select(F.get("words", F.lit(0)).alias("w"), "words", F.size("words").alias("n"), F.array_join("words", "_").alias("phrase"))
-    rows = df.withColumn("_low", F.transform(tokens_col, F.lower))
-    met = rows.select(id_col, "_low", F.posexplode("_low").alias("at", "w")).join(many, "w").where(F.slice("_low", F.col("at") + 1, F.col("n")) == F.col("words"))
+    each = many.select("words", F.posexplode("words").alias("shift", "w"))
+    counts = rows.select(F.explode("_low").alias("w")).join(each.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("c"))
+    rarest = each.join(counts, "w", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "shift", "w")).alias("r")).where("r.c > 0")
+    return rarest.select("r.w", "r.shift", "words", F.size("words").alias("n"), F.array_join("words", "_").alias("phrase"))
+
+
+def with_phrases(df: DataFrame, phrases: DataFrame, id_col: str = "eid", tokens_col: str = "tokens") -> DataFrame:
+    """``df`` with ``_phrases`` (white-listed phrases found, joined by ``_``, in order) and ``_rest`` (the tokens outside).
+
+    Longer phrases come first, and they do not overlap; matching ignores case.  Phrases meet the tokens by an equality
+    join on their rarest word, so the list may be long and its phrases may begin with frequent words; only what meets is
+    compared with the whole phrase.
+    """
+    rows = df.withColumn("_low", F.transform(tokens_col, F.lower)).withColumn("_row", row_key(id_col, tokens_col))
+    met = rows.select("_row", F.posexplode("_low").alias("at", "w")).join(anchors(rows, phrases), "w").withColumn("at", F.col("at") - F.col("shift")).where("at >= 0").drop("w", "shift")
+    met = met.join(rows.select("_row", "_low"), "_row").where(F.slice("_low", F.col("at") + 1, F.col("n")) == F.col("words"))
     spans = F.array_sort(F.collect_set(F.struct((-F.col("n")).alias("neg"), "at", "n", "phrase"))).alias("_spans")
-    rows = rows.drop("_low").join(met.groupBy(id_col).agg(spans), id_col, "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(SPAN)))
+    rows = rows.drop("_low").join(met.groupBy("_row").agg(spans), "_row", "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(SPAN)))
 
     def take(chosen: Column, s: Column) -> Column:
         free = ~F.exists(chosen, lambda o: (s["at"] < o["at"] + o["n"]) & (o["at"] < s["at"] + s["n"]))
@@ -120,16 +133,24 @@ def phrases_first(df: DataFrame, phrases: DataFrame, id_col: str = "eid", tokens
     chosen = F.aggregate("_spans", F.array().cast(SPAN), take)
     placed = F.array_sort(F.transform(chosen, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), s["phrase"].alias("phrase"))))
 
-    def cleaned(p: Column) -> Column:
+    def outside(p: Column) -> Column:
         def between(k: Column) -> Column:
             begin = F.when(k == 0, F.lit(0)).otherwise(F.get(p, k - 1)["at"] + F.get(p, k - 1)["n"])
             end = F.when(k < F.size(p), F.get(p, k)["at"]).otherwise(F.size(tokens_col))
             return F.slice(tokens_col, begin + 1, end - begin)
 
-        rest = F.flatten(F.transform(F.sequence(F.lit(0), F.size(p)), between))
-        return F.concat(F.transform(p, lambda s: s["phrase"]), kept_lemmas(rest, allowed, lemmatize))
+        return F.struct(F.transform(p, lambda s: s["phrase"]).alias("phrases"), F.flatten(F.transform(F.sequence(F.lit(0), F.size(p)), between)).alias("rest"))
 
-    return rows.withColumn(tokens_col, let(placed, cleaned)).select(*df.columns)
+    return rows.withColumn("_parts", let(placed, outside)).select(*df.columns, F.col("_parts.phrases").alias("_phrases"), F.col("_parts.rest").alias("_rest"))
+
+
+def cleaned(parted: DataFrame, tokens_col: str = "tokens", allowed: list[str] | None = None, lemmatize: Callable[[Column], Column] = lemma) -> DataFrame:
+    """The rows of ``with_phrases`` with their tokens cleaned: phrases before all other kept lemmas."""
+    return parted.withColumn(tokens_col, F.concat("_phrases", kept_lemmas(F.col("_rest"), allowed, lemmatize))).drop("_phrases", "_rest")
+
+
+def phrases_first(df: DataFrame, phrases: DataFrame, id_col: str = "eid", tokens_col: str = "tokens", allowed: list[str] | None = None, lemmatize: Callable[[Column], Column] = lemma) -> DataFrame:
+    return cleaned(with_phrases(df, phrases, id_col, tokens_col), tokens_col, allowed, lemmatize)
 
 
 def discard_log(df: DataFrame, tokens_col: str = "tokens", allowed: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,66 @@ from noveltide.config import EnrichConfig
 from noveltide.functions.text import hms
 
 
+#: Ranges of a selection step, and distinct values that are looked at on the driver at most.
+RANGES, FEW = 64, 10_000
+
+
+def exact_quantiles(df: DataFrame, column: str, probs: list[float], few: int = FEW) -> list[float | None]:
+    """Exact quantiles (interpolated) by selection: ranges are counted, and only those that hold a wanted rank are cut again.
+
+    A range's cuts are its approximate quantiles, so each step leaves about a ``RANGES``-th of it.  Values equal to a cut are
+    counted on their own: a value of many copies is found as a cut.  Steps end when a range has ``few`` values; no task sorts the values.
+    """
+    values = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    n = values.count()
+    if not n:
+        return [None] * len(probs)
+    places = [p * (n - 1) for p in probs]
+    wanted = {r for at in places for r in (math.floor(at), math.ceil(at))}
+    found: dict[int, float] = {}
+    # (below, above, values up to `below`, values inside, ranks inside); the ends are excluded, None is no end.
+    open_ = [(None, None, 0, n, sorted(wanted))]
+    while open_:
+        number = F.lit(None).cast("int")
+        for k, (lo, hi, *_) in enumerate(open_):
+            inside = (F.lit(True) if lo is None else F.col("x") > lo) & (F.lit(True) if hi is None else F.col("x") < hi)
+            number = F.when(inside, k).otherwise(number)
+        rows = values.withColumn("k", number).where("k is not null")
+        small = [k for k, r in enumerate(open_) if r[3] <= few]
+        large = [k for k, r in enumerate(open_) if r[3] > few]
+        counts = []
+        if small:
+            counts += [(r.k, r.x, True, r.n) for r in rows.where(F.col("k").isin(small)).groupBy("k", "x").agg(F.count("*").alias("n")).collect()]
+        if large:
+            rows = rows.where(F.col("k").isin(large))
+            cuts = {r.k: sorted(set(r.q)) for r in rows.groupBy("k").agg(F.percentile_approx("x", [j / RANGES for j in range(1, RANGES)], 10 * RANGES).alias("q")).collect()}
+            place, same = F.lit(None).cast("int"), F.lit(None).cast("boolean")
+            for k, q in cuts.items():
+                edges = F.array(*map(F.lit, q))
+                place = F.when(F.col("k") == k, F.size(F.filter(edges, lambda e: e < F.col("x")))).otherwise(place)
+                same = F.when(F.col("k") == k, F.array_contains(edges, F.col("x"))).otherwise(same)
+            counts += [(r.k, (cuts[r.k], r.place), r.same, r.n) for r in rows.groupBy("k", place.alias("place"), same.alias("same")).agg(F.count("*").alias("n")).collect()]
+        later = []
+        for k, (lo, hi, base, _, ranks) in enumerate(open_):
+            mine = [c for c in counts if c[0] == k]
+            mine = [(x, None, None, size) for _, x, _, size in sorted(mine, key=lambda c: c[1])] if k in small else [(q[j] if same else None, q[j - 1] if j else lo, q[j] if j < len(q) else hi, size) for _, (q, j), same, size in sorted(mine, key=lambda c: (c[1][1], c[2]))]
+            for value, below, above, size in mine:
+                held = [r for r in ranks if base <= r < base + size]
+                if value is not None:
+                    found |= dict.fromkeys(held, value)
+                elif held:
+                    later.append((below, above, base, size, held))
+                base += size
+        open_ = later
+    return [found[lo] if lo == hi else (hi - at) * found[lo] + (at - lo) * found[hi] for at in places for lo, hi in [(math.floor(at), math.ceil(at))]]
+
+
 def describe(df: DataFrame, column: str) -> DataFrame:
     """One row: count, mean, sample deviation, minimum, exact quartiles (interpolated) and maximum."""
     c = F.col(column).cast("double")
-    q = [F.percentile(c, F.lit(p)).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
-    return df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *q, F.max(c).alias("max"))
+    q = [F.lit(v).cast("double").alias(n) for v, n in zip(exact_quantiles(df, column, [0.25, 0.5, 0.75]), ("q25", "q50", "q75"), strict=True)]
+    row = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    return row.select("n", "mean", "std", "min", *q, "max")
 
 
 def progress(done: Column, cfg: EnrichConfig = EnrichConfig()) -> list[Column]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noveltide.functions.text import word_count
 from noveltide.operators import langid, phrases, preprocess, reports, vectors, word2vec
-from noveltide.sources import files
+from noveltide.sources import files, scratch
 
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,10 +105,21 @@ def bigram_apply(spark: SparkSession, sf: str) -> DataFrame:
     return merged.select("eid", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
+def bigram_apply_repeated_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Bigrams in documents of which many share an id."""
+    c = corpus(spark, sf)
+    merged = phrases.apply(c.withColumn("eid", F.col("eid") % 100), phrases.learn(c, min_count=5, threshold=10))
+    return merged.select("eid", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+
+
+DIM = 200
+
+
 def word_vectors(c: DataFrame) -> DataFrame:
-    """A small deterministic word-vector table: words of the corpus that occur five times or more."""
+    """A deterministic table of word vectors in production size: words of the corpus that occur five times or more."""
     v = word2vec.vocabulary(c).where("n >= 5")
-    return v.select("word", "n", F.array(F.char_length("word").cast("float"), F.ascii("word").cast("float"), (F.col("n") % 97).cast("float")).alias("vector"))
+    seed = F.char_length("word") * 31 + F.ascii("word") * 7 + F.col("n") % 97
+    return v.select("word", "n", F.transform(F.sequence(F.lit(1), F.lit(DIM)), lambda j: ((seed * j) % 101 - 50).cast("float")).alias("vector"))
 
 
 def vocab_thresholds(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,10 +135,23 @@ def doc_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.coverage(c, word_vectors(c)).withColumn("coverage_ratio", F.round("coverage_ratio", 6))
 
 
+SHOWN = (1, 77, 200)  # dimensions that the query returns, beside the mean vector's checksum over all of them
+
+
+def mean_digest(r: DataFrame) -> DataFrame:
+    whole = F.aggregate(F.transform("vector", lambda x: x.cast("double")), F.lit(0.0), lambda t, x: t + x)
+    return r.select("eid", F.round("coverage_ratio", 6).alias("coverage_ratio"), *[F.round(F.get("vector", F.lit(j - 1)).cast("double"), 3).alias(f"v{j}") for j in SHOWN], F.round(whole, 1).alias("v_sum"), F.size("vector").alias("dim"))
+
+
 def doc_mean_vector(spark: SparkSession, sf: str) -> DataFrame:
     c = corpus(spark, sf)
-    r = vectors.mean_vectors(c, word_vectors(c), 3)
-    return r.select("eid", F.round("coverage_ratio", 6).alias("coverage_ratio"), *[F.round(F.get("vector", F.lit(i)).cast("double"), 3).alias(f"v{i}") for i in range(3)])
+    return mean_digest(vectors.mean_vectors(c, word_vectors(c), DIM))
+
+
+def doc_mean_repeated_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean vectors of documents of which many share an id."""
+    c = corpus(spark, sf)
+    return mean_digest(vectors.mean_vectors(c.withColumn("eid", F.col("eid") % 100), word_vectors(c), DIM))
 
 
 def coverage_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,11 +179,19 @@ def w2v_grid_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def w2v_train(spark: SparkSession, sf: str) -> DataFrame:
-    """The vocabulary and the dimension of a model (its values are those of the trainer).  Reduced to 16 dimensions and one epoch."""
-    words, _ = word2vec.train(corpus(spark, sf), word2vec.TrainParams(vector_size=16, window=3, min_count=5, epochs=1))
+    """The vocabulary and the dimension of a model (its values are those of the trainer).  One epoch instead of twelve."""
+    words, _, _ = word2vec.train(corpus(spark, sf), word2vec.TrainParams(min_count=5, epochs=1))
     return words.select("word", F.size("vector").alias("dim"))
 
 
+def w2v_grid_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Models of both objectives and one that cannot be trained, with those metrics that do not depend on chance."""
+    grid = word2vec.read_grid(spark.createDataFrame([(24, 4, 5, 1, 2), (24, 4, 20, 0, 2), (24, 4, 5, 7, 1)], "vector_size int, window int, min_count int, sg int, epochs int"))
+    with scratch.Scratch(spark, "grid") as place:
+        out = word2vec.run_grid(corpus(spark, sf), grid, word2vec.ModelStore(spark, f"{place.root}/models"))
+    return out.select("modelo_id", "status", F.coalesce("vocab_size", F.lit(-1)).alias("vocab_size"), F.round("coverage_sample", 5).alias("coverage_sample"), "kv_size_mb_est")
+
+
 STOPS = ", ".join(f"('{lang}', '{w}')" for lang, ws in langid.STOP_WORDS.items() for w in ws)
 # White space and word characters are spelled out: the two regex engines' classes differ.
 WS = r"[ \t\n\r\f\v\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -187,17 +219,29 @@ when lower(w) in ({STOP_EN}) then 'stopword'
 when regexp_full_match(lower(w), '[a-z]{{1,2}}') and upper(w) <> w then 'sigla_corta' end"""
 CORPUS = "corpus as (select doc_id as eid, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) > 2) as tokens from documents)"
 VOCAB = f"{CORPUS}, word as (select eid, unnest(tokens) as word from corpus), vocab as (select word, count(*) as n from word group by word)"
-VECTORS = f"{VOCAB}, wv as (select word, cast(length(word) as double) as v0, cast(ascii(word) as double) as v1, cast(n % 97 as double) as v2 from vocab where n >= 5)"
+VECTORS = f"{VOCAB}, wv as (select word, n, length(word) * 31 + ascii(word) * 7 + n % 97 as seed from vocab where n >= 5)"
+# A word's whole vector sums to the same in every document, so it is summed once per word.
+MEANS = f"""{VECTORS}, whole as (select word, seed, cast(list_sum(list_transform(range(1, 201), lambda j: (seed * j) % 101 - 50)) as double) as s from wv),
+hit as (select w.eid, count(v.word) / count(*) as r, avg(seed % 101 - 50) as v1, avg((seed * 77) % 101 - 50) as v77, avg((seed * 200) % 101 - 50) as v200, avg(s) as s from word w left join whole v on v.word = w.word group by w.eid),
+mean as (select c.eid, round(coalesce(r, 0.0), 6) as coverage_ratio, round(cast(cast(coalesce(v1, 0.0) as float) as double), 3) as v1, round(cast(cast(coalesce(v77, 0.0) as float) as double), 3) as v77,
+round(cast(cast(coalesce(v200, 0.0) as float) as double), 3) as v200, round(coalesce(s, 0.0), 1) as v_sum, 200 as dim from corpus c left join hit on hit.eid = c.eid)"""
 BIGRAMS = f"""{VOCAB}, pairs as (select p.a, p.b, count(*) as n_ab from (select unnest(list_zip(tokens[1:-2], tokens[2:])) as p from
   (select tokens, struct_pack(x := 1) as z from corpus where len(tokens) > 1)) q(p0), (select 1) one, lateral (select struct_pack(a := p0[1], b := p0[2])) r(p) group by 1, 2),
 size as (select (select count(*) from vocab) + (select count(*) from pairs) as v),
 big as (select a, b, n_ab, (n_ab - 5) / va.n / vb.n * size.v as score from pairs, size, vocab va, vocab vb where va.word = a and vb.word = b and n_ab > 5 and (n_ab - 5) / va.n / vb.n * size.v > 10)"""
+# In a run of adjacent known pairs, the greedy merge takes every other one, from the first on.
+MERGED = f"""{BIGRAMS}, pos as (select eid, i, tokens[i] as w, tokens[i + 1] as nx from (select eid, tokens, unnest(range(1, len(tokens) + 1)) as i from corpus)),
+flag as (select pos.*, big.a is not null as k from pos left join big on big.a = w and big.b = nx),
+run as (select *, sum(if(k, 0, 1)) over (partition by eid order by i) as g from flag),
+mark as (select *, k and (row_number() over (partition by eid, g, k order by i) - 1) % 2 = 0 as m from run),
+seen as (select *, coalesce(lag(m) over (partition by eid order by i), false) as gone from mark),
+merged as (select eid, count(*) as n, string_agg(if(m, w || '_' || nx, w), ' ' order by i) as s from seen where not gone group by eid)"""
 
 QUERIES = {
     f.__name__: f
     for f in (
         lang_detect, lang_filter_ok, lang_filter_rejected, lang_summary, compose_text, header_union, meta_clean, tokens_clean, discard_log, discard_summary, meta_token_filter, phrase_whitelist,
-        bigram_scores, bigram_apply, vocab_thresholds, w2v_vocab, doc_coverage, doc_mean_vector, coverage_sample, sample_docs, kv_size_mb, w2v_grid_scores, w2v_train,
+        bigram_scores, bigram_apply, bigram_apply_repeated_ids, vocab_thresholds, w2v_vocab, doc_coverage, doc_mean_vector, doc_mean_repeated_ids, coverage_sample, sample_docs, kv_size_mb, w2v_grid_scores, w2v_grid_search, w2v_train,
     )
 }
 SQL = {
@@ -225,28 +269,26 @@ select t.eid, cast(len(tokens) as bigint) as n_tokens, coalesce(k.n, 0) as n_kep
     "phrase_whitelist": """with t as (select p_partkey, p_name, lower(p_name) as low from part)
 select p_partkey, trim((case when low = 'small ring' then 'small_ring gear r' when low like '% ring' then 'ring_gear ' || split_part(low, ' ', 1) || ' r' else low || ' gear r' end)) as tokens from t""",
     "bigram_scores": f"with {BIGRAMS} select a, b, n_ab, round(score, 4) as score from big",
-    # In a run of adjacent known pairs, the greedy merge takes every other one, from the first on.
-    "bigram_apply": f"""with {BIGRAMS}, pos as (select eid, i, tokens[i] as w, tokens[i + 1] as nx from (select eid, tokens, unnest(range(1, len(tokens) + 1)) as i from corpus)),
-flag as (select pos.*, big.a is not null as k from pos left join big on big.a = w and big.b = nx),
-run as (select *, sum(if(k, 0, 1)) over (partition by eid order by i) as g from flag),
-mark as (select *, k and (row_number() over (partition by eid, g, k order by i) - 1) % 2 = 0 as m from run),
-seen as (select *, coalesce(lag(m) over (partition by eid order by i), false) as gone from mark),
-merged as (select eid, count(*) as n, string_agg(if(m, w || '_' || nx, w), ' ' order by i) as s from seen where not gone group by eid)
-select c.eid, coalesce(n, 0) as n_tokens, md5(coalesce(s, '')) as tokens_md5 from corpus c left join merged on merged.eid = c.eid""",
+    "bigram_apply": f"with {MERGED} select c.eid, coalesce(n, 0) as n_tokens, md5(coalesce(s, '')) as tokens_md5 from corpus c left join merged on merged.eid = c.eid",
+    "bigram_apply_repeated_ids": f"with {MERGED} select c.eid % 100 as eid, coalesce(n, 0) as n_tokens, md5(coalesce(s, '')) as tokens_md5 from corpus c left join merged on merged.eid = c.eid",
     "vocab_thresholds": f"with {VOCAB}, t(min_count) as (values (1), (2), (3), (5), (8), (10)) select min_count, count(*) filter (n >= min_count) as kept, count(*) filter (n < min_count) as dropped from vocab, t group by min_count",
     "w2v_vocab": f"with {VOCAB} select word, n from vocab where n >= 2",
     "doc_coverage": f"""with {VECTORS}, hit as (select w.eid, count(wv.word) / count(*) as r from word w left join wv on wv.word = w.word group by w.eid)
 select c.eid, round(coalesce(r, 0.0), 6) as coverage_ratio from corpus c left join hit on hit.eid = c.eid""",
-    "doc_mean_vector": f"""with {VECTORS}, hit as (select w.eid, count(wv.word) / count(*) as r, avg(v0) as v0, avg(v1) as v1, avg(v2) as v2 from word w left join wv on wv.word = w.word group by w.eid)
-select c.eid, round(coalesce(r, 0.0), 6) as coverage_ratio, round(cast(cast(coalesce(v0, 0.0) as float) as double), 3) as v0, round(cast(cast(coalesce(v1, 0.0) as float) as double), 3) as v1, round(cast(cast(coalesce(v2, 0.0) as float) as double), 3) as v2
-from corpus c left join hit on hit.eid = c.eid""",
+    "doc_mean_vector": f"with {MEANS} select * from mean",
+    "doc_mean_repeated_ids": f"with {MEANS} select eid % 100 as eid, * exclude (eid) from mean",
     "coverage_sample": f"""with {VECTORS}, pick as (select eid from corpus order by md5('42:' || cast(eid as varchar)), eid limit 5000),
 hit as (select w.eid, count(wv.word) / count(*) as r from word w left join wv on wv.word = w.word where w.eid in (select eid from pick) group by w.eid) select round(avg(r), 6) as coverage_sample from hit""",
     "sample_docs": "select doc_id as eid, lang from documents order by md5('42:' || cast(doc_id as varchar)), doc_id limit 5000",
-    "w2v_train": f"with {VOCAB} select word, 16 as dim from vocab where n >= 5",
+    "w2v_train": f"with {VOCAB} select word, 200 as dim from vocab where n >= 5",
+    "w2v_grid_search": f"""with {VOCAB}, g(sg, min_count) as (values (1, 5), (0, 20)), pick as (select eid from corpus where len(tokens) > 0 and eid in (select eid from corpus order by md5('42:' || cast(eid as varchar)), eid limit 5000)),
+size as (select min_count, sg, count(*) filter (n >= min_count) as k from vocab, g group by all),
+hit as (select min_count, eid, count(*) filter (n >= min_count) / count(*) as r from word join vocab using (word), g where eid in (select eid from pick) group by all)
+select 'w2v_d24_w4_m' || min_count || '_sg' || sg || '_e2_s42' as modelo_id, 'ok' as status, k as vocab_size, (select round(avg(r), 5) from hit where hit.min_count = size.min_count) as coverage_sample,
+  round(k * 24 * 4 / 1048576.0, 2) as kv_size_mb_est from size union all select 'w2v_d24_w4_m5_sg7_e1_s42', 'error', -1, null, null""",
     "kv_size_mb": f"with {VOCAB} select count(*) as vocab_size, round(count(*) * 200 * 4 / 1048576.0, 2) as kv_size_mb_est from vocab",
     "w2v_grid_scores": f"""with {VECTORS}, grid(vector_size, w, min_count, sg, epochs) as (values (100, 5, 2, 1, 5), (200, 10, 3, 1, 12), (50, 5, 1, 1, 3)),
-norm as (select avg(sqrt(v0 * v0 + v1 * v1 + v2 * v2)) as a from wv),
+norm as (select avg(sqrt(list_sum(list_transform(range(1, 201), lambda j: ((seed * j) % 101 - 50) ** 2)))) as a from wv),
 g as (select grid.*, count(*) filter (vocab.n >= min_count) as k from grid, vocab group by all)
 select 'w2v_d' || vector_size || '_w' || w || '_m' || min_count || '_sg' || sg || '_e' || epochs || '_s42' as modelo_id, 42 as seed, k as vocab_size,
 round(k * vector_size * 4 / 1048576.0, 2) as kv_size_mb_est, round(k * a * 1.5, 2) as score from g, norm""",

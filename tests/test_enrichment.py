@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,7 +156,7 @@ def test_all_stages(spark, tmp_path):
     assert sorted(r.eid for r in rows) == ["e0", "e1", "e2"] and {r.title for r in rows} == {"the title of fi"}
     state = Lines(str(tmp_path / "state"))
     assert len(state.load("years")) == 199 and any(x.startswith("1990_1999: 3 articles") for x in state.load("decades"))
-    (tmp_path / "raw/articles_1990_1999.csv").unlink()
+    shutil.rmtree(tmp_path / "raw/articles_1990_1999.csv")
     raw(tmp_path, articles_2000_2029=[f"e{k}" for k in range(60)])
     stage("enrich", "--test", transport=Service())
     assert len(state.load("progress")) == 2
@@ -171,7 +172,7 @@ def test_all_stages(spark, tmp_path):
     (tmp_path / "models/grid.csv").write_text("vector_size,window,min_count,sg,epochs\n4,2,1,1,1\n3,2,100000,1,1\n")
     stage("grid", "--sample", "20")
     stage("grid", "--sample", "20", "--overwrite")
-    grid = spark.read.schema(word2vec.RESULT).parquet(str(tmp_path / "models/grid_todo")).collect()
+    grid = word2vec.results(spark, str(tmp_path / "models/grid_todo")).collect()
     assert sorted((r.vector_size, r.status) for r in grid) == [(3, "error"), (4, "ok")] and all(r.coverage_sample == 1.0 for r in grid if r.status == "ok")
     stage("train")
     assert not cli.run_train(spark, Layout(str(tmp_path)), "2000_2009")
