@@ -128,9 +128,8 @@ def run_vectors(spark: SparkSession, at: Layout, name: str) -> None:
     if exists(spark, target):
         vectors.check_dimension(spark.read.parquet(target), dim)
     rows = preprocess.dated(vectors.mean_vectors(spark.read.parquet(at.path("tokens", name)), words, dim))
-    files.write_table(rows, f"{target}_new", mode="overwrite")
-    rows = spark.read.parquet(f"{target}_new")
     files.write_table(rows, target, mode="overwrite")
+    rows = spark.read.parquet(target)
     files.write_csv(rows.select("eid", "title", F.col("cover_date").cast("string"), "coverage_ratio").orderBy("cover_date", "eid"), f"{target}_csv", "overwrite")
     files.write_csv(vectors.zero_report(rows), at.path("reports", f"zero_vectors_{name}"), "overwrite")
 

@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 from noveltide.config import EnrichConfig
 from noveltide.functions.text import joined
 
+AUTHORS = "array<struct<`@auid`:string,`preferred-name`:struct<`ce:indexed-name`:string>,affiliation:string>>"
+LANGUAGE = "bibrecord struct<head:struct<`citation-info`:struct<`citation-language`:string>>>"
 RECORD = (
-    "eid string, error string, `dc:description` string, `citedby-count` string, affiliations string, "
-    "authors array<struct<`@auid`:string,`preferred-name`:struct<`ce:indexed-name`:string>,affiliation:string>>, "
-    "keywords string, `subject-areas` struct<`subject-area`:string>, "
-    "item struct<bibrecord:struct<head:struct<`citation-info`:struct<`citation-language`:string>>>>"
+    f"eid string, error string, `dc:description` string, `citedby-count` string, affiliations string, authors {AUTHORS}, "
+    f"keywords string, `subject-areas` struct<`subject-area`:string>, item struct<bibrecord:struct<head:struct<`citation-info`:struct<`citation-language`:string>>>>"
 )
+#: A service's answer: its parts as JSON text, and what is read of two of them.
+ANSWER_KEY = "abstracts-retrieval-response"
+ANSWER = "struct<coredata:string,affiliation:string,authors:string,`subject-areas`:string,item:string>"
+CORE = "`dc:description` string, `citedby-count` string"
+ITEM = "bibrecord struct<head:struct<`citation-info`:struct<`author-keywords`:struct<`author-keyword`:string>>>>"
 AFFILIATION = "struct<`@id`:string,affilname:string,`affiliation-name`:string>"
 ENTRY = "eid string, `dc:title` string, `dc:creator` string, author array<struct<authid:string,authname:string>>, `prism:coverDate` string, `prism:doi` string, `citedby-count` string"
 
@@ -42,15 +47,39 @@ def flatten_entries(df: DataFrame, entry_col: str = "entry") -> DataFrame:
     )
 
 
-def parse_record(df: DataFrame, json_col: str = "record") -> DataFrame:
-    """``df`` with ``r``, the parsed record; text that is no record gets an ``error``."""
-    parsed = F.from_json(F.col(json_col), RECORD)
+def project(answer: Column, id_: Column) -> Column:
+    """The parts of a service's answer (parsed as ``ANSWER``) that make a record, in the shape of ``RECORD``.
+
+    A part of another shape than the service documents makes the answer an error.
+    """
+    core, item = F.from_json(answer["coredata"], CORE), F.from_json(answer["item"], ITEM)
+    info = item["bibrecord"]["head"]["citation-info"]
+    parts = [answer[c] for c in ("coredata", "authors", "subject-areas", "item")]
+    odd = F.exists(F.array(*parts), lambda x: x.isNotNull() & (F.substring(F.ltrim(x), 1, 1) != "{"))
+    kept = {
+        "eid": id_.cast("string"),
+        "error": F.when(odd, F.lit("a part of the answer is no object")),
+        "dc:description": core["dc:description"],
+        "citedby-count": core["citedby-count"],
+        "affiliations": F.when(F.substring(F.ltrim(answer["affiliation"]), 1, 1) == "[", answer["affiliation"]),
+        "authors": F.from_json(answer["authors"], f"author {AUTHORS}")["author"],
+        "keywords": info["author-keywords"]["author-keyword"],
+        "subject-areas": F.from_json(answer["subject-areas"], "`subject-area` string"),
+        "item": F.from_json(answer["item"], LANGUAGE),
+    }
+    return F.struct(*[c.alias(name) for name, c in kept.items()])
+
+
+def parse_record(df: DataFrame, json_col: str = "record", id_col: str = "eid") -> DataFrame:
+    """``df`` with ``r``, the parsed record, and ``error``.  The text is a record, or a service's answer as it came."""
+    answer = F.from_json(F.col(json_col), f"`{ANSWER_KEY}` {ANSWER}")[ANSWER_KEY]
+    parsed = F.when(answer.isNotNull(), project(answer, F.col(id_col))).otherwise(F.from_json(F.col(json_col), RECORD))
     return df.withColumn("r", parsed).withColumn("error", F.when(F.col("r").isNull() | F.col("r.eid").isNull(), F.lit("unreadable record")).otherwise(F.col("r.error")))
 
 
 def quarantine(records: DataFrame, id_col: str = "eid", json_col: str = "record") -> DataFrame:
     """``id, error`` of the records that cannot be merged."""
-    return parse_record(records, json_col).where("error is not null").select(id_col, "error")
+    return parse_record(records, json_col, id_col).where("error is not null").select(id_col, "error")
 
 
 def as_list(raw: Column, item: str, single: bool = True) -> Column:
@@ -123,7 +152,7 @@ def language(raw: Column) -> Column:
 
 def widen(parsed: DataFrame) -> DataFrame:
     """The twelve derived columns from ``r``."""
-    authors = F.coalesce(F.col("r.authors"), F.from_json(F.lit("[]"), "array<struct<`@auid`:string,`preferred-name`:struct<`ce:indexed-name`:string>,affiliation:string>>"))
+    authors = F.coalesce(F.col("r.authors"), F.from_json(F.lit("[]"), AUTHORS))
     df = parsed.withColumn("_own", author_affiliations(authors)).withColumn("_names", author_names(authors)).withColumn("_ids", author_ids(authors))
     listed = as_list(F.col("r.affiliations"), AFFILIATION, single=False)
     df = df.withColumn("_aff", listed).withColumn("_aff", F.when(F.size("_aff") == 0, F.col("_own")).otherwise(F.col("_aff")))
@@ -150,4 +179,4 @@ def merge(raw: DataFrame, records: DataFrame, enriched: DataFrame | None = None,
     """Raw rows joined to their records and widened; rows without a record, with an error, or already enriched are out."""
     rows = raw if enriched is None else raw.join(enriched.select(id_col).distinct(), id_col, "left_anti")
     both = rows.join(records.select(id_col, json_col), id_col)
-    return widen(parse_record(both, json_col).where("error is null")).drop(json_col)
+    return widen(parse_record(both, json_col, id_col).where("error is null")).drop(json_col)

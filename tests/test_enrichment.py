@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from noveltide import cli
 from noveltide.config import EnrichConfig, Layout
-from noveltide.operators import word2vec
+from noveltide.operators import enrich, word2vec
 from noveltide.sources import files
-from noveltide.sources.enrichment import Enrichment, NoRecord, fetch, project
+from noveltide.sources.enrichment import Enrichment, NoRecord, fetch
 from noveltide.sources.harvest import Client, HarvestConfig, Response
 from noveltide.sources.state import Ledger, Lines, rotating_log
 
@@ -72,10 +72,15 @@ def test_fetch_waits_and_gives_up():
     assert slept == [60] * 5
 
 
-def test_project():
-    assert project(answer("e1"), "e1")["keywords"] == [{"$": "key"}]
-    assert set(project({}, "e1")) == {"eid", "error"} and set(project({"abstracts-retrieval-response": {"item": 3}}, "e1")) == {"eid", "error"}
-    assert project({"abstracts-retrieval-response": {"affiliation": {"@id": "1"}}}, "e1")["affiliations"] == []
+def test_answers_become_records(spark):
+    core = answer("e1")
+    other = {"affiliation": {"@id": "1"}, "coredata": {"dc:description": "text"}}
+    rows = [("e1", core), ("e2", {}), ("e3", {enrich.ANSWER_KEY: {"item": 3}}), ("e4", {enrich.ANSWER_KEY: other}), ("e5", {"eid": "e5", "dc:description": "kept", "keywords": "k"})]
+    got = {r.eid: r for r in enrich.parse_record(spark.createDataFrame([(i, json.dumps(x)) for i, x in rows], "eid string, record string")).collect()}
+    assert got["e1"].r["keywords"] == '[{"$":"key"}]' and got["e1"].r["citedby-count"] == "3" and got["e1"].error is None
+    assert got["e1"].r["authors"][0]["preferred-name"]["ce:indexed-name"] == "Name e1" and got["e1"].r["item"].bibrecord.head["citation-info"]["citation-language"] == '{"@xml:lang":"eng"}'
+    assert got["e2"].error and got["e3"].error and got["e4"].error is None and got["e4"].r.affiliations is None and got["e4"].r.eid == "e4"
+    assert got["e5"].error is None and got["e5"].r["dc:description"] == "kept"
 
 
 def test_a_run_and_its_restart(spark, tmp_path):
@@ -85,7 +90,7 @@ def test_a_run_and_its_restart(spark, tmp_path):
     state.add("processed", "c.csv")
     state.add("progress", "old")
     (tmp_path / "metadata").mkdir()
-    (tmp_path / "metadata/metadata_e5.json").write_text(json.dumps(project(answer("e5"), "e5")))
+    (tmp_path / "metadata/metadata_e5.json").write_text(json.dumps(answer("e5")))
     service = Service(e4=Response(404), e7=Response(200, {}))
     cfg = EnrichConfig(merge_every=1, weekly_quota=3)
     run = Enrichment(spark, at, service, cfg, sleep=lambda s: None, now=lambda: NOW)
