@@ -135,12 +135,11 @@ def doc_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.coverage(c, word_vectors(c)).withColumn("coverage_ratio", F.round("coverage_ratio", 6))
 
 
-SHOWN = (1, 77, 200)  # dimensions that the query returns, beside the mean vector's checksum over all of them
+SHOWN = (1, 38, 77, 123, 200)  # dimensions that the queries return
 
 
 def mean_digest(r: DataFrame) -> DataFrame:
-    whole = F.aggregate(F.transform("vector", lambda x: x.cast("double")), F.lit(0.0), lambda t, x: t + x)
-    return r.select("eid", F.round("coverage_ratio", 6).alias("coverage_ratio"), *[F.round(F.get("vector", F.lit(j - 1)).cast("double"), 3).alias(f"v{j}") for j in SHOWN], F.round(whole, 1).alias("v_sum"), F.size("vector").alias("dim"))
+    return r.select("eid", F.round("coverage_ratio", 6).alias("coverage_ratio"), *[F.round(F.get("vector", F.lit(j - 1)).cast("double"), 3).alias(f"v{j}") for j in SHOWN], F.size("vector").alias("dim"))
 
 
 def doc_mean_vector(spark: SparkSession, sf: str) -> DataFrame:
@@ -220,11 +219,8 @@ when regexp_full_match(lower(w), '[a-z]{{1,2}}') and upper(w) <> w then 'sigla_c
 CORPUS = "corpus as (select doc_id as eid, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) > 2) as tokens from documents)"
 VOCAB = f"{CORPUS}, word as (select eid, unnest(tokens) as word from corpus), vocab as (select word, count(*) as n from word group by word)"
 VECTORS = f"{VOCAB}, wv as (select word, n, length(word) * 31 + ascii(word) * 7 + n % 97 as seed from vocab where n >= 5)"
-# A word's whole vector sums to the same in every document, so it is summed once per word.
-MEANS = f"""{VECTORS}, whole as (select word, seed, cast(list_sum(list_transform(range(1, 201), lambda j: (seed * j) % 101 - 50)) as double) as s from wv),
-hit as (select w.eid, count(v.word) / count(*) as r, avg(seed % 101 - 50) as v1, avg((seed * 77) % 101 - 50) as v77, avg((seed * 200) % 101 - 50) as v200, avg(s) as s from word w left join whole v on v.word = w.word group by w.eid),
-mean as (select c.eid, round(coalesce(r, 0.0), 6) as coverage_ratio, round(cast(cast(coalesce(v1, 0.0) as float) as double), 3) as v1, round(cast(cast(coalesce(v77, 0.0) as float) as double), 3) as v77,
-round(cast(cast(coalesce(v200, 0.0) as float) as double), 3) as v200, round(coalesce(s, 0.0), 1) as v_sum, 200 as dim from corpus c left join hit on hit.eid = c.eid)"""
+MEANS = f"""{VECTORS}, hit as (select w.eid, count(v.word) / count(*) as r, {", ".join(f"avg((seed * {j}) % 101 - 50) as v{j}" for j in SHOWN)} from word w left join wv v on v.word = w.word group by w.eid),
+mean as (select c.eid, round(coalesce(r, 0.0), 6) as coverage_ratio, {", ".join(f"round(cast(cast(coalesce(v{j}, 0.0) as float) as double), 3) as v{j}" for j in SHOWN)}, 200 as dim from corpus c left join hit on hit.eid = c.eid)"""
 BIGRAMS = f"""{VOCAB}, pairs as (select p.a, p.b, count(*) as n_ab from (select unnest(list_zip(tokens[1:-2], tokens[2:])) as p from
   (select tokens, struct_pack(x := 1) as z from corpus where len(tokens) > 1)) q(p0), (select 1) one, lateral (select struct_pack(a := p0[1], b := p0[2])) r(p) group by 1, 2),
 size as (select (select count(*) from vocab) + (select count(*) from pairs) as v),
