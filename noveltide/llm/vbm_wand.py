@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from noveltide.llm.common import cut, small_batches
 from noveltide.llm.shingles import PIECE, mix, powers, text_blocks
 
+#: Fixed value: what a term is.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A shard ends after so many words or documents (a longer document is a shard of its own).
 SHARD_WORDS, SHARD_DOCS = 2_000_000, 100_000
@@ -174,10 +175,27 @@ class Index:
     words: int
 
 
+def sizes(df: DataFrame, text_col: str) -> tuple[int, int]:
+    """Number of texts with terms, and of all terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = words = 0
+        for batch in batches:
+            for _, texts in text_blocks(batch, 0, 1_000_000):
+                data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+                gap = GAP[np.frombuffer(b"\n".join(data), np.uint8)]
+                starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]]) if len(gap) else np.zeros(0, np.int64)
+                own = np.searchsorted(np.cumsum([len(d) + 1 for d in data]), starts, side="right")
+                docs, words = docs + len(np.unique(own)), words + len(starts)
+        yield pa.RecordBatch.from_arrays([pa.array([docs], pa.int64()), pa.array([words], pa.int64())], names=["docs", "words"])
+
+    each = small_batches(df).select(df[text_col].cast("string").alias("_text")).mapInArrow(run, "docs long, words long")
+    row = each.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+    return row.docs, row.words
+
+
 def build(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> Index:
-    n = F.regexp_count(F.coalesce(df[text_col].cast("string"), F.lit("")), F.lit(TERM)).cast("long")
-    size = df.select(n.alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
-    docs, words = size.docs, size.words
+    docs, words = sizes(df, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, total, made = [], 0, 0, 0
