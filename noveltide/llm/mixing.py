@@ -33,7 +33,7 @@ from noveltide.llm.common import cut
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK, SHARD, SEED = 2048, 8192, "mix"
 #: Rows of a source that share a bucket, about; the sources' shares of the slots are found by so many cells.
-BUCKET, CELLS = 50_000, 4096
+BUCKET, CELLS = 2000, 4096
 ROUNDS = 24
 
 
