@@ -9,20 +9,21 @@ from pyspark.sql import functions as F
 
 from noveltide.config import EnrichConfig
 from noveltide.functions.text import hms
+from noveltide.sources import scratch
 
 
 #: Ranges of a selection step, and distinct values that are looked at on the driver at most.
 RANGES, FEW = 64, 10_000
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: list[float], few: int = FEW) -> list[float | None]:
+def exact_quantiles(df: DataFrame, column: str, probs: list[float], few: int = FEW, n: int | None = None) -> list[float | None]:
     """Exact quantiles (interpolated) by selection: ranges are counted, and only those that hold a wanted rank are cut again.
 
     A range's cuts are its approximate quantiles, so each step leaves about a ``RANGES``-th of it.  Values equal to a cut are
-    counted on their own: a value of many copies is found as a cut.  Steps end when a range has ``few`` values; no task sorts the values.
+    counted on their own: a value of many copies is found as a cut.  ``n`` is the number of values, if it is known.  Steps end when a range has ``few`` values; no task sorts the values.
     """
     values = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
-    n = values.count()
+    n = values.count() if n is None else n
     if not n:
         return [None] * len(probs)
     places = [p * (n - 1) for p in probs]
@@ -66,11 +67,15 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], few: int = F
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
-    """One row: count, mean, sample deviation, minimum, exact quartiles (interpolated) and maximum."""
-    c = F.col(column).cast("double")
-    q = [F.lit(v).cast("double").alias(n) for v, n in zip(exact_quantiles(df, column, [0.25, 0.5, 0.75]), ("q25", "q50", "q75"), strict=True)]
-    row = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
-    return row.select("n", "mean", "std", "min", *q, "max")
+    """One row: count, mean, sample deviation, minimum, exact quartiles (interpolated) and maximum.
+
+    The column is worked out once and written, as the quartiles are found in several passes over it.
+    """
+    with scratch.Scratch(df.sparkSession, "describe") as place:
+        values = place.write(df.select(F.col(column).cast("double").alias("x")), "values")
+        r = values.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")).first()
+        q = exact_quantiles(values, "x", [0.25, 0.5, 0.75], n=r.n)
+    return df.sparkSession.createDataFrame([(r.n, r.mean, r.std, r.min, *q, r.max)], "n long, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
 
 
 def progress(done: Column, cfg: EnrichConfig = EnrichConfig()) -> list[Column]:
