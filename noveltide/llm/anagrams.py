@@ -64,6 +64,11 @@ def keyed(vocab: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("key", "longer", "h.back", "h.half").alias("g"), "word", "n", "letter", F.col("h.back").alias("back"))
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """A side that grows with the vocabulary is never broadcast: as a small file with many rows to an entry, Spark takes it for small."""
+    return side.hint("merge")
+
+
 def near_pairs(vocab: DataFrame) -> DataFrame:
     """``a, na, b, nb``: each pair of near words once."""
     rows = keyed(vocab)
@@ -71,7 +76,7 @@ def near_pairs(vocab: DataFrame) -> DataFrame:
     right = rows.select("g", F.col("word").alias("b"), F.col("n").alias("nb"), F.col("letter").alias("other"))
     # Words of equal value meet by every letter that they share; they can be near only by letters outside the alphabet.
     replaced = (F.col("a") < F.col("b")) & ((F.col("letter") != F.col("other")) | (F.col("letter") == 0))
-    met = left.join(right, "g").where(F.col("other").isNull() | replaced)
+    met = left.join(merged(right), "g").where(F.col("other").isNull() | replaced)
     # Pairs whose first halves agree as well have met by those.
     first = F.floor((F.char_length("a") - 1) / 2).cast("int")
     once = ~F.col("back") | (F.left("a", first) != F.left("b", first))
@@ -83,7 +88,7 @@ def roots(forms: DataFrame) -> DataFrame:
     reach = cut(forms.select("word", F.col("form").alias("up")), "reach")
     while True:
         above = reach.select(F.col("word").alias("up"), F.col("up").alias("next"))
-        far = cut(reach.join(above, "up", "left").select("word", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved")), "reach")
+        far = cut(reach.join(merged(above), "up", "left").select("word", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved")), "reach")
         discard(reach)
         reach = far.select("word", "up")
         if far.where("moved").isEmpty():
@@ -96,9 +101,9 @@ def variants(vocab: DataFrame, factor: float = 2) -> DataFrame:
     ends = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("nb").alias("m")), F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("na").alias("m")))
     each = near_pairs(vocab).select(F.explode(ends).alias("e")).select("e.*")
     best = each.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("top"))
-    rows = vocab.join(best, "word", "left")
+    rows = vocab.join(merged(best), "word", "left")
     has = -F.col("top.m") >= factor * F.col("n")
     rows = rows.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(has, F.col("top.other")).alias("form"), F.when(has, -F.col("top.m")).alias("form_n"))
     rows = cut(rows, "forms")
-    out = rows.join(roots(rows.where("form is not null")), "word", "left")
+    out = rows.join(merged(roots(rows.where("form is not null"))), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -148,6 +148,13 @@ def test_chains_and_nothing(spark):
     assert variants_of(spark, {}) == set() and variants_of(spark, {"alone": 3}) == {("alone", None, "alone", 3, 0, None)}
 
 
+def test_no_side_of_the_vocabulary_is_broadcast(spark):
+    """A small file of words has many keys, which Spark would send through the driver."""
+    vocab = spark.createDataFrame([("abcdef", 9), ("abcdeg", 3)], "word string, n long")
+    plan = anagrams.near_pairs(vocab)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_words_that_lose_a_letter(spark):
     rng = random.Random(97)
     rows = [(k, " ".join("".join(rng.choices("abcÉéÿ×Z_1", k=rng.randrange(1, 9))) for _ in range(300))) for k in range(20)]
