@@ -276,6 +276,23 @@ def test_recall_of_the_query(spark):
     assert got.keys() == want.keys() and sum(len(got[q] & want[q]) for q in want) >= 0.9 * 20 * len(want)
 
 
+def test_recall_in_tight_clusters_with_copies(spark):
+    """Thousands of near vectors in a cluster, of which codes tell little, and more copies of one than are reranked."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(2, 16))
+    x = np.concatenate([centres[rng.integers(0, 2, 3000)] + 1e-3 * rng.normal(size=(3000, 16)), np.repeat(rng.normal(size=(1, 16)), 1000, axis=0)])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ivf_pq.search(df, F.col("id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.id)
+    hit = 0
+    for q in range(0, 3000, 50):
+        s = (x * x[q]).sum(axis=1)
+        hit += len(set(got[q]) & set([i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:20]))
+    assert hit >= 0.9 * 20 * 60
+    assert all(got[q] == [i for i in range(3000, 3022) if i != q][:20] for q in range(3000, 4000, 50))
+
+
 def test_probes_are_widened(spark):
     """Queries whose lists hold too few candidates get as many as there are."""
     x = [(k, [1.0, 0.001 * k]) for k in range(0, 400)] + [(1000 + 20 * k, [-1.0, 50.0 * k]) for k in range(3)]
