@@ -162,3 +162,23 @@ def test_words_inside_phrases_are_not_discarded(spark):
     parted = preprocess.with_phrases(df, spark.createDataFrame([("ring of",)], "phrase string"))
     assert {(r.palabra, r.motivo) for r in preprocess.discard_log(parted, "_rest").collect()} == {("the", "stopword"), ("x9y9", "no_alpha")}
     assert preprocess.cleaned(parted).first().tokens == ["ring_of"]
+
+
+def test_means_by_shards(spark):
+    """A word's vector is drawn once by each shard of rows; rows that are alike, empty and unknown ones included."""
+    from noveltide.operators import vectors
+
+    docs = [(1, ["a", "b", "a", "x"]), (1, ["b"]), (2, []), (3, None), (4, ["x", None]), (1, ["b"]), (None, ["a", None, "b"]), *[(k, ["a", "b", "b"] * 9) for k in range(5, 12)]]
+    df = spark.createDataFrame(docs, "eid long, tokens array<string>")
+    words = spark.createDataFrame([("a", [1.0, -2.0]), ("b", [3.0, 0.5])], "word string, vector array<float>")
+    known = {"a": (1.0, -2.0), "b": (3.0, 0.5)}
+
+    def want(tokens):
+        all_, hit = [t for t in tokens or [] if t is not None], [known[t] for t in tokens or [] if t in known]
+        return (len(hit) / len(all_) if all_ else 0.0), [sum(v[j] for v in hit) / len(hit) if hit else 0.0 for j in range(2)]
+
+    for many in (10, 10**6):
+        out = vectors.mean_vectors(df, words, 2, shard_tokens=many)
+        got = [(r.eid, r.tokens, round(r.coverage_ratio, 6), [round(x, 5) for x in r.vector]) for r in out.collect()]
+        expected = [(i, t, round(want(t)[0], 6), [round(x, 5) for x in want(t)[1]]) for i, t in docs]
+        assert sorted(map(str, got)) == sorted(map(str, expected))
