@@ -108,7 +108,7 @@ def anchors(rows: DataFrame, phrases: DataFrame) -> DataFrame:
     """
     many = phrases.select(F.split(F.lower(F.trim(F.regexp_replace("phrase", "_", " "))), " +").alias("words")).where(F.size("words") > 1).distinct()
     each = many.select("words", F.posexplode("words").alias("shift", "w"))
-    counts = rows.select(F.explode("_low").alias("w")).join(each.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("c"))
+    counts = rows.select(F.explode("_low").alias("w")).join(F.broadcast(each.select("w").distinct()), "w", "left_semi").groupBy("w").agg(F.count("*").alias("c"))
     rarest = each.join(counts, "w", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "shift", "w")).alias("r")).where("r.c > 0")
     return rarest.select("r.w", "r.shift", "words", F.size("words").alias("n"), F.array_join("words", "_").alias("phrase"))
 
@@ -118,10 +118,11 @@ def with_phrases(df: DataFrame, phrases: DataFrame, id_col: str = "eid", tokens_
 
     Longer phrases come first, and they do not overlap; matching ignores case.  Phrases meet the tokens by an equality
     join on their rarest word, so the list may be long and its phrases may begin with frequent words; only what meets is
-    compared with the whole phrase.
+    compared with the whole phrase.  The list, which people write, goes to the tokens: dealt out by word, all tokens of a
+    frequent word would meet in one task.
     """
     rows = df.withColumn("_low", F.transform(tokens_col, F.lower)).withColumn("_row", row_key(id_col, tokens_col))
-    met = rows.select("_row", F.posexplode("_low").alias("at", "w")).join(anchors(rows, phrases), "w").withColumn("at", F.col("at") - F.col("shift")).where("at >= 0").drop("w", "shift")
+    met = rows.select("_row", F.posexplode("_low").alias("at", "w")).join(F.broadcast(anchors(rows, phrases)), "w").withColumn("at", F.col("at") - F.col("shift")).where("at >= 0").drop("w", "shift")
     met = met.join(rows.select("_row", "_low"), "_row").where(F.slice("_low", F.col("at") + 1, F.col("n")) == F.col("words"))
     spans = F.array_sort(F.collect_set(F.struct((-F.col("n")).alias("neg"), "at", "n", "phrase"))).alias("_spans")
     rows = rows.drop("_low").join(met.groupBy("_row").agg(spans), "_row", "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(SPAN)))

@@ -182,3 +182,15 @@ def test_means_by_shards(spark):
         got = [(r.eid, r.tokens, round(r.coverage_ratio, 6), [round(x, 5) for x in r.vector]) for r in out.collect()]
         expected = [(i, t, round(want(t)[0], 6), [round(x, 5) for x in want(t)[1]]) for i, t in docs]
         assert sorted(map(str, got)) == sorted(map(str, expected))
+
+
+def test_phrases_go_to_the_tokens(spark):
+    """Tokens are not dealt out by word: all of a frequent one would meet in one task."""
+    from noveltide.operators import preprocess
+
+    df = spark.createDataFrame([(k, ["the", "ring", "gear"]) for k in range(9)], "eid long, tokens array<string>")
+    out = preprocess.with_phrases(df, spark.createDataFrame([("ring gear",)], "phrase string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(w#" in x and "posexplode" in x]
+    assert plan.count("BroadcastHashJoin") >= 2
+    assert {tuple(r._phrases) for r in out.collect()} == {("ring_gear",)}
