@@ -557,3 +557,21 @@ def test_empty_tables_pass_through_every_stage(spark):
         out = stage(spark, docs, SF)
         assert out.count() == 0
         docs = out if set(cp.COLUMNS) <= set(out.columns) else docs
+
+
+def test_the_least_known_share_counts_every_row(spark):
+    """More rows than a language teaches with: the few odd ones among all of them move the threshold."""
+    from noveltide.llm import kernel_langid
+
+    p = kernel_langid.KernelParams(per_lang=5)
+    words = "the quick brown fox jumps over a lazy dog and runs"
+    learned = spark.createDataFrame([(k, words, "en") for k in range(5)], "doc_id long, text string, lang string")
+    model = kernel_langid.fit(learned, params=p)
+    rows = [(k, words if k % 5 else "zzz xxx qqq vvv", "en") for k in range(100)] + [(100, None, "en"), (101, "zz", None)]
+    left = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    shares = sorted(r.known_share for r in kernel_langid.predict(left.where("doc_id < 100"), model).collect())
+    assert abs(kernel_langid.least_known(model, left) - 2 / 3 * shares[4]) < 1e-4
+    same = spark.createDataFrame([(k, words, "en") for k in range(4000)], "doc_id long, text string, lang string")
+    few = spark.createDataFrame([(k, "zzz xxx qqq", "en") for k in range(4000, 4300)], "doc_id long, text string, lang string")
+    low = kernel_langid.predict(few.limit(1), model).first().known_share
+    assert abs(kernel_langid.least_known(model, same.unionByName(few)) - 2 / 3 * low) < 1e-4
