@@ -194,3 +194,11 @@ def test_phrases_go_to_the_tokens(spark):
     assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(w#" in x and "posexplode" in x]
     assert plan.count("BroadcastHashJoin") >= 2
     assert {tuple(r._phrases) for r in out.collect()} == {("ring_gear",)}
+
+
+def test_texts_keep_the_letter_v(spark):
+    """The SQL of compose_text trims it: in DuckDB, the escape for a vertical tab is the letter v."""
+    from noveltide.operators import langid
+
+    row = spark.createDataFrame([("vequ", "avec v\x0b ")], "t string, a string").select(langid.compose(F.col("t"), F.col("a")).alias("x")).first()
+    assert row.x == "vequ. avec v"
