@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noveltide.config import TextConfig
 from noveltide.functions.rows import row_key
+from noveltide.sources.scratch import Scratch
+
+#: Tokens that a task counts at once, and rows of a batch that it returns.
+BLOCK, RETURNED = 2_000_000, 50_000
+COUNTED = "pair boolean, a string, b string, n long"
 
 
 def neighbours(tokens: Column) -> Column:
@@ -16,20 +26,54 @@ def neighbours(tokens: Column) -> Column:
     return F.when(n > 1, pairs).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
 
 
+def count_block(lists: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+    """``pair, a, b, n`` of the words (``pair`` false, ``b`` null) and the neighbours of some token arrays."""
+    tokens = pa.chunked_array([x.flatten() for x in lists]).combine_chunks()
+    if not len(tokens):
+        return
+    coded = tokens.dictionary_encode(null_encoding="encode")
+    words, at = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(sum(map(len, lists))), np.concatenate([pc.fill_null(x.value_lengths(), 0).to_numpy(zero_copy_only=False) for x in lists]))
+    yield from counted(words, None, np.arange(len(words)), np.bincount(at, minlength=len(words)))
+    pairs, n = np.unique((at[:-1] * len(words) + at[1:])[doc[:-1] == doc[1:]], return_counts=True)
+    for k in range(0, len(pairs), RETURNED):
+        yield from counted(words, pairs[k : k + RETURNED] % len(words), pairs[k : k + RETURNED] // len(words), n[k : k + RETURNED])
+
+
+def counted(words: pa.Array, b: np.ndarray | None, a: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    second = pa.nulls(len(a), words.type) if b is None else words.take(pa.array(b))
+    yield pa.record_batch([pa.array(np.full(len(a), b is not None)), words.take(pa.array(a)), second, pa.array(n.astype(np.int64))], names=["pair", "a", "b", "n"])
+
+
+def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch.column(0))
+        size += len(held[-1].flatten())
+        if size >= BLOCK:
+            yield from count_block(held)
+            held, size = [], 0
+    if held:
+        yield from count_block(held)
+
+
 def learn(df: DataFrame, tokens_col: str = "tokens", min_count: int = TextConfig.bigram_min_count, threshold: float = TextConfig.bigram_threshold) -> DataFrame:
     """``a, b, n_ab, score`` of the bigrams with ``(n_ab - min_count) / n_a / n_b * |V| > threshold``.
 
-    |V| counts the distinct words and the distinct pairs together.  Both counts are combined before their shuffles,
-    and only pairs above ``min_count`` meet the word counts.
+    |V| counts the distinct words and the distinct pairs together.  The texts are read once: tasks count words and pairs of
+    a block together, and their counts are added up in one shuffle.  Only what occurs more than ``min_count`` times is
+    kept, the rest is counted.  The bigrams are a written table.
     """
-    words = df.select(F.explode(tokens_col).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    pairs = df.select(F.explode(neighbours(F.col(tokens_col))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n_ab"))
-    size = words.agg(F.count("*").alias("v")).crossJoin(pairs.agg(F.count("*").alias("p"))).select((F.col("v") + F.col("p")).alias("size"))
-    some = pairs.where(F.col("n_ab") > min_count).crossJoin(F.broadcast(size))
-    first = words.select(F.col("w").alias("a"), F.col("n").alias("n_a"))
-    second = words.select(F.col("w").alias("b"), F.col("n").alias("n_b"))
-    score = (F.col("n_ab") - min_count) / F.col("n_a") / F.col("n_b") * F.col("size")
-    return some.join(first, "a").join(second, "b").withColumn("score", score).where(F.col("score") > threshold).select("a", "b", "n_ab", "score")
+    each = df.select(tokens_col).mapInArrow(count, COUNTED).groupBy("pair", "a", "b").agg(F.sum("n").alias("n"))
+    frequent = F.when(F.col("n") > min_count, F.struct("pair", "a", "b")).alias("x")
+    with Scratch(df.sparkSession, "bigrams") as scratch:
+        kept = scratch.write(each.groupBy(frequent).agg(F.max("n").alias("n"), F.count("*").alias("rows")), "counts")
+        size = kept.agg(F.sum("rows").alias("size"))
+        some = kept.where("x.pair").select("x.a", "x.b", F.col("n").alias("n_ab")).crossJoin(F.broadcast(size))
+        words = kept.where("not x.pair")
+        first, second = words.select("x.a", F.col("n").alias("n_a")), words.select(F.col("x.a").alias("b"), F.col("n").alias("n_b"))
+        score = (F.col("n_ab") - min_count) / F.col("n_a") / F.col("n_b") * F.col("size")
+        return scratch.write(some.join(first, "a").join(second, "b").withColumn("score", score).where(F.col("score") > threshold).select("a", "b", "n_ab", "score"), "known", keep=True)
 
 
 def merge(tokens: Column, starts: Column) -> Column:

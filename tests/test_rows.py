@@ -202,3 +202,42 @@ def test_texts_keep_the_letter_v(spark):
 
     row = spark.createDataFrame([("vequ", "avec v\x0b ")], "t string, a string").select(langid.compose(F.col("t"), F.col("a")).alias("x")).first()
     assert row.x == "vequ. avec v"
+
+
+def counted_by_hand(docs):
+    words, pairs = {}, {}
+    for t in docs:
+        for w in t or []:
+            words[w] = words.get(w, 0) + 1
+        for p in zip(t or [], (t or [])[1:]):
+            pairs[p] = pairs.get(p, 0) + 1
+    return words, pairs
+
+
+def test_words_and_pairs_are_counted_together(spark, monkeypatch):
+    """One pass over the texts, in blocks: pairs never reach over the end of a document, nulls count as a word."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    docs = [[rng.choice(["a", "b", "c", None]) for _ in range(rng.randrange(0, 9))] for _ in range(50)] + [None, []]
+    monkeypatch.setattr(phrases, "BLOCK", 20)
+    monkeypatch.setattr(phrases, "RETURNED", 3)
+    batches = [pa.record_batch([pa.array(docs[k : k + 7], pa.list_(pa.string()))], names=["tokens"]) for k in range(0, len(docs), 7)]
+    words, pairs = {}, {}
+    for out in phrases.count(iter(batches)):
+        for r in out.to_pylist():
+            into, key = (pairs, (r["a"], r["b"])) if r["pair"] else (words, r["a"])
+            into[key] = into.get(key, 0) + r["n"]
+    assert (words, pairs) == counted_by_hand(docs)
+    assert not list(phrases.count(iter([pa.record_batch([pa.array([None, []], pa.list_(pa.string()))], names=["tokens"])])))
+
+
+def test_bigrams_are_learned_in_one_reading(spark):
+    """What is learned is a written table: using it reads no text again."""
+    docs = [(str(k), ["x", "new", "york", "y"] if k % 2 else ["new", "york", None]) for k in range(10)]
+    learned = phrases.learn(spark.createDataFrame(docs, TOKENS), min_count=5, threshold=0.1)
+    words, pairs = counted_by_hand([t for _, t in docs])
+    got = {(r.a, r.b): (r.n_ab, r.score) for r in learned.collect()}
+    assert got == {("new", "york"): (10, pytest.approx((10 - 5) / 10 / 10 * (len(words) + len(pairs))))}
+    plan = learned._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "Exchange" not in plan and "Generate" not in plan
