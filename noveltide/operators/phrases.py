@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from noveltide.config import TextConfig
-from noveltide.functions.rows import row_key
 from noveltide.sources.scratch import Scratch
 
-#: Tokens that a task counts at once, and rows of a batch that it returns.
-BLOCK, RETURNED = 2_000_000, 50_000
+#: Tokens that a task counts at once, rows of a batch that it returns, and tokens of a shard.
+BLOCK, RETURNED, SHARD_TOKENS = 2_000_000, 50_000, 4_000_000
 COUNTED = "pair boolean, a string, b string, n long"
 
 
@@ -92,19 +92,45 @@ def merge(tokens: Column, starts: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), count), piece))
 
 
-def apply(df: DataFrame, bigrams: DataFrame, id_col: str = "eid", tokens_col: str = "tokens") -> DataFrame:
+def starts(tokens_col: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The rows of a shard with ``_starts``: where the known pairs ``a, b`` begin that are merged."""
+
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+        rows = rows.drop_columns(["_shard"])
+        lists = rows.column(tokens_col).combine_chunks()
+        lens = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        words, at = coded.dictionary, pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(lens) - lens
+        doc = np.repeat(np.arange(len(lens)), lens)
+        hit = np.zeros(0, np.int64)
+        if known.num_rows and len(words):
+            a, b = (pc.fill_null(pc.index_in(known.column(c).combine_chunks(), value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64) for c in "ab")
+            pairs = np.unique((a * len(words) + b)[(a >= 0) & (b >= 0)])
+            near = (at[:-1] >= 0) & (at[1:] >= 0) & (doc[:-1] == doc[1:])
+            hit = np.flatnonzero(near & np.isin(at[:-1] * len(words) + at[1:], pairs))
+        new = np.diff(hit, prepend=-2) != 1
+        place = np.arange(len(hit))
+        hit = hit[(place - np.maximum.accumulate(np.where(new, place, 0))) % 2 == 0]
+        ends = np.r_[0, np.cumsum(np.bincount(doc[hit], minlength=len(lens)))]
+        found = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((hit - first[doc[hit]]).astype(np.int32)))
+        return rows.append_column("_starts", found)
+
+    return run
+
+
+def apply(df: DataFrame, bigrams: DataFrame, id_col: str = "eid", tokens_col: str = "tokens", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """``df`` with known bigrams merged greedily from left to right, without overlaps: ``a b`` becomes ``a_b``.
 
-    Neighbours meet the bigrams by an equality join, so the table of bigrams may be large (Spark broadcasts a small
-    one).  In a run of known pairs that follow each other, the greedy merge takes every other one from the first on, so
-    a row's merges are told by their parity within the run.  Rows that repeat an id keep their own tokens.
+    Rows are dealt into bounded shards, whole, so those that repeat an id keep their own tokens.  A shard draws the bigrams of
+    which it holds both words by joins: a bigram travels once a shard, and pairs of neighbours do not travel at all.  In a
+    run of known pairs that follow each other, the greedy merge takes every other one from the first on.
     """
-    rows = df.withColumn("_row", row_key(id_col, tokens_col))
-    own = rows.select("_row", F.posexplode(neighbours(F.col(tokens_col))).alias("i", "p")).select("_row", "i", "p.a", "p.b")
-    found = own.join(bigrams.select("a", "b").distinct(), ["a", "b"]).select("_row", "i").distinct()
-    by_row = Window.partitionBy("_row").orderBy("i")
-    runs = found.withColumn("run", F.col("i") - F.row_number().over(by_row))
-    odd = F.row_number().over(Window.partitionBy("_row", "run").orderBy("i")) % 2 == 1
-    merges = runs.withColumn("odd", odd).where("odd").groupBy("_row").agg(F.array_sort(F.collect_list("i")).alias("_starts"))
-    rows = rows.join(merges, "_row", "left").withColumn("_starts", F.coalesce("_starts", F.array().cast("array<int>")))
-    return rows.withColumn(tokens_col, F.when(F.size("_starts") > 0, merge(F.col(tokens_col), F.col("_starts"))).otherwise(F.col(tokens_col))).select(*df.columns)
+    size = df.agg(F.sum(F.size(tokens_col)).alias("n")).first().n or 0
+    shards = max(1, -(-size // shard_tokens), min(df.sparkSession.sparkContext.defaultParallelism, size // 20_000))
+    rows = df.withColumn("_shard", F.pmod(F.xxhash64(id_col, tokens_col), F.lit(shards)).cast("int"))
+    words = rows.select("_shard", F.explode(F.array_distinct(tokens_col)).alias("w")).distinct()
+    known = bigrams.select("a", "b").distinct()
+    drawn = known.join(words.withColumnRenamed("w", "a"), "a").join(words.withColumnRenamed("w", "b"), ["_shard", "b"]).select(F.col("_shard").alias("_of"), "a", "b")
+    found = rows.groupBy("_shard").cogroup(drawn.groupBy("_of")).applyInArrow(starts(tokens_col), StructType([*df.schema.fields, StructField("_starts", ArrayType(IntegerType()))]))
+    return found.withColumn(tokens_col, F.when(F.size("_starts") > 0, merge(F.col(tokens_col), F.col("_starts"))).otherwise(F.col(tokens_col))).select(*df.columns)

@@ -241,3 +241,26 @@ def test_bigrams_are_learned_in_one_reading(spark):
     assert got == {("new", "york"): (10, pytest.approx((10 - 5) / 10 / 10 * (len(words) + len(pairs))))}
     plan = learned._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in plan and "Exchange" not in plan and "Generate" not in plan
+
+
+@pytest.mark.parametrize("id_col", ["eid", "key"])
+def test_bigrams_go_to_the_shards(spark, id_col):
+    """Pairs of neighbours do not travel, in as many shards as there are; other columns and nulls stay."""
+    rng = random.Random(9)
+    known = {("a", "b"), ("b", "a"), ("c", "c"), ("a", "zz")}
+    docs = [(k % 5, k, [rng.choice(["a", "b", "c", None]) for _ in range(rng.randrange(0, 30))], float(k)) for k in range(60)] + [(1, 99, None, 0.0)]
+    df = spark.createDataFrame(docs, f"{id_col} long, k long, tokens array<string>, x double")
+
+    def want(t):
+        out, k = [], 0
+        while k < len(t):
+            two = k + 1 < len(t) and (t[k], t[k + 1]) in known
+            out.append(f"{t[k]}_{t[k + 1]}" if two else t[k])
+            k += 1 + two
+        return out
+
+    for tokens in (10, 10**6):
+        merged = phrases.apply(df, spark.createDataFrame(list(known), "a string, b string"), id_col, shard_tokens=tokens)
+        assert {r.k: (r[0], r.tokens, r.x) for r in merged.collect()} == {k: (i, None if t is None else want(t), x) for i, k, t, x in docs}
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "Window" not in plan
