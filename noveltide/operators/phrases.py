@@ -64,7 +64,7 @@ def learn(df: DataFrame, tokens_col: str = "tokens", min_count: int = TextConfig
     a block together, and their counts are added up in one shuffle.  Only what occurs more than ``min_count`` times is
     kept, the rest is counted.  The bigrams are a written table.
     """
-    each = df.select(tokens_col).mapInArrow(count, COUNTED).groupBy("pair", "a", "b").agg(F.sum("n").alias("n"))
+    each = df.select(tokens_col).mapInArrow(count, COUNTED).repartition("pair", "a", "b").groupBy("pair", "a", "b").agg(F.sum("n").alias("n"))
     frequent = F.when(F.col("n") > min_count, F.struct("pair", "a", "b")).alias("x")
     with Scratch(df.sparkSession, "bigrams") as scratch:
         kept = scratch.write(each.groupBy(frequent).agg(F.max("n").alias("n"), F.count("*").alias("rows")), "counts")
