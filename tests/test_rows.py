@@ -34,6 +34,20 @@ def test_means_of_repeated_ids(spark):
     assert sorted((r.eid or "", round(r.coverage_ratio, 4)) for r in vectors.coverage(df, words).collect()) == [g[:2] for g in got]
 
 
+def test_means_send_a_row_once(spark):
+    """Texts meet their words in one step; what else stands in a row, nulls among tokens, and copies come out as they were."""
+    rows = [("a", ["k", None, "é", ""], 1, {"x": 1}), ("a", ["k", None, "é", ""], 2, {"x": 1}), ("a", ["k", None, "é", ""], 2, {"x": 1}), ("b", None, None, None), (None, [], 3, {})]
+    df = spark.createDataFrame(rows, "eid string, tokens array<string>, year int, more map<string, int>")
+    words = spark.createDataFrame([("k", [3.0]), ("é", [6.0]), ("", [0.0])], "word string, vector array<float>")
+    out = vectors.mean_vectors(df, words, 1)
+    got = sorted(((r.eid or "", r.tokens, r.year, r.more, r.coverage_ratio, r.vector) for r in out.collect()), key=str)
+    ratios = {"a": (1.0, [3.0]), "b": (0.0, [0.0]), "": (0.0, [0.0])}
+    assert got == sorted([(k or "", t, y, m, *ratios[k or ""]) for k, t, y, m in rows], key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # words of shards with their vectors; rows are joined with nothing
+    assert vectors.mean_vectors(df.select("eid", F.split(F.lit("k é"), " ").alias("tokens")), words, 1).where("coverage_ratio = 1 and vector[0] = 4.5").count() == 5
+
+
 @pytest.mark.parametrize("dim", [200, 768])
 def test_means_in_full_size(spark, dim):
     rng = random.Random(dim)
